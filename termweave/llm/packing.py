@@ -11,7 +11,9 @@ over blocks and a rank within the block, no sort and no shuffle of texts.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
@@ -23,42 +25,45 @@ from pyspark.sql import functions as F
 
 from termweave.llm.common import Staging
 
-#: Unicode's White_Space without what Python also splits at.
+#: What Python splits at though it isn't white space to the tokenizers.
 ODD = "[\x1c-\x1f]"
 
 
 class WordIds(dict):
     """word -> its ids as little-endian bytes, by the tokenizer itself; remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
+        import os
         import re
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to other tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        spec = self.tokenizer.to_str()
+        self.letter = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype("<u2" if self.letter == "H" else "<u4")
         # words can be encoded one by one if white space is dropped between them
-        self.by_word = '"end_of_word_suffix":"</w>"' in spec.replace(" ", "")[-400:] or '</w>' in spec
+        with open(path, encoding="utf-8") as f:
+            self.by_word = json.load(f)["model"].get("end_of_word_suffix") == "</w>"
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([ODD, *map(re.escape, special)])).search
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encode(self, text: str) -> bytes:
+        return array(self.letter, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = [None if not self.by_word or self.whole(t) else t.split() for t in texts]
-        new = list({w for words in split if words for w in words} - self.keys())
-        if len(self) + len(new) > self.LIMIT:
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(self) >= self.LIMIT:
             self.clear()
-            new = list({w for words in split if words for w in words})
-        for i in range(0, len(new), 50_000):
-            self.update(zip(new[i : i + 50_000], self.encode(new[i : i + 50_000])))
-        get = self.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)) if words is not None else self.encode([t])[0], self.kind) for t, words in zip(texts, split)]
+        if len(word) <= 100:
+            self[word] = ids
+        return ids
+
+    def ids(self, text: str) -> np.ndarray:
+        split = self.by_word and not self.whole(text)
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())) if split else self.encode(text), self.kind)
 
 
 _IDS: dict[str, WordIds] = {}
@@ -193,7 +198,8 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, text: st
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = {c: [] for c in ("row", "n_tokens", "full", "full_crcs", "left", "rank", "left_crc", "left_ids")}
-                for ids in words.ids([x or "" for x in part.column(1).to_pylist()]):
+                for x in part.column(1):
+                    ids = words.ids(x.as_py() or "")
                     ids = np.append(ids, ids.dtype.type(end_id))
                     n = len(ids)
                     left = n % size
