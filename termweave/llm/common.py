@@ -97,11 +97,12 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     if not n:
         return h
     k = min(k, n)
-    out = np.zeros(n - k + 1, np.uint64)
+    out = h[: n - k + 1].copy()
     with np.errstate(over="ignore"):
-        for j in range(k):
-            out = mix64(out * GOLDEN + h[j : n - k + 1 + j])
-        return out + np.uint64(k)
+        for j in range(1, k):
+            out *= GOLDEN
+            out += h[j : n - k + 1 + j]
+        return mix64(out + np.uint64(k))
 
 
 def shingles(text: str | None, k: int = 5) -> np.ndarray:

@@ -16,6 +16,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.simhash import compare_edits
+
+    return compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.token_counts import count_tokens
 
@@ -29,6 +35,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op8_packing": op8_packing,
 }
