@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from termweave.llm.common import table
 
@@ -16,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.suffix_tree import score
+
+    return score(table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.simhash import compare_edits
 
@@ -35,6 +42,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_tree": op3_suffix_tree,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op8_packing": op8_packing,
