@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.suffix_tree import score
 
@@ -35,6 +41,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.toxicity import score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    scored = score(docs, train(docs, labels.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.packing import pack
 
@@ -42,9 +57,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op3_suffix_tree": op3_suffix_tree,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
 }
 ORACLES: dict[str, str] = {}
