@@ -67,7 +67,7 @@ def train(vectors: DataFrame, lists: int, parts: int, sample: int, staging: Stag
     return Index(centroids, np.stack(books))
 
 
-def search(vectors: DataFrame, queries: "F.Column", k: int = 5, lists: int = 64, probe: int = 20, parts: int = 16, rerank: int = 200, sample: int = 20_000, block: int = 4096, staging: Staging | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: "F.Column", k: int = 5, lists: int = 64, probe: int = 44, parts: int = 16, rerank: int = 200, sample: int = 20_000, block: int = 4096, staging: Staging | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that meets `queries` its k nearest other rows found.
 
     Nearness is cosine in double precision on the original vectors; ties go to the smaller id. A vector that is null,

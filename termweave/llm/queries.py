@@ -23,6 +23,12 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.lsh_forest import links
+
+    return links(table(spark, sf_dir, "documents"), threshold=0.8, k=5)
+
+
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.suffix_tree import score
 
@@ -58,6 +64,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_suffix_tree": op3_suffix_tree,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
