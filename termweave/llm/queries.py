@@ -47,6 +47,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.suffix_dedup import repeats
+
+    return repeats(table(spark, sf_dir, "documents"), least=50)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.toxicity import score, train
 
@@ -62,13 +68,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), size=2048, end_id=1)
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.paragraphs import duplicates
+
+    return duplicates(table(spark, sf_dir, "documents"), threshold=0.8, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_suffix_tree": op3_suffix_tree,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_paragraph_dedup": op9_paragraph_dedup,
 }
 ORACLES: dict[str, str] = {}
