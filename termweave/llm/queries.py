@@ -74,6 +74,12 @@ def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(table(spark, sf_dir, "documents"), threshold=0.8, k=5)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.mixing import weigh
+
+    return weigh(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_jaccard_join": op2_jaccard_join,
@@ -84,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_paragraph_dedup": op9_paragraph_dedup,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}

@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,8 +178,6 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
 def remove(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the words of the spans (key, start, end), each with the white space before it; all columns stay.
     Rows that lose nothing keep their text as it is. A row whose words are all removed keeps an empty text."""
-    import pandas as pd
-
     lists = spans.groupBy(F.col(key).alias("__id")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("a"), F.col("end").cast("int").alias("z")))).alias("__cut"))
 
     @F.pandas_udf("string")

@@ -12,7 +12,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Neutral names of groups; terms of one line may be swapped for each other. A parameter.
@@ -154,6 +155,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, identity: tu
     return fit(rows, pairs, swap=swap)
 
 
+def scorer(spark: SparkSession, model: Model):
+    """The model as a column function: text -> score."""
+    shared = spark.sparkContext.broadcast(model)  # a few thousand weights at most
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(t) for t in texts], dtype=float)
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, score in (0, 1), predicted (1 if score >= threshold, else 0) of every row; no shuffle. A null text scores
     as an empty one; rows with equal or null keys stay rows of their own; other columns are left out."""
