@@ -88,7 +88,7 @@ class Tree:
         return np.add.reduceat(self.log10(code[first], before[first])[back], starts)
 
 
-def score(docs: DataFrame, held_out: "F.Column", staging: Staging | None = None, depth: int = 6, threshold: float = 3.0, broadcast_rows: int = 4_000_000, block_words: int = 150_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, held_out: "F.Column", staging: Staging | None = None, depth: int = 6, threshold: float = 3.0, broadcast_rows: int = 4_000_000, block_words: int = 400_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Tokens are the runs of characters other than ASCII white space, A-Z in lower case, then one end. Rows where
