@@ -98,7 +98,8 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     kept = staging.put(rows.mapInArrow(select, "id bigint, at int, hash bigint"), "anchors")
-    often = kept.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # written, so that the join deals both sides anew and can split a hot passage
+    often = staging.put(kept.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
     by_doc = kept.join(often, "hash").groupBy("id").agg(F.collect_list(F.struct("at", "hash")).alias("spots"))
     suffixes = staging.put(rows.join(by_doc, "id").select("id", "text", "spots").mapInArrow(window, "id bigint, at int, hash bigint, after string, before string"), "suffixes")
     staging.drop("anchors")
