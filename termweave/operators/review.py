@@ -167,7 +167,7 @@ def glossary_violations(segments: DataFrame, glossary: DataFrame, fold_taa: bool
     s = segments.withColumn("have", norm(F.col("target"))).withColumn("src_low", F.lower("source"))
     runs = F.split(F.regexp_replace("src_low", rf"([^\p{{L}}\p{{N}}_]+)", "\u0001$1\u0001"), "\u0001")
     # n-grams of words that single spaces part
-    pieces = s.withColumn("p", runs)
+    pieces = s.select("*", F.explode(F.array(runs)).alias("p"))  # worked out once a row, not in every lambda
     grams = F.expr(
         f"""array_distinct(flatten(transform(sequence(0, size(p) - 1, 2), i -> transform(sequence(1, {longest}), n ->
             case when i + 2 * n - 2 < size(p) and get(p, i) <> '' and get(p, i + 2 * n - 2) <> ''
