@@ -268,7 +268,7 @@ def _(s, d):
     return R.suppress(C.flags(C.occurrences(parts(s, d), RAW), RAW), _decided(s, d), True).select("key", "decided")
 
 
-@query("glossary_adherence", f"with {PARTS}, g as (select lower(p_name) term, min(p_brand) want from part where p_size <= 5 group by 1) select sid, term, want from parts join g on regexp_matches(lower(source), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(term) || '($|[^\\p{{L}}\\p{{N}}_])') where not contains(target, want)")
+@query("glossary_adherence", f"with {PARTS}, g as (select lower(p_name) term, min(p_brand) want from part where p_size <= 5 group by 1) select sid, term, want from parts join g on contains(' ' || lower(source) || ' ', ' ' || term || ' ') where not contains(target, want)")
 def _(s, d):
     g = table(s, d, "part").where("p_size <= 5").groupBy(F.lower("p_name").alias("source")).agg(F.min("p_brand").alias("target"))
     return R.glossary_violations(parts(s, d), g, strip_clitics=False).select("sid", F.col("source_term").alias("term"), F.col("approved").alias("want"))
