@@ -138,38 +138,38 @@ def grouped(batches: Iterator, keys: list[str]) -> Iterator[tuple[tuple, dict[st
 def components(edges: DataFrame, staging: Staging, name: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the smallest node of its component.
 
-    Alternates large-star and small-star steps, each two shuffles of the edges; labels never leave the
-    executors. Every round is written, so a lost executor costs one round at most.
+    Alternates large-star and small-star steps. The smallest neighbours are written before each join with them, so the
+    join deals both sides anew and a node with very many neighbours can be split. Labels never leave the executors;
+    a lost executor costs one step at most.
     """
 
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
-    def state(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
     e = staging.put(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         f"{name}_0",
     )
-    before = state(e)
+    single = False  # whether no node has two smaller neighbours
     for k in range(1, most_rounds + 1):
-        if not before[0]:
+        low = e.withColumnRenamed("v", "m") if single else staging.put(least(e), f"{name}_low_{k}")
+        # large star: an edge moves from its smaller end to that end's smallest neighbour
+        moved = e.join(low.select(F.col("u").alias("v"), "m"), "v", "left").groupBy("u", F.coalesce("m", "v").alias("v")).agg(F.max(F.col("m").isNotNull()).alias("moved"))
+        large = staging.put(moved, f"{name}_large_{k}")
+        n, any_moved = large.agg(F.count("*"), F.max("moved")).first()
+        if not any_moved and (single or low.count() == n):  # stars already
             break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        m = least(large)
-        small = large.join(m, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        large = large.select("u", "v")
+        m = staging.put(least(large), f"{name}_m_{k}")
+        single = m.count() == n
+        if single:
+            e = large
+            continue
+        # small star: a node's smaller neighbours get its smallest one
+        small = large.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.withColumnRenamed("m", "v")).distinct()
         e = staging.put(small, f"{name}_{k}")
-        after = state(e)
-        if k > 1:
-            staging.drop(f"{name}_{k - 1}")
-        if after == before:
-            break
-        before = after
+        staging.drop(f"{name}_{k - 1}", f"{name}_low_{k}", f"{name}_large_{k}", f"{name}_m_{k}")
+    else:
+        raise RuntimeError(f"{name}: no end after {most_rounds} rounds")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-

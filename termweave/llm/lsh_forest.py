@@ -81,10 +81,10 @@ def links(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 16,
     texts = staging.put(texts, "texts")
     nodes = texts.where("id is not null").select("id", F.explode("keys").alias("node"))
     shared = nodes.groupBy("node").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("node", "low")
-    edges = nodes.join(shared, "node").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    edges = nodes.join(staging.put(shared, "shared"), "node").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     groups = components(edges, staging, "candidates").select(F.col("node").alias("id"), F.col("root").alias("grp"))
     members = staging.put(texts.select("id", "n", "chars", "mark").join(groups, "id"), "members")
-    dealt = cells(members).join(rows, "id")
+    dealt = cells(members, staging).join(rows, "id")
 
     def sets_of(text, own):
         h = shingles(text, k)
@@ -98,5 +98,5 @@ def links(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 16,
     classes = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), staging, "classes")
     named = texts.select("mark", "id", "n").join(n_links, "id", "left").join(classes.select(F.col("node").alias("id"), "root"), "id", "left")
     named = named.select("mark", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = signed.select("id", "mark").join(named, "mark", "left")
+    out = signed.select("id", "mark").join(staging.put(named, "named"), "mark", "left")
     return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -13,14 +13,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import BLOCK_CHARS, BLOCK_DOCS, grouped
+from termweave.llm.common import BLOCK_CHARS, BLOCK_DOCS, Staging, grouped
 
 
-def cells(members: DataFrame) -> DataFrame:
-    """members(id, grp, chars, ...) -> a row for each cell (grp, i, j) that the member is in, with its block."""
+def cells(members: DataFrame, staging: Staging) -> DataFrame:
+    """members(id, grp, chars, ...) -> a row for each cell (grp, i, j) that the member is in, with its block. The sizes
+    are written, so that the join with them can split a large group."""
     sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("chars").alias("total")).where("m > 1")
     sizes = sizes.select("grp", F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_CHARS)).cast("int").alias("g"))
-    cut = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    cut = members.join(staging.put(sizes, "sizes"), "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     return cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("o", "g", "chars")
 
 

@@ -80,13 +80,13 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
     distinct = staging.put(distinct, "distinct")
     nodes = distinct.select("id", F.explode("bands").alias("band"))
     shared = nodes.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low")
-    edges = nodes.join(shared, "band").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    edges = nodes.join(staging.put(shared, "shared"), "band").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     groups = components(edges, staging, "candidates").select(F.col("node").alias("id"), F.col("root").alias("grp"))
     members = distinct.join(groups, "id").select("id", "grp", "n", F.col("own.chars").cast("long").alias("chars"), F.col("own.id").alias("doc"), F.col("own.line").alias("line"))
     members = staging.put(members, "members")
     found = members.select("id", "doc", "line").join(texts.withColumnRenamed("id", "doc"), "doc")
     found = found.select("id", F.get(F.split("text", "\n", -1), F.col("line")).alias("text"))
-    dealt = cells(members.drop("doc", "line").withColumn("mark", F.col("id"))).join(found, "id")
+    dealt = cells(members.drop("doc", "line").withColumn("mark", F.col("id")), staging).join(found, "id")
 
     def sets_of(text, own):
         h = np.unique(window_hashes(WORDS.of((text or "").lower().split()), k))
@@ -100,14 +100,14 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
     in_class = lines.select("id", "start", "end", "hash").distinct().join(classes, "hash", "left").select(F.coalesce("root", "hash").alias("class_id"), "id", "start", "end")
     windows = units.where("line is null").select(F.col("hash").alias("class_id"), "id", "start", "end").distinct()
 
-    def judged(rows: DataFrame) -> DataFrame:
+    def judged(rows: DataFrame, name: str) -> DataFrame:
         heads = rows.groupBy("class_id").agg(F.min(F.struct("id", "start")).alias("own"), F.count("*").alias("n")).where("n > 1").drop("n")
-        return rows.join(heads, "class_id").select("id", "start", "end", "class_id", ((F.col("id") != F.col("own.id")) | (F.col("start") != F.col("own.start"))).alias("removed"))
+        return rows.join(staging.put(heads, name), "class_id").select("id", "start", "end", "class_id", ((F.col("id") != F.col("own.id")) | (F.col("start") != F.col("own.start"))).alias("removed"))
 
-    spare = judged(windows)
+    spare = judged(windows, "window_heads")
     by_start = Window.partitionBy("id", "removed").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     islands = spare.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("id", "removed", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("class_id").alias("class_id"))
-    out = judged(in_class).unionByName(merged.select("id", "start", "end", "class_id", "removed"))
+    out = judged(in_class, "line_heads").unionByName(merged.select("id", "start", "end", "class_id", "removed"))
     return out.select(F.col("id").alias(key), "start", "end", "class_id", "removed")

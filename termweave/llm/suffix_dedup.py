@@ -167,7 +167,7 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
         names = spark.createDataFrame(list(renamed.items()), "run bigint, whole bigint")
         hits = hits.join(F.broadcast(names), "run", "left").withColumn("run", F.coalesce("whole", "run")).drop("whole")  # a row a range at most
         hits = hits.unionByName(spark.createDataFrame(more, "run bigint, id bigint, at int, start int, end int"))
-    owner = hits.groupBy("run").agg(F.min(F.struct("id", "at")).alias("own"))
+    owner = staging.put(hits.groupBy("run").agg(F.min(F.struct("id", "at")).alias("own")), "owner")  # written, as above
     spare = hits.join(owner, "run").where("id <> own.id or at <> own.at").select("id", F.greatest("start", F.lit(0)).alias("start"), "end", F.col("own.id").alias("first_id"))
     by_start = Window.partitionBy("id").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))

@@ -282,3 +282,13 @@ def test_pipeline(spark, tmp_path):
     assert 200 in kept[1] and not kept[1] & {201, 202, 203, 204, 301, 302} and 300 in kept[1]
     assert {100, 101, 102, 103} <= kept[2] and kept[3] <= kept[2] and kept[4] == kept[3]
     assert {r["doc_id"] for r in p.run(spark, str(tmp_path)).collect()} == kept[4]
+
+
+def test_components(spark):
+    from termweave.llm.common import Staging, components
+
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(300, 360)] + [(700, 701), (701, 700), (702, 702), (None, 3), (3, None), (-5, 700)]
+    got = dict(tuple(r) for r in components(spark.createDataFrame(pairs, "a bigint, b bigint"), Staging(spark), "c").collect())
+    want = {i: 100 for i in range(100, 141)} | {i: 300 for i in [*range(300, 360), 500]} | {700: -5, 701: -5, -5: -5}
+    assert got == want
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), Staging(spark), "c").count() == 0
