@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.llm.common import WORDS, Staging, components, mix64, window_hashes
-from termweave.llm.lsh_forest import signature
+from termweave.llm.lsh_forest import signatures
 from termweave.llm.near import cells, verify
-from termweave.llm.suffix_dedup import anchors
+from termweave.llm.suffix_dedup import anchors_of
 
 
 def bands(threshold: float, recall: float, rows: int) -> int:
@@ -32,6 +32,18 @@ def unit_hash(h: np.ndarray) -> int:
         return int(mix64(np.array([mix64(h).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)).astype(np.int64)[0])
 
 
+def line_sets(h: np.ndarray, a: np.ndarray, z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sets of the word runs [a, z), all of k words or more, one after another, and where each begins."""
+    n = z - a - k + 1
+    which = np.repeat(np.arange(len(n)), n)
+    v = window_hashes(h, k)[np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)]
+    order = np.lexsort((v, which))
+    v, which = v[order], which[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (which[1:] != which[:-1])
+    return v[new], np.searchsorted(which[new], np.arange(len(n)))
+
+
 def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words: int = 20, least: int = 50, span: int = 30, recall: float = 0.995, rows: int = 3, staging: Staging | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, start, end, class_id, removed of every unit that has a duplicate: words [start, end) of the row.
 
@@ -47,31 +59,53 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
     staging = staging or Staging(docs.sparkSession)
     n_bands = bands(threshold, recall, rows)
 
+    def lines_of(h: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit hashes, and a number for each band, of the word runs [a, z)."""
+        units, codes = np.empty(len(a), np.int64), np.empty((len(a), n_bands), np.int64)
+        size = np.minimum(k, z - a)
+        for own in np.unique(size).tolist():  # runs of fewer than k words are one shingle
+            at = np.flatnonzero(size == own)
+            v, starts = line_sets(h, a[at], z[at], own)
+            s = signatures(v, starts, n_bands * rows).reshape(len(at), n_bands, rows)
+            with np.errstate(over="ignore"):
+                code = np.tile(np.arange(n_bands, dtype=np.uint64), (len(at), 1))
+                for r in range(rows):
+                    code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + s[:, :, r])
+                codes[at] = code.astype(np.int64)
+                total = np.add.reduceat(mix64(v), starts) + np.diff(np.append(starts, len(v))).astype(np.uint64)
+                units[at] = mix64(total).astype(np.int64)
+        return units, codes
+
     def cut(batches: Iterator) -> Iterator:
         names = ["id", "line", "start", "end", "chars", "hash", "bands"]
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for low in range(0, batch.num_rows, 64):
-                out = []
+                lines, hashes, windows, base = [], [], [], 0
                 for i, x in zip(ids[low : low + 64], batch.column(1).slice(low, 64)):
-                    t = (x.as_py() or "").lower()
                     at, words = 0, []
-                    for number, line in enumerate(t.split("\n")):
+                    for number, line in enumerate((x.as_py() or "").lower().split("\n")):
                         own = line.split()
                         words += own
-                        if len(own) >= least_words:
-                            h = np.unique(window_hashes(WORDS.of(own), k))
-                            s = signature(h, n_bands * rows).reshape(n_bands, rows)
-                            with np.errstate(over="ignore"):
-                                code = np.arange(n_bands, dtype=np.uint64)
-                                for r in range(rows):
-                                    code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + s[:, r])
-                            out.append((i, number, at, at + len(own), len(line), unit_hash(h), code.astype(np.int64)))
+                        if len(own) >= max(1, least_words):
+                            lines.append((i, number, at, at + len(own), len(line), base + at))
                         at += len(own)
-                    places, hashes = anchors(words, 8, least - span + 1, span)
-                    out += [(i, None, p, p + span, 0, v, None) for p, v in zip(places.tolist(), hashes.astype(np.int64).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
+                    h = WORDS.of(words)
+                    hashes.append(h)
+                    base += len(h)
+                    places, v = anchors_of(h, 8, least - span + 1, span)
+                    windows.append((np.full(len(places), i, np.int64), places, v.astype(np.int64)))
+                if lines:
+                    cols = np.array(lines, np.int64).T
+                    unit, codes = lines_of(np.concatenate(hashes), cols[5], cols[5] + cols[3] - cols[2])
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * n_bands, pa.int32()), pa.array(codes.ravel()))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols[:5], types)), pa.array(unit), listed], names=names)
+                i, places, v = (np.concatenate(c) for c in zip(*windows))
+                if len(i):
+                    start = places.astype(np.int32)
+                    none = [pa.nulls(len(i), t) for t in (types[1], types[6])]
+                    yield pa.RecordBatch.from_arrays([pa.array(i), none[0], pa.array(start), pa.array(start + np.int32(span)), pa.array(np.zeros(len(i), np.int32)), pa.array(v), none[1]], names=names)
 
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     units = staging.put(texts.mapInArrow(cut, "id bigint, line int, start int, end int, chars int, hash bigint, bands array<bigint>"), "units")

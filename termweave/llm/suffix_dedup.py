@@ -36,7 +36,11 @@ def minimisers(h: np.ndarray, w: int) -> np.ndarray:
 
 def anchors(words: list[str], k: int, w: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Selected positions, and the hashes of the `length` words that start there."""
-    h = WORDS.of(words)
+    return anchors_of(WORDS.of(words), k, w, length)
+
+
+def anchors_of(h: np.ndarray, k: int, w: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the words' hashes."""
     if len(h) < max(length, k + w - 1):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = minimisers(window_hashes(h, k), w)
