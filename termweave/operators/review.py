@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
+from termweave.operators.consistency import ranked
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -220,12 +221,13 @@ def file_summary(files: DataFrame, segments: DataFrame) -> DataFrame:
     return files.select("file").join(segments.groupBy("file").agg(F.count("*").alias("segments")), "file", "left").select("file", F.coalesce("segments", F.lit(0)).alias("segments"))
 
 
-def search_flags(found: DataFrame, query: str = "", regex: bool = False, inconsistent: bool = False, most: int = 400) -> DataFrame:
+def search_flags(found: DataFrame, query: str = "", regex: bool = False, inconsistent: bool = False, most: int | None = None) -> DataFrame:
+    """Flags whose n-gram or a span holds the query, ignoring case; `most` of them, in reading order, if it is given."""
     hit = (lambda c: c.rlike(f"(?i){query}")) if regex else (lambda c: F.contains(F.lower(c), F.lit(query.lower())))
     out = found.where(F.col("distinct") >= 2) if inconsistent else found
     if query:
         out = out.where(hit(F.col("ngram")) | F.exists("variants", lambda v: hit(v["span"])))
-    return out.limit(most)
+    return out if most is None else ranked(out).limit(most)
 
 
 def top_variants(found: DataFrame) -> DataFrame:
