@@ -180,9 +180,10 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
     return merged.select(F.col("id").alias(key), "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "first_id")
 
 
-def remove(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id", emptied: bool = True) -> DataFrame:
     """docs without the words of the spans (key, start, end), each with the white space before it; all columns stay.
-    Rows that lose nothing keep their text as it is. A row whose words are all removed keeps an empty text."""
+    Rows that lose nothing keep their text as it is. A row whose words are all removed keeps a text without words, or
+    goes if `emptied` is false."""
     lists = spans.groupBy(F.col(key).alias("__id")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("a"), F.col("end").cast("int").alias("z")))).alias("__cut"))
 
     @F.pandas_udf("string")
@@ -204,4 +205,6 @@ def remove(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "do
 
     both = docs.join(lists, docs[key].cast("long") == F.col("__id"), "left")
     fixed = both.where("__cut is not null").withColumn(text, cut(F.col(text), F.col("__cut"))).select(docs.columns)
+    if not emptied:
+        fixed = fixed.where(F.col(text).rlike(r"\S"))
     return both.where("__cut is null").select(docs.columns).unionByName(fixed)

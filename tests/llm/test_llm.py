@@ -280,7 +280,7 @@ def test_pipeline(spark, tmp_path):
             assert at.columns == docs.columns
     assert not kept[0] & {t[0] for t in toxic} and {i for i, _ in ROWS} <= kept[0]
     assert 200 in kept[1] and not kept[1] & {201, 202, 203, 204, 301, 302} and 300 in kept[1]
-    assert {100, 101, 102, 103} <= kept[2] and kept[3] <= kept[2] and kept[4] == kept[3]
+    assert {100, 101, 102, 103, 400, 401, 402} <= kept[2] and kept[3] <= kept[2] and kept[4] == kept[3]
     assert {r["doc_id"] for r in p.run(spark, str(tmp_path)).collect()} == kept[4]
 
 
