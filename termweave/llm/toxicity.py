@@ -42,7 +42,7 @@ def features(word: str) -> tuple[int, ...]:
 
 
 class Features(dict):
-    LIMIT = 200_000
+    LIMIT = 30_000
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         f = features(word)
@@ -74,7 +74,7 @@ class Model:
             v = known.get(w)
             if v is None:
                 v = sum(get(f, 0.0) for f in features(w))
-                if len(known) < 300_000 and len(w) < 60:
+                if len(known) < 80_000 and len(w) < 60:
                     known[w] = v
             z += v
         return float(1 / (1 + np.exp(-max(-50.0, min(50.0, z)))))
@@ -90,18 +90,23 @@ def fit(rows: list[tuple[np.ndarray, int]], pairs: dict[tuple[str, str], int], s
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.05
         return Model({}, float(np.log(rate / (1 - rate))))
     flat = np.concatenate([f for f, _ in rows])
-    at = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    unique, back = np.unique(flat, return_inverse=True)
-    pos, all_ = np.bincount(back, y[at], len(unique)), np.bincount(back, minlength=len(unique))
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in rows])
+    counts = np.bincount(flat, minlength=SPACE)
+    unique = np.flatnonzero(counts)
+    pos, all_ = np.bincount(flat[y[at] == 1], minlength=SPACE)[unique].astype(float), counts[unique]
+    del counts
     p, q = y.sum(), len(y) - y.sum()
     diff = (pos / p - (all_ - pos) / q) / np.sqrt((all_ / len(y)) * (1 - np.minimum(all_, len(y) - 0.5) / len(y)) * (1 / p + 1 / q) + 1e-12)
     ok = all_ >= 3
     best = np.argsort(-np.where(ok, np.abs(diff), -1), kind="stable")[:select]
     swapped = sorted({f for pair in pairs for t in pair for f in features(t)})
     chosen = np.union1d(unique[best[ok[best]]], np.array(swapped, unique.dtype))
-    column = np.searchsorted(chosen, flat)
-    kept = (column < len(chosen)) & (chosen[np.minimum(column, len(chosen) - 1)] == flat)
+    place = np.full(SPACE, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    column = place[flat]
+    kept = column >= 0
     column, at = column[kept], at[kept]
+    del flat, kept, place
     deltas = np.zeros((len(pairs), len(chosen)))
     for i, ((a, b), n) in enumerate(sorted(pairs.items())):
         for t, sign in ((b, 1), (a, -1)):
