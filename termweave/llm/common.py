@@ -17,7 +17,19 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_DOCS, BLOCK_CHARS = 256, 4_000_000
 
 
+#: Arrow batches hold whole texts, in the JVM and in Python: Spark's own bounds, and ours in their place.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets smaller Arrow batches for the session, where it has Spark's default."""
+    for name, (default, ours) in ARROW.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +61,7 @@ class Staging:
     """
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.root)
 
@@ -74,7 +87,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 80_000  # about 16 MB a worker
 
     def __missing__(self, word: str) -> int:
         from xxhash import xxh3_64_intdigest
