@@ -88,17 +88,33 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(which).astype(np.int64))), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(keys).astype(np.int64))], names=["id", "at", "hash"])
 
     def window(batches: Iterator) -> Iterator:
+        names = ("id", "at", "hash", "after", "before")
+
+        def rows_of(d: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(d.values(), (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()))], names=list(names))
+
         for batch in batches:
-            d = {c: [] for c in ("id", "at", "hash", "after", "before")}
-            for i, x, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            d = {c: [] for c in names}
+            spots, bounds = batch.column(2).flatten(), np.asarray(batch.column(2).offsets)
+            bounds = bounds - bounds[0]
+            spot_at, spot_hash = spots.field(0).to_numpy(), spots.field(1).to_numpy()
+            for n, (i, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 words = (x.as_py() or "").split()
                 at, h = anchors(words, k, w, shared)
-                own = set(zip(at.tolist(), h.astype(np.int64).tolist()))
-                for spot in {(s["at"], s["hash"]) for s in spots} & own:
-                    p = spot[0]
-                    for c, v in zip(d, (i, p, spot[1], " ".join(words[p : p + ahead]), " ".join(words[max(0, p - back) : p][::-1]))):
+                if not len(at):
+                    continue
+                wanted, hashes = spot_at[bounds[n] : bounds[n + 1]], spot_hash[bounds[n] : bounds[n + 1]]
+                own = np.minimum(np.searchsorted(at, wanted), len(at) - 1)
+                same = (at[own] == wanted) & (h[own].astype(np.int64) == hashes)  # a repeated key may name another text
+                for o in np.unique(own[same]).tolist():
+                    p = int(at[o])
+                    for c, v in zip(names, (i, p, int(h[o].astype(np.int64)), " ".join(words[p : p + ahead]), " ".join(words[max(0, p - back) : p][::-1]))):
                         d[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(d.values(), (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()))], names=list(d))
+                if len(d["id"]) >= 4096:
+                    yield rows_of(d)
+                    d = {c: [] for c in names}
+            if d["id"]:
+                yield rows_of(d)
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     kept = staging.put(rows.mapInArrow(select, "id bigint, at int, hash bigint"), "anchors")
