@@ -165,9 +165,9 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
             out = [record(0, last, *wide), record(2, last)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["hash", "after", "before", "id", "at"]
-    ranged = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # no number given: small ranges that lie next to each other may become one task and one file
+    ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = "kind int, part bigint, run bigint, id bigint, at int, hash bigint, after string, before string, start int, end int"
     compared = staging.put(ranged.mapInArrow(compare, schema), "compared")
     staging.drop("suffixes")
