@@ -1,9 +1,10 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, components.
 
-Units are paragraphs (lines of enough words) and, as passages repeat inside paragraphs too, windows of words that start
+Units are paragraphs (all lines that have words) and, as passages repeat inside paragraphs too, windows of words that start
 at content-selected positions: minimisers, so a passage of `least` words holds a window that begins at the same word
 wherever the passage stands. Equal units are one row from the start. Paragraphs collide in bands of their MinHash
-signature, tuned for the target recall; colliding ones are verified by exact Jaccard similarity. Windows have one
+signature, tuned for the target recall; colliding ones are verified by exact Jaccard similarity; sets so small
+that only an equal one reaches the threshold have no bands. Windows have one
 length, so all similar enough are equal, and their whole shingle set is their band.
 """
 
@@ -44,13 +45,13 @@ def line_sets(h: np.ndarray, a: np.ndarray, z: np.ndarray, k: int) -> tuple[np.n
     return v[new], np.searchsorted(which[new], np.arange(len(n)))
 
 
-def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words: int = 20, least: int = 50, span: int = 30, recall: float = 0.995, rows: int = 3, staging: Staging | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words: int = 1, least: int = 50, span: int = 30, recall: float = 0.995, rows: int = 3, staging: Staging | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, start, end, class_id, removed of every unit that has a duplicate: words [start, end) of the row.
 
     A class is a connected component of units whose sets of k-word shingles (lower case) are similar to at least the
     threshold; its first unit, by key and place, is kept and the others are removed. Windows to be removed that
     overlap in a row are one unit, under the smallest class of theirs; kept windows are not listed unless as such.
-    Lines below least_words words are no units. Null and empty texts have no units; rows with a null key take no
+    Every line with words is a unit (least_words: at least so many); one of fewer than k words is one shingle. Null and empty texts have no units; rows with a null key take no
     part; rows that repeat a key are all units of that key, equal units at one place counting once. Other columns
     are left out.
     """
@@ -59,22 +60,28 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
     staging = staging or Staging(docs.sparkSession)
     n_bands = bands(threshold, recall, rows)
 
-    def lines_of(h: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unit hashes, and a number for each band, of the word runs [a, z)."""
-        units, codes = np.empty(len(a), np.int64), np.empty((len(a), n_bands), np.int64)
+    def lines_of(h: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit hashes, a number for each band, and whether only equal sets are similar, of the word runs [a, z)."""
+        units, codes, alone = np.empty(len(a), np.int64), np.zeros((len(a), n_bands), np.int64), np.zeros(len(a), bool)
         size = np.minimum(k, z - a)
         for own in np.unique(size).tolist():  # runs of fewer than k words are one shingle
             at = np.flatnonzero(size == own)
             v, starts = line_sets(h, a[at], z[at], own)
+            sizes = np.diff(np.append(starts, len(v)))
+            with np.errstate(over="ignore"):
+                units[at] = mix64(np.add.reduceat(mix64(v), starts) + sizes.astype(np.uint64)).astype(np.int64)
+            few = sizes < threshold * (sizes + 1) - 1e-6  # n of n + 1 shingles is the nearest that another set can be
+            alone[at] = few
+            v, starts, at = v[np.repeat(~few, sizes)], np.cumsum(sizes[~few]) - sizes[~few], at[~few]
+            if not len(at):
+                continue
             s = signatures(v, starts, n_bands * rows).reshape(len(at), n_bands, rows)
             with np.errstate(over="ignore"):
                 code = np.tile(np.arange(n_bands, dtype=np.uint64), (len(at), 1))
                 for r in range(rows):
                     code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + s[:, :, r])
                 codes[at] = code.astype(np.int64)
-                total = np.add.reduceat(mix64(v), starts) + np.diff(np.append(starts, len(v))).astype(np.uint64)
-                units[at] = mix64(total).astype(np.int64)
-        return units, codes
+        return units, codes, alone
 
     def cut(batches: Iterator) -> Iterator:
         names = ["id", "line", "start", "end", "chars", "hash", "bands"]
@@ -98,8 +105,9 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
                     windows.append((np.full(len(places), i, np.int64), places, v.astype(np.int64)))
                 if lines:
                     cols = np.array(lines, np.int64).T
-                    unit, codes = lines_of(np.concatenate(hashes), cols[5], cols[5] + cols[3] - cols[2])
-                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * n_bands, pa.int32()), pa.array(codes.ravel()))
+                    unit, codes, alone = lines_of(np.concatenate(hashes), cols[5], cols[5] + cols[3] - cols[2])
+                    n = np.where(alone, 0, n_bands)
+                    listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(codes[~alone].ravel()))
                     yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols[:5], types)), pa.array(unit), listed], names=names)
                 i, places, v = (np.concatenate(c) for c in zip(*windows))
                 if len(i):

@@ -154,6 +154,40 @@ def test_paragraphs(docs, none):
     assert duplicates(none).count() == 0
 
 
+def test_paragraphs_of_any_length(spark):
+    """Against brute force over all lines; the texts are too short for windows."""
+    from termweave.llm.paragraphs import duplicates
+
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join("".join(rng.choice(SYLLABLES, 3)) for _ in range(n))
+    lines = [text(n) for n in (1, 2, 4, 5, 6, 8, 9, 12, 19)]
+    lines += [f"{x} {text(1)}" for x in lines if x.count(" ") > 3]  # one word more: 9 of 10 shingles may be near, 1 of 2 not
+    rows = [(i, "\n".join([lines[i % len(lines)].upper() if i % 2 else lines[i % len(lines)], "", text(3)])) for i in range(2 * len(lines))]
+    units, at = {}, 0
+    for i, t in rows:
+        at = 0
+        for line in t.split("\n"):
+            w = line.lower().split()
+            if w:
+                units[i, at, at + len(w)] = {tuple(w[s : s + 5]) for s in range(max(1, len(w) - 4))}
+            at += len(w)
+    names, root = sorted(units), {u: u for u in units}
+    for a in names:
+        for b in names:
+            if root[a] != root[b] and len(units[a] & units[b]) >= 0.8 * len(units[a] | units[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {u: new if r == old else r for u, r in root.items()}
+    size = collections.Counter(root.values())
+    want = {(*u, u != r) for u, r in root.items() if size[r] > 1}
+    got = duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["start"], r["end"], r["removed"]) for r in got} == want and len(got) == len(want)
+    assert any(z - a < 5 for _, a, z, _ in want) and any(5 <= z - a < 20 for _, a, z, _ in want)
+    classes = collections.defaultdict(set)
+    for r in got:
+        classes[r["class_id"]].add(root[r["doc_id"], r["start"], r["end"]])
+    assert all(len(c) == 1 for c in classes.values()) and len(classes) == len({root[tuple(w[:3])] for w in want})
+
+
 def test_simhash(docs, none, spark):
     import hashlib
 
