@@ -1,11 +1,12 @@
 """Repeated passages by a sparse suffix array.
 
-Only the suffixes that start at content-selected positions are kept: the minimisers of runs of words, so two equal
-passages of at least `least` words keep suffixes at the same places in both, the first early enough to share its first
-words (the key). Suffixes whose key occurs once are dropped. The rest are sorted over the whole cluster by key, the
-words that follow and the words before; neighbours in that order are compared and their match is extended to the right
-and to the left. A run of matching neighbours keeps its first occurrence in the corpus. The order is by ranges, so a
-passage that a third of all documents share is many tasks; runs that cross a range are joined at its ends.
+Content-selected places (the minimisers of runs of words) find where passages can repeat: two equal passages of at
+least `least` words have such places at the same words, the first early enough to share its first words (the key).
+Places whose key occurs once are dropped. The suffixes that begin at the others, or up to as many words before as a
+passage can, are sorted over the whole cluster by the hash of their first `least` words, key and place; neighbours with
+equal first words are a run, whose first row is the first occurrence. Longer passages are the union of such suffixes,
+each under its own owner, so nothing is removed that no earlier place holds. The order is by ranges, so a passage that
+a third of all documents share is many tasks; runs that cross a range are joined at its ends.
 """
 
 from __future__ import annotations
@@ -18,53 +19,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WORDS, Staging, window_hashes
+from termweave.llm.common import GOLDEN, WORDS, Staging, mix64, window_hashes
 
 
-def minimisers(h: np.ndarray, w: int) -> np.ndarray:
+def minimisers(h: np.ndarray, w: int, dense: bool = False) -> np.ndarray:
     """Positions that hold the smallest hash of some window of w. Of equal neighbours only every w-th counts, so text
-    that repeats one word has few."""
+    that repeats one word has few; if dense, all do, and the positions depend on nothing outside their window."""
     if len(h) < w:
         return np.zeros(0, np.int64)
     same = np.concatenate(([False], h[1:] == h[:-1]))
-    if same.any():
+    if same.any() and not dense:
         begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
         h = np.where((np.arange(len(h)) - begin) % w == 0, h, np.uint64(2**64 - 1))
     views = np.lib.stride_tricks.sliding_window_view(h, w)
     return np.unique(views.argmin(axis=1) + np.arange(len(views)))
 
 
-def anchors(words: list[str], k: int, w: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Selected positions, and the hashes of the `length` words that start there."""
-    return anchors_of(WORDS.of(words), k, w, length)
-
-
-def anchors_of(h: np.ndarray, k: int, w: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same from the words' hashes."""
+def anchors_of(h: np.ndarray, k: int, w: int, length: int, dense: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Selected positions of the words' hashes, and the hashes of the `length` words that start there."""
     if len(h) < max(length, k + w - 1):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = minimisers(window_hashes(h, k), w)
+    at = minimisers(window_hashes(h, k), w, dense)
     at = at[at <= len(h) - length]
     return at, window_hashes(h, length)[at]
 
 
-def alike(a: list[str], b: list[str]) -> int:
-    """How many words from the start are equal."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid - 1)
-    return lo
-
-
 def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, start, end, n_words, first_id of every passage to remove: words [start, end) of the row repeat a passage of
     at least `least` words whose first occurrence, by key and place, is elsewhere (in the row first_id).
 
-    Words are runs of characters that are not white space, compared exactly. Passages that overlap or touch in a row
+    Words are runs of characters that are not white space, compared by 128 bits of hash over `least` words. What is
+    removed at a place stands at an earlier one, where it stays or is itself removed for a still earlier one; so its
+    first occurrence stays. Passages that overlap or touch in a row
     are one (first_id: the smallest). Null and short texts have none; rows with a null key take no part; rows that
     repeat a key are told apart by their words, and rows equal in both count as one. Other columns are left out.
     """
@@ -73,122 +59,127 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
     spark = docs.sparkSession
     staging = staging or Staging(spark)
     w = (least - k + 2) // 2 + k // 2 - 2  # minimiser window
-    shared = least - w + 1  # words that the first selected suffix of a passage is sure to share
-    back, ahead = w - 1, least + 2
+    shared = least - w + 1  # words that the first selected place of a passage is sure to share
+    back = w - 1  # words of a passage before it, at most
 
     def select(batches: Iterator) -> Iterator:
         for batch in batches:
-            which, places, keys = [], [], []
+            which, keys = [], []
             for i, x in enumerate(batch.column(1)):
-                at, h = anchors((x.as_py() or "").split(), k, w, shared)
-                which.append(np.full(len(at), i))
-                places.append(at)
-                keys.append(h)
-            if which:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(which).astype(np.int64))), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(keys).astype(np.int64))], names=["id", "at", "hash"])
-
-    def window(batches: Iterator) -> Iterator:
-        names = ("id", "at", "hash", "after", "before")
-
-        def rows_of(d: dict) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(d.values(), (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()))], names=list(names))
-
+                h = np.sort(anchors_of(WORDS.of((x.as_py() or "").split()), k, w, shared, dense=True)[1])
+                first = np.ones(len(h), bool)
+                first[1:] = h[1:] != h[:-1]
+                own, n = h[first], np.diff(np.append(np.flatnonzero(first), len(h)))
+                which.append(np.repeat(i, len(own) + (n > 1).sum()))
+                keys += [own, own[n > 1]]  # twice, if the text itself repeats it
+            if which and len(which := np.concatenate(which)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which.astype(np.int64))), pa.array(np.concatenate(keys).astype(np.int64))], names=["id", "hash"])
+
+    def suffix(batches: Iterator) -> Iterator:
+        names = ["hash", "check", "id", "at"]
+
+        def rows_of(parts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
+
+        parts, size = [], 0
         for batch in batches:
-            d = {c: [] for c in names}
-            spots, bounds = batch.column(2).flatten(), np.asarray(batch.column(2).offsets)
+            wanted, bounds = batch.column(2).flatten().to_numpy(), np.asarray(batch.column(2).offsets)
             bounds = bounds - bounds[0]
-            spot_at, spot_hash = spots.field(0).to_numpy(), spots.field(1).to_numpy()
             for n, (i, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                words = (x.as_py() or "").split()
-                at, h = anchors(words, k, w, shared)
+                h = WORDS.of((x.as_py() or "").split())
+                places, keys = anchors_of(h, k, w, shared, dense=True)
+                places = places[np.isin(keys.astype(np.int64), wanted[bounds[n] : bounds[n + 1]])]
+                near = np.zeros(len(h) + 1, np.int64)  # starts from `back` words before a place to the place
+                np.add.at(near, np.maximum(places - back, 0), 1)
+                np.add.at(near, places + 1, -1)
+                at = np.flatnonzero(np.cumsum(near)[: max(0, len(h) - least + 1)] > 0)
                 if not len(at):
                     continue
-                wanted, hashes = spot_at[bounds[n] : bounds[n + 1]], spot_hash[bounds[n] : bounds[n + 1]]
-                own = np.minimum(np.searchsorted(at, wanted), len(at) - 1)
-                same = (at[own] == wanted) & (h[own].astype(np.int64) == hashes)  # a repeated key may name another text
-                for o in np.unique(own[same]).tolist():
-                    p = int(at[o])
-                    for c, v in zip(names, (i, p, int(h[o].astype(np.int64)), " ".join(words[p : p + ahead]), " ".join(words[max(0, p - back) : p][::-1]))):
-                        d[c].append(v)
-                if len(d["id"]) >= 4096:
-                    yield rows_of(d)
-                    d = {c: [] for c in names}
-            if d["id"]:
-                yield rows_of(d)
+                with np.errstate(over="ignore"):
+                    parts.append((window_hashes(h, least)[at].astype(np.int64), window_hashes(mix64(h + GOLDEN), least)[at].astype(np.int64), np.full(len(at), i, np.int64), at.astype(np.int32)))
+                size += len(at)
+                if size >= 65536:
+                    yield rows_of(parts)
+                    parts, size = [], 0
+        if parts:
+            yield rows_of(parts)
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    kept = staging.put(rows.mapInArrow(select, "id bigint, at int, hash bigint"), "anchors")
+    kept = staging.put(rows.mapInArrow(select, "id bigint, hash bigint"), "anchors")
     # written, so that the join deals both sides anew and can split a hot passage
     often = staging.put(kept.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
-    by_doc = kept.join(often, "hash").groupBy("id").agg(F.collect_list(F.struct("at", "hash")).alias("spots"))
-    suffixes = staging.put(rows.join(by_doc, "id").select("id", "text", "spots").mapInArrow(window, "id bigint, at int, hash bigint, after string, before string"), "suffixes")
+    by_doc = kept.join(often, "hash").groupBy("id").agg(F.collect_set("hash").alias("keys"))
+    suffixes = staging.put(rows.join(by_doc, "id").select("id", "text", "keys").mapInArrow(suffix, "hash bigint, check bigint, id bigint, at int"), "suffixes")
     staging.drop("anchors")
 
-    def match(a: tuple, b: tuple) -> tuple[int, int] | None:
-        """Words to the right and to the left, if the suffixes' match is long enough."""
-        if a[2] != b[2]:
-            return None
-        right = ahead if a[3] == b[3] and a[3].count(" ") + 1 >= ahead else alike(a[3].split(" "), b[3].split(" "))
-        left = alike(a[4].split(" "), b[4].split(" ")) if a[4] and b[4] else 0
-        return (right, left) if right + left >= least else None
-
     def compare(batches: Iterator) -> Iterator:
+        """Neighbours: a suffix whose first words are those of the one before it repeats the first of their run."""
         from pyspark import TaskContext
 
-        part, run, last, wide = TaskContext.get().partitionId(), 0, None, [0, 0]
-        names = ["kind", "part", "run", "id", "at", "hash", "after", "before", "start", "end"]
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+        part = TaskContext.get().partitionId()
+        names = ["kind", "part", "hash", "check", "id", "at", "own_id", "own_at"]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        last = head = opening = None  # the last suffix, the first of its run, the range's first run
 
-        def record(kind: int, row: tuple, right: int = 0, left: int = 0) -> tuple:
-            return (kind, part, part << 36 | run, row[0], row[1], *((row[2], row[3], row[4]) if kind else (None,) * 3), row[1] - left, row[1] + right)
+        def record(kind: int, cols: list, own: tuple, n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), t) for c, t in zip([np.full(n, kind), np.full(n, part), *cols, *own], types)], names=names)
 
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if last is None:
-                    out.append(record(1, row))
-                    last = row
-                    continue
-                if row == last:
-                    continue
-                found = match(last, row)
-                if found:
-                    wide = [max(wide[0], found[0]), max(wide[1], found[1])]
-                out.append(record(0, last, *wide))  # 0 words: no match
-                if not found:
-                    run += 1
-                wide = list(found) if found else [0, 0]
-                last = row
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+            cols = [c.to_numpy() for c in batch.columns]
+            n = len(cols[0])
+            if not n:
+                continue
+            start = np.ones(n, bool)
+            start[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+            again = np.zeros(n, bool)  # a row that repeats its key and its words
+            again[1:] = ~start[1:] & (cols[2][1:] == cols[2][:-1]) & (cols[3][1:] == cols[3][:-1])
+            if last is None:
+                opening = (cols[0][0], cols[1][0])
+                yield record(1, [c[:1] for c in cols], (cols[2][:1], cols[3][:1]), 1)
+                head = (cols[2][0], cols[3][0])
+            else:
+                start[0] = last[:2] != (cols[0][0], cols[1][0])
+                again[0] = last == tuple(c[0] for c in cols)
+            first = np.maximum.accumulate(np.where(start, np.arange(n), -1))
+            own_id, own_at = (np.where(first >= 0, c[np.maximum(first, 0)], h) for c, h in zip(cols[2:], head))
+            # the range's first run may go on from the range before: its rows are told apart, the first one with them
+            open_run = (cols[0] == opening[0]) & (cols[1] == opening[1])
+            spare = ~again & (~start | open_run)
+            for kind, which in ((0, spare & ~open_run), (3, spare & open_run)):
+                if which.any():
+                    yield record(kind, [c[which] for c in cols], (own_id[which], own_at[which]), int(which.sum()))
+            last, head = tuple(c[-1] for c in cols), (own_id[-1], own_at[-1])
         if last is not None:
-            out = [record(0, last, *wide), record(2, last)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+            yield record(2, [np.array([x]) for x in last], (np.array([head[0]]), np.array([head[1]])), 1)
 
-    order = ["hash", "after", "before", "id", "at"]
+    order = ["hash", "check", "id", "at"]
     # no number given: small ranges that lie next to each other may become one task and one file
     ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "kind int, part bigint, run bigint, id bigint, at int, hash bigint, after string, before string, start int, end int"
-    compared = staging.put(ranged.mapInArrow(compare, schema), "compared")
+    compared = staging.put(ranged.mapInArrow(compare, "kind int, part bigint, hash bigint, check bigint, id bigint, at int, own_id bigint, own_at int"), "compared")
     staging.drop("suffixes")
     ends = {}
-    for r in compared.where("kind > 0").collect():  # two rows a range
+    for r in compared.where("kind in (1, 2)").collect():  # two rows a range
         ends.setdefault(r["part"], {})[r["kind"]] = r
-    more, renamed, before = [], {}, None
+    firsts, before, owner = [], None, None
     for part in sorted(ends):
         first, last = ends[part][1], ends[part][2]
-        if before is not None and (found := match(tuple(before)[3:8], tuple(first)[3:8])):
-            renamed[first["run"]] = renamed.get(before["run"], before["run"])
-            for r in (before, first):
-                more.append((renamed.get(r["run"], r["run"]), r["id"], r["at"], r["at"] - found[1], r["at"] + found[0]))
+        goes_on = before is not None and before[2:4] == first[2:4]
+        firsts.append((part, *(owner if goes_on else (first["id"], first["at"]))))
+        owner = owner if goes_on and last[2:4] == first[2:4] else (last["own_id"], last["own_at"])
         before = last
-    hits = compared.where("kind = 0 and end > at").select("run", "id", "at", "start", "end")
-    if renamed:
-        names = spark.createDataFrame(list(renamed.items()), "run bigint, whole bigint")
-        hits = hits.join(F.broadcast(names), "run", "left").withColumn("run", F.coalesce("whole", "run")).drop("whole")  # a row a range at most
-        hits = hits.unionByName(spark.createDataFrame(more, "run bigint, id bigint, at int, start int, end int"))
-    owner = staging.put(hits.groupBy("run").agg(F.min(F.struct("id", "at")).alias("own")), "owner")  # written, as above
-    spare = hits.join(owner, "run").where("id <> own.id or at <> own.at").select("id", F.greatest("start", F.lit(0)).alias("start"), "end", F.col("own.id").alias("first_id"))
+    spare = compared.where("kind = 0").select("id", "at", "own_id")
+    if firsts:
+        parts, ids, places = (np.array(c, np.int64) for c in zip(*firsts))  # a row a range
+
+        def owned(batches: Iterator) -> Iterator:
+            for batch in batches:
+                part, i, at = (c.to_numpy() for c in batch.columns)
+                own = np.searchsorted(parts, part)
+                other = (i != ids[own]) | (at != places[own])
+                yield pa.RecordBatch.from_arrays([pa.array(i[other]), pa.array(at[other]), pa.array(ids[own][other])], names=["id", "at", "own_id"])
+
+        spare = spare.unionByName(compared.where("kind = 3").select("part", "id", "at").mapInArrow(owned, "id bigint, at int, own_id bigint"))
+    spare = spare.select("id", F.col("at").alias("start"), (F.col("at") + least).alias("end"), F.col("own_id").alias("first_id"))
     by_start = Window.partitionBy("id").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     islands = spare.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))

@@ -145,6 +145,39 @@ def test_suffix_dedup(docs, none, spark):
     assert repeats(none).count() == 0
 
 
+def test_suffix_dedup_is_exact(docs, spark):
+    """All repeated windows of 50 words but the first go, and nothing else: brute force over every place."""
+    from termweave.llm.suffix_dedup import repeats
+
+    rng = np.random.default_rng(3)
+    text = lambda n: ["".join(rng.choice(SYLLABLES, 3)) for _ in range(n)]
+    rows, passage, lead, tail = [], text(100), text(15), text(15)
+    for i, (a, z) in enumerate([([], []), ([], []), (lead, []), (lead, []), ([], tail), ([], tail), (lead, tail)]):  # lead-ins that the owner lacks
+        rows.append((i, text(20) + a + passage + z + text(20)))
+    n = 10
+    for _ in range(30):  # the left part alone sets the pair apart from others that share the right part
+        p = text(int(rng.integers(50, 56)))
+        rows += [(n, text(30) + p + text(30)), (n + 1, text(30) + p + text(30))] + [(n + 2 + j, text(40) + p[16:] + text(30)) for j in range(3)]
+        n += 5
+    rows += [(500, ["de"] * 130), (501, text(5) + ["de"] * 77 + text(5))]
+    rng.shuffle(order := list(range(len(rows))))
+    frame = spark.createDataFrame([(rows[o][0], " ".join(rows[o][1])) for o in order], "doc_id bigint, text string")
+    for table, texts in ((frame, dict(rows)), (docs, {i: (t or "").split() for i, t in ROWS if i is not None})):
+        seen, want = set(), set()
+        for i in sorted(texts):
+            w = texts[i]
+            for at in range(len(w) - 49):
+                if (x := tuple(w[at : at + 50])) in seen:
+                    want |= {(i, p) for p in range(at, at + 50)}
+                seen.add(x)
+        for whole in ("true", "false"):  # ranges as one task, and runs that cross ranges
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", whole)
+            got = repeats(table.repartition(9)).collect()
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+            spots = [(r["doc_id"], p) for r in got for p in range(r["start"], r["end"])]
+            assert set(spots) == want and len(spots) == len(want) and all(r["first_id"] <= r["doc_id"] for r in got)
+
+
 def test_paragraphs(docs, none):
     from termweave.llm.paragraphs import duplicates
 
