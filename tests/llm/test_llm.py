@@ -327,6 +327,21 @@ def test_mixing(docs, none):
     assert mixing.weigh(none).count() == 0
 
 
+def test_mixing_of_many_cells(spark, none):
+    """Cells too many for the driver get the same weights; sources of mostly one language need many rounds."""
+    from termweave.llm import mixing
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(SYLLABLES, rng.integers(1, 40))), f"s{i % 30}", f"l{i % 30 % 4 if rng.random() < 0.6 else rng.integers(4)}") for i in range(900)]
+    rows += [(2000, "", "s0", "l0")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    few, many = ({r["doc_id"]: r for r in mixing.weigh(docs, most_cells=n).collect()} for n in (200_000, 0))
+    assert few.keys() == many.keys()
+    for i, r in few.items():
+        assert abs(r["weight"] - many[i]["weight"]) <= 1e-8 * max(1, r["weight"]) and abs(r["probability"] - many[i]["probability"]) < 1e-8
+    assert mixing.weigh(none, most_cells=-1).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
