@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _end(spark: SparkSession, root: str, tables: list[str]) -> None:
+    try:
+        for name in tables:
+            spark.sql(f"drop table if exists {name}")
+    except Exception:  # the session has ended, and its catalogue with it
+        pass
+    _delete(spark, root)
+
+
 class Staging:
     """Tables written to the shared folder: they cut the lineage and outlive lost executors.
 
@@ -63,17 +73,32 @@ class Staging:
     def __init__(self, spark: SparkSession):
         bound_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-        atexit.register(_delete, spark, self.root)
+        self.tables: list[str] = []
+        atexit.register(_end, spark, self.root, self.tables)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put_by(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+        """A table in buckets by a column, so that joins on it deal nothing anew."""
+        own = f"staged_{self.root.rsplit('-', 1)[-1]}_{name}"
+        dealt = df.repartition(buckets, column).write.mode("overwrite").option("compression", "zstd").option("path", f"{self.root}/{name}")
+        dealt.bucketBy(buckets, column).sortBy(column).saveAsTable(own)
+        self.tables.append(own)
+        return self.spark.table(own)
+
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, f"{self.root}/{name}")
 
+    def collect_garbage(self) -> None:
+        """Shuffle files go when the driver has collected the frames that made them; between large steps that should
+        not wait until its memory is full."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (wraps around)."""

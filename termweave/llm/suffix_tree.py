@@ -1,18 +1,19 @@
-"""Language-model scoring by a probabilistic suffix tree over the bytes of words.
-
-A text is emitted token by token. The root state emits known tokens by their discounted counts; the discounted mass
-goes to an escape, after which the token is spelt byte by byte with a closing space (or is the end symbol). The tree
-spells: it learns from the different words of the corpus, once each, as new words come like those. A context is up to `depth` of the bytes read since the space before the word. A context is retained if its next-symbol
-distribution diverges from its suffix's (twice the likelihood ratio against a threshold for each symbol seen), so
-contexts vary in length. A retained context's distribution is smoothed towards that of its longest retained suffix,
-by as many pseudo-counts as it has different symbols; the empty context towards the uniform distribution over bytes.
-A symbol is scored by the longest retained suffix of what was read. This is a distribution over all texts: no
-word is unknown.
-
-Everything is counted over the whole corpus. A task cuts its documents into blocks with a vocabulary each; words meet
-their corpus counts and scores in a join of block vocabularies (not of tokens), and documents, kept as bags of
-block-local word numbers, meet their block's scores. Texts are never shuffled, and a frequent word is one row a
-block.
+"""Language-model scoring by a probabilistic suffix tree over the running text.
+
+A text is emitted token by token. A context is up to `depth` of the tokens before it in the text. A context that occurs
+at least `least` times is retained if its next-token distribution diverges from its longest retained suffix's: the
+likelihood ratio of what followed it must pay for naming each different follower. A retained context's distribution is
+smoothed towards that suffix's by as many pseudo-counts as it has different followers; a token is scored by the longest
+retained suffix of what was read. The empty context emits known tokens by their discounted counts; the discounted mass
+spells a token byte by byte, by a second suffix tree whose contexts are the bytes since the space before the word,
+learnt from the different words of the corpus, once each. So every text has a probability, and no word is unknown.
+
+Everything is counted over the whole corpus, and texts are never shuffled. A task cuts its documents into blocks with a
+vocabulary each; words meet their corpus counts in a join of block vocabularies (not of tokens). The tree grows a depth
+at a time: a block sends its different (context, token) pairs, packed as sorted arrays, to the range of the context's
+hash, where pairs of all blocks are counted and contexts tested, and gets the counts back in the order sent. Only
+contexts that the depth before has found often enough are sent. Pairs of a context that holds a large share of the
+corpus are dealt over all ranges; its sums are added up afterwards.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import Staging
+from termweave.llm.common import GOLDEN, Staging, mix64
 
 END = b"\n"
 
@@ -88,76 +89,337 @@ class Tree:
         return np.add.reduceat(self.log10(code[first], before[first])[back], starts)
 
 
-def score(docs: DataFrame, held_out: "F.Column", staging: Staging | None = None, depth: int = 6, threshold: float = 3.0, broadcast_rows: int = 4_000_000, block_words: int = 400_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+#: What a block sends to a range: contexts (hash, dealt over all ranges or not, number of pairs), then pairs (symbol,
+#: natural log of the suffix's probability, occurrences); and what it gets back: counts of pairs, followers of contexts.
+SENT, REPLY = ("u8", "u1", "u4", "u8", "f2", "u4"), ("u8", "u8")
+
+
+def pack(arrays: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
+    """Arrays as compressed bytes: all first bytes, then all second ones, so small numbers take little."""
+    import zstandard
+
+    cols = [np.ascontiguousarray(a, k) for a, k in zip(arrays, kinds)]
+    raw = [np.array([len(c) for c in cols], "u8").tobytes(), *(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in cols)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+
+
+def unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    lengths, at, out = raw[: 8 * len(kinds)].view("u8").astype(int), 8 * len(kinds), []
+    for n, k in zip(lengths, kinds):
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).ravel())
+        at += n * size
+    return out
+
+
+class Depth:
+    """The different (context, token) pairs of a block at one depth, in the order of the ranges they are sent to.
+
+    ctx: the block's number of the context of each token that has one, -1 elsewhere; hashes and counts by that number.
+    """
+
+    def __init__(self, ctx: np.ndarray, ids: np.ndarray, words: np.ndarray, hashes: np.ndarray, counts: np.ndarray, ranges: int, hot: float):
+        self.at = np.flatnonzero(ctx >= 0)
+        keys, self.back = np.unique(ctx[self.at].astype(np.uint64) << np.uint64(32) | ids[self.at], return_inverse=True)
+        own, symbol = (keys >> np.uint64(32)).astype(np.int64), words[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        self.total = counts[own]
+        self.hash, self.symbol, self.dealt = hashes[own], symbol, self.total > hot
+        with np.errstate(over="ignore"):
+            self.next = mix64(self.hash * GOLDEN + symbol)  # the pair as a longer context
+            place = np.where(self.dealt, mix64(self.hash ^ symbol), self.hash)
+        place = (place >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        self.order = np.argsort(place.astype(np.uint16 if ranges <= 1 << 16 else np.uint32), kind="stable")
+        place, own = place[self.order], own[self.order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1])
+        self.first = np.flatnonzero(new)  # of each run of pairs with one context in one range
+        self.sizes = np.diff(np.append(self.first, len(own)))
+        self.place, self.run_place = place, place[self.first]
+
+    def sent(self, p: np.ndarray, taught: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(range, packed pairs); p: the tokens' probabilities so far; taught: 1 for tokens that teach, else 0."""
+        lp = np.empty(len(self.hash))
+        lp[self.back] = np.log(p[self.at])
+        n = np.bincount(self.back, taught[self.at], len(self.hash))[self.order]
+        lp, symbol = lp[self.order], self.symbol[self.order] >> np.uint64(16)
+        head = self.order[self.first]
+        for r in np.unique(self.run_place).tolist():
+            a, z = np.searchsorted(self.run_place, [r, r + 1])
+            b, y = np.searchsorted(self.place, [r, r + 1])
+            yield r, pack([self.hash[head[a:z]], self.dealt[head[a:z]], self.sizes[a:z], symbol[b:y], lp[b:y], n[b:y]], SENT)
+
+    def step(self, p: np.ndarray, replies: list[bytes], often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The tokens' probabilities with the contexts of this depth, from the ranges' replies in their order; often:
+        hashes and followers (0: not retained) of contexts dealt over all ranges. Sets count, the pairs' counts."""
+        parts = [unpack(x, REPLY) for x in replies]
+        self.count, kinds = np.zeros(len(self.hash), np.int64), np.zeros(len(self.hash))
+        if parts:
+            self.count[self.order] = np.concatenate([x[0] for x in parts])
+            kinds[self.order] = np.repeat(np.concatenate([x[1] for x in parts]), self.sizes)
+        if len(often[0]):
+            at = np.minimum(np.searchsorted(often[0], self.hash), len(often[0]) - 1)
+            kinds = np.where(self.dealt & (often[0][at] == self.hash), often[1][at], kinds)
+        out = p.copy()
+        c, m, total, old = self.count[self.back], kinds[self.back], self.total[self.back], p[self.at]
+        out[self.at] = np.where(m > 0, (c + m * old) / np.maximum(total + m, 1), old)
+        return out
+
+
+class Block:
+    """A block's texts as numbers, and its probabilities as deep as replies have come."""
+
+    def __init__(self, ids: bytes, lengths: list[int], held: list[bool], words: bytes, count: bytes, lp: bytes):
+        self.ids, self.words = np.frombuffer(ids, "<u4"), np.frombuffer(words, "<u8")
+        self.c, self.p = np.frombuffer(count, "<i8"), 10.0 ** np.frombuffer(lp, "<f8")[self.ids]
+        self.lengths = np.array(lengths, np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.taught = np.repeat(~np.array(held, bool), self.lengths).astype(float)
+
+    def depths(self, replies: list[list[bytes]], often: list[tuple], least: int, ranges: int, hot: float, deepest: int) -> Depth | None:
+        """Takes the replies of the first depths; the next Depth, if there is one."""
+        head = np.zeros(len(self.ids), bool)
+        head[self.starts] = True
+        ctx = np.full(len(self.ids), -1, np.int64)
+        ctx[1:] = self.ids[:-1]
+        hashes, counts = mix64(self.words), self.c
+        for k in range(deepest):
+            ctx[head] = -1
+            some = np.flatnonzero(ctx >= 0)
+            ctx[some[counts[ctx[some]] < least]] = -1
+            own = Depth(ctx, self.ids, self.words, hashes, counts, ranges, hot)
+            if k == len(replies):
+                return own
+            self.p = own.step(self.p, replies[k], often[k])
+            pair = np.full(len(self.ids), -1, np.int64)
+            pair[own.at] = own.back
+            ctx[1:], ctx[0] = pair[:-1], -1
+            hashes, counts = own.next, own.count
+        return None
+
+
+def count_range(rows: list[tuple], least: int, cost: float) -> Iterator[tuple]:
+    """All that the blocks have sent to a range, (block, packed pairs): yields (block, reply), then (None, sums) of
+    contexts dealt over all ranges: hashes, totals, followers and gains."""
+    if not rows:
+        return
+    blocks, parts = [b for b, _ in rows], [unpack(x, SENT) for _, x in rows]
+    hashes, dealt, sizes, symbol, lp, n = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    ctx, own = np.unique(hashes, return_inverse=True)
+    spread = np.zeros(len(ctx), bool)
+    spread[own] = dealt.astype(bool)
+    own = np.repeat(own, sizes)
+    with np.errstate(over="ignore"):
+        pairs, first, back = np.unique(mix64(ctx[own] + symbol * GOLDEN), return_index=True, return_inverse=True)
+    c, at = np.bincount(back, n, len(pairs)), own[first]
+    seen = c > 0
+    total, kinds = np.bincount(at, c, len(ctx)), np.bincount(at[seen], minlength=len(ctx))
+    gain = np.bincount(at[seen], c[seen] * (np.log(c[seen]) - lp[first][seen].astype(float)), len(ctx))
+    kept = np.where(~spread & (total >= least) & (gain - total * np.log(np.maximum(total, 1)) > cost * kinds), kinds, 0)
+    runs, a, b = np.split(np.arange(len(hashes)), np.cumsum([len(p[0]) for p in parts])[:-1]), 0, 0
+    answer = c[back]
+    heads = np.cumsum(sizes.astype(np.int64)) - sizes
+    for block, run, part in zip(blocks, runs, parts):
+        a, b = b, b + len(part[3])
+        yield block, pack([answer[a:b], kept[own[heads[run]]]], REPLY)
+    if spread.any():
+        yield None, (ctx[spread], total[spread], kinds[spread], gain[spread])
+
+
+def score(
+    docs: DataFrame, held_out: "F.Column", staging: Staging | None = None, depth: int = 3, least: int = 2, threshold: float = 1.0, letters: int = 6, spelling: float = 3.0, p_min: float = 5e-5,
+    block_tokens: int = 2_000_000, block_words: int = 400_000, range_tokens: int = 2_000_000, share: float = 4.0, text: str = "text", key: str = "doc_id",
+) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Tokens are the runs of characters other than ASCII white space, A-Z in lower case, then one end. Rows where
     held_out is true teach nothing (where it is null they do). base_score sums log10((c + 1) / (N + V + 1)) over the
     tokens; score is the tree's log10 probability of the text. A null text counts as empty; rows with equal or null
-    keys stay rows of their own; other columns are left out. threshold: twice the log likelihood ratio that retains
-    a context, for each of its symbols. The tree is broadcast up to broadcast_rows rows; beyond, the windows of the
-    words are joined with the part of the tree that ends in the same two bytes.
+    keys stay rows of their own; other columns, whatever their names, are left out.
+
+    depth: most tokens of a context. least: occurrences that a context needs. threshold: the natural log of all
+    training tokens, times this, is the price of a follower, and the likelihood ratio (with the suffix's
+    log-probabilities as 16-bit floats) must be above the price of all followers. Contexts are known by 64 bits of
+    hash, followers in a context by 48. letters: most bytes of a spelling context; spelling: the likelihood ratio that
+    retains one, for each different byte; p_min: the share of all positions that one needs, so each length has at most
+    1 / p_min contexts and the spelling tree, which is broadcast, has a bound whatever the corpus. range_tokens: tokens
+    for which there is a range; a context in more than 1 / (share x ranges) of the tokens is dealt over all of them.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     staging = staging or Staging(spark)
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    fields = f"key {kind}, block bigint, held_out boolean, n_tokens bigint, bag binary, word binary, number int, n bigint"
+    fields = f"block bigint, keys array<{kind}>, held array<boolean>, lengths array<bigint>, ids binary, hashes binary, word binary, number int, n bigint"
 
-    def bags(batches: Iterator) -> Iterator:
+    def cut(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
-
-        block, numbers, n, schema = TaskContext.get().partitionId() << 24, Numbers(), np.zeros(0, np.int64), None
-
-        def vocabulary():
-            w = list(numbers)
-            none = pa.nulls(len(w))
-            return pa.RecordBatch.from_arrays([none.cast(schema.field(0).type), pa.array([block] * len(w), pa.int64()), none.cast(pa.bool_()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(w, pa.binary()), pa.array(range(len(w)), pa.int32()), pa.array(n[: len(w)], pa.int64())], schema=schema)
+        from xxhash import xxh3_64_intdigest
+
+        block, numbers, schema = TaskContext.get().partitionId() << 24, Numbers(), None
+        keys, held, lengths, ids, size = [], [], [], [], 0
+
+        def close() -> Iterator:
+            w, every = list(numbers), np.concatenate(ids)
+            taught = np.repeat(~np.array(held, bool), lengths)
+            n = np.bincount(every[taught], minlength=len(w))
+            hashes = np.fromiter(map(xxh3_64_intdigest, w), np.uint64, len(w))
+            own = [[block], [keys], [held], [lengths], [every.astype("<u4").tobytes()], [hashes.astype("<u8").tobytes()], [None], [None], [None]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(own, schema)], schema=schema)
+            for at in range(0, len(w), 50_000):
+                m = len(w[at : at + 50_000])
+                none = [pa.nulls(m, f.type) for f in list(schema)[1:6]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), *none, pa.array(w[at : at + m], pa.binary()), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(n[at : at + m])], schema=schema)
 
         for batch in batches:
             if schema is None:
-                schema = pa.schema([("key", batch.schema.field(0).type), ("block", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("bag", pa.binary()), ("word", pa.binary()), ("number", pa.int32()), ("n", pa.int64())])
-            rows, start = [], 0
-            held = batch.column(2).to_pylist()
-
-            def documents(end: int):
-                m = end - start
-                none = pa.nulls(m)
-                return pa.RecordBatch.from_arrays([batch.column(0).slice(start, m), pa.array([block] * m, pa.int64()), batch.column(2).slice(start, m), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), none.cast(pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
-
-            for i, x in enumerate(batch.column(1)):
+                k = batch.schema.field(0).type
+                schema = pa.schema([("block", pa.int64()), ("keys", pa.list_(k)), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("hashes", pa.binary()), ("word", pa.binary()), ("number", pa.int32()), ("n", pa.int64())])
+            for key_, x, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = (x.as_py() or "").encode().lower().split()
                 words.append(END)
-                ids, times = np.unique(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)), return_counts=True)
-                if len(numbers) > len(n):
-                    n = np.concatenate((n, np.zeros(len(numbers) + 100_000, np.int64)))
-                if not held[i]:
-                    n[ids] += times
-                rows.append((len(words), np.concatenate((ids, times.astype(np.uint32))).astype("<u4").tobytes()))
-                if len(numbers) >= block_words:
-                    yield documents(i + 1)
-                    yield vocabulary()
-                    rows, start, block, numbers, n = [], i + 1, block + 1, Numbers(), np.zeros(0, np.int64)
-            if rows:
-                yield documents(batch.num_rows)
-        if numbers:
-            yield vocabulary()
+                ids.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+                keys.append(key_)
+                held.append(out)
+                lengths.append(len(words))
+                size += len(words)
+                if size >= block_tokens or len(numbers) >= block_words:
+                    yield from close()
+                    block, numbers, keys, held, lengths, ids, size = block + 1, Numbers(), [], [], [], [], 0
+        if keys:
+            yield from close()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    coded = staging.put(rows.mapInArrow(bags, fields), "bags")
+    coded = staging.put(rows.mapInArrow(cut, fields), "coded")
     counted = staging.put(coded.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     total = counted.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count(F.when(F.col("c").between(a, z), 1)).alias(name) for name, a, z in (("v", 1, 1 << 62), ("once", 1, 1), ("twice", 2, 2)))
     ).first()
+    tokens, blocks = coded.where("ids is not null").agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.count("*")).first()
     discount = total["once"] / max(1, total["once"] + 2 * total["twice"]) or 0.5
+    model = spark.sparkContext.broadcast(_spelling(counted, staging, letters, spelling, p_min))
+
+    def spell(batches: Iterator) -> Iterator:
+        for batch in batches:
+            lp = model.value.words(batch.column(0).to_pylist(), letters)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp)], names=["word", "c", "lp"])
+
+    spelt = counted.select("word", "c").mapInArrow(spell, "word binary, c bigint, lp double")
+    escape = discount * total["v"] / total["n"] if total["n"] else 1.0
+    spelt_mass = F.lit(escape) * F.pow(F.lit(10.0), "lp")
+    lp = F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / max(1, total["n"]) + spelt_mass)).otherwise(F.col("lp") + F.log10(F.lit(escape)))
+    own = coded.where("word is not null").select("word", "block", "number").join(spelt, "word").select("block", "number", "c", lp.alias("lp"))
+
+    def gather(batches: Iterator) -> Iterator:
+        """Rows of a block, in the order of its numbers, become one."""
+        block, c, p = None, [], []
+
+        def one() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.concatenate(c).astype("<i8").tobytes()], pa.binary()), pa.array([np.concatenate(p).astype("<f8").tobytes()], pa.binary())], names=["block", "count", "lp"])
+
+        for batch in batches:
+            b = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
+            for a, z in zip(cuts, cuts[1:]):
+                if a < z:
+                    if b[a] != block:
+                        if c:
+                            yield one()
+                        block, c, p = int(b[a]), [], []
+                    c.append(batch.column(2).to_numpy()[a:z])
+                    p.append(batch.column(3).to_numpy()[a:z])
+        if c:
+            yield one()
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, blocks // 16)
+    scores = own.repartition(buckets, "block").sortWithinPartitions("block", "number").mapInArrow(gather, "block bigint, count binary, lp binary")
+    tables = [staging.put_by(scores, "scores", "block", buckets)]
+    tables.append(staging.put_by(coded.where("ids is not null").select("block", "keys", "held", "lengths", "ids", "hashes"), "texts", "block", buckets))
+    staging.drop("coded", "vocabulary")
+    staging.collect_garbage()
+    ranges, often = max(parts, -(-tokens // range_tokens)), []
+    hot, cost = total["n"] / (share * ranges), threshold * np.log(max(2, total["n"]))
+
+    def joined() -> DataFrame:
+        out = tables[1].join(tables[0], "block")
+        for k, t in enumerate(tables[2:]):
+            out = out.join(t.withColumnRenamed("replies", f"r{k}"), "block", "left")
+        return out.select("block", "keys", "held", "lengths", "ids", "hashes", "count", "lp", F.array(*[f"r{k}" for k in range(len(tables) - 2)]).cast("array<array<binary>>").alias("replies"))
+
+    def blocks_of(batches: Iterator, known: list) -> Iterator:
+        """(number, keys, held, the block, its next depth)"""
+        for batch in batches:
+            for r in range(batch.num_rows):
+                number, keys, held, lengths, ids, hashes, count, lp, replies = (c[r] for c in batch.columns)
+                block = Block(ids.as_py(), lengths.as_py(), held.as_py(), hashes.as_py(), count.as_py(), lp.as_py())
+                yield number, keys, held, block, block.depths([x or [] for x in replies.as_py()], known, least, ranges, hot, depth)
+
+    for k in range(depth):
+        known = list(often)
+
+        def send(batches: Iterator, known=known) -> Iterator:
+            for number, _, _, block, nearest in blocks_of(batches, known):
+                for r, data in nearest.sent(block.p, block.taught):
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([number.as_py()], pa.int64()), pa.array([data], pa.binary())], names=["range", "block", "data"])
+
+        def count(batches: Iterator) -> Iterator:
+            """A range's rows lie together, in the order of the blocks."""
+            schema = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("reply", pa.binary()), ("ctx", pa.int64()), ("total", pa.float64()), ("kinds", pa.int64()), ("gain", pa.float64())])
+
+            def done(r, held) -> Iterator:
+                for block, out in count_range(held, least, cost):
+                    m = 1 if block is not None else len(out[0])
+                    given = [pa.array([block]), pa.array([r]), pa.array([out])] if block is not None else out
+                    cols = [*given, *(pa.nulls(1) for _ in range(4))] if block is not None else [*(pa.nulls(m) for _ in range(3)), pa.array(out[0].view(np.int64)), *map(pa.array, out[1:])]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
+
+            at, held = None, []
+            for batch in batches:
+                for r, block, data in zip(*(c.to_pylist() for c in batch.columns)):
+                    if r != at:
+                        yield from done(at, held)
+                        at, held = r, []
+                    held.append((block, data))
+            yield from done(at, held)
+
+        sent = joined().mapInArrow(send, "range int, block bigint, data binary").repartitionById(ranges, "range").sortWithinPartitions("range", "block")
+        answered = staging.put(sent.mapInArrow(count, "block bigint, range int, reply binary, ctx bigint, total double, kinds bigint, gain double"), f"answered_{k}")
+        # contexts in more than 1 / (share x ranges) of the tokens: at most share x ranges of them
+        found = answered.where("ctx is not null").groupBy("ctx").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds"), F.sum("gain").alias("gain")).toArrow()
+        hashes, n, kinds, gain = (found.column(c).to_numpy() for c in ("ctx", "total", "kinds", "gain"))
+        order = np.argsort(hashes.astype(np.int64).view(np.uint64))
+        keep = (n >= least) & (gain - n * np.log(np.maximum(n, 1)) > cost * kinds)
+        often.append((hashes.astype(np.int64).view(np.uint64)[order], np.where(keep, kinds, 0)[order]))
+        replies = answered.where("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "reply"))).alias("x")).select("block", F.transform("x", lambda x: x["reply"]).alias("replies"))
+        tables.append(staging.put_by(replies, f"replies_{k}", "block", buckets))
+        staging.drop(f"answered_{k}")
+        staging.collect_garbage()
+
+    n, v = total["n"], total["v"]
+
+    def add_up(batches: Iterator) -> Iterator:
+        for _, keys, held, block, _ in blocks_of(batches, often):
+            known, base = block.c[block.ids] > 0, np.log10((block.c + 1) / (n + v + 1))[block.ids]
+            sums = [np.add.reduceat(x, block.starts) for x in (known.astype(np.int64), base, np.log10(block.p))]
+            yield pa.RecordBatch.from_arrays([keys.values, held.values, pa.array(block.lengths), *map(pa.array, sums)], names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    done = joined().mapInArrow(add_up, f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return done.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _spelling(counted: DataFrame, staging: Staging, depth: int, threshold: float, p_min: float) -> Tree:
+    """The tree that spells, from the different words of the training rows."""
+    import pyarrow as pa
 
     def contexts(batches: Iterator) -> Iterator:
         for batch in batches:
             w = batch.column(0).to_pylist()
             if not w:
                 continue
-            code, before, starts = windows(w, depth)
+            code, before, _ = windows(w, depth)
             c = np.ones(len(code))
             for k in range(depth, -1, -1):
                 # deepest first, each depth's pairs combined from the one below it and the contexts that end there
@@ -167,111 +429,31 @@ def score(docs: DataFrame, held_out: "F.Column", staging: Staging | None = None,
                 short = before < k
                 code, c, before = np.concatenate((keys, code[short])), np.concatenate((n, c[short])), np.concatenate((np.full(len(keys), k), before[short]))
 
-    grown = counted.where("c > 0").select("word", "c").repartition(max(1, spark.sparkContext.defaultParallelism))
+    spark = counted.sparkSession
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")  # larger batches combine more
     try:
-        pairs = staging.put(grown.mapInArrow(contexts, "k int, pair bigint, n bigint").groupBy("k", "pair").agg(F.sum("n").alias("n")), "pairs")
+        pairs = staging.put(counted.where("c > 0").select("word").mapInArrow(contexts, "k int, pair bigint, n bigint").groupBy("k", "pair").agg(F.sum("n").alias("n")), "pairs")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    root = np.zeros(256)
+    for r in pairs.where("k = 0").collect():  # 256 rows at most
+        root[r["pair"]] = r["n"]
     ctx = F.shiftright("pair", 8)
-    totals = pairs.groupBy("k", ctx.alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    known = pairs.withColumn("ctx", ctx).join(totals, ["k", "ctx"])
+    totals = pairs.groupBy("k", ctx.alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= p_min * root.sum())
+    known = staging.put(pairs.withColumn("ctx", ctx).join(totals, ["k", "ctx"]), "known")
     suffix = known.select((F.col("k") + 1).alias("k"), F.col("pair").alias("short"), (F.col("n") / F.col("total")).alias("q"))
     short = F.expr(" ".join(["case k", *(f"when {k} then pair & {(1 << 8 * k) - 1}" for k in range(1, depth + 1)), "end"]))
     tested = known.where("k > 0").withColumn("short", short).join(suffix, ["k", "short"])
     gain = F.sum(2 * F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q")))
     retained = tested.groupBy("k", "ctx").agg(gain.alias("gain"), F.first("kinds").alias("m")).where(F.col("gain") > threshold * F.col("m")).select("k", "ctx")
-    tree = staging.put(known.join(retained, ["k", "ctx"], "left_semi").select("k", "pair", "n", "total", "kinds"), "tree")
-    root = np.zeros(256)
-    for r in pairs.where("k = 0").collect():  # 256 rows at most
-        root[r["pair"]] = r["n"]
-
-    def assemble(k, pair, n, total, kinds) -> Tree:
-        out = []
-        for d in range(1, depth + 1):
-            at = np.flatnonzero(k == d)
-            at = at[np.argsort(pair[at].astype(np.uint64))]
-            out.append((pair[at].astype(np.uint64), n[at], total[at], kinds[at]))
-        return Tree(out, root)
-
-    if tree.count() <= broadcast_rows:
-        t = tree.toArrow()
-        model = spark.sparkContext.broadcast(assemble(*(t.column(c).to_numpy() for c in ("k", "pair", "n", "total", "kinds"))))
-
-        def spell(batches: Iterator) -> Iterator:
-            for batch in batches:
-                lp = model.value.words(batch.column(0).to_pylist(), depth)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp)], names=["word", "c", "lp"])
-
-        spelt = counted.select("word", "c").mapInArrow(spell, "word binary, c bigint, lp double")
-    else:
-        spelt = _joined(counted, tree, assemble, depth)
-    base = F.log10((F.col("c") + 1) / F.lit(float(total["n"] + total["v"] + 1)))
-    spelt_mass = F.lit(discount * total["v"] / total["n"] if total["n"] else 1.0) * F.pow(F.lit(10.0), "lp")
-    lp = F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / max(1, total["n"]) + spelt_mass)).otherwise(F.col("lp") + F.log10(F.lit(discount * total["v"] / total["n"] if total["n"] else 1.0)))
-    asked = coded.where("word is not null").select("word", "block", "number").join(spelt, "word").select("block", "number", base.alias("base"), lp.alias("lp"), (F.col("c") > 0).alias("known"))
-    none = {"key": kind, "held_out": "boolean", "n_tokens": "bigint", "bag": "binary"}
-    both = asked.select("block", F.lit(0).alias("is_doc"), "number", "base", "lp", "known", *(F.lit(None).cast(t).alias(c) for c, t in none.items())).unionByName(
-        coded.where("bag is not null").select("block", F.lit(1).alias("is_doc"), F.lit(0).alias("number"), F.lit(0.0).alias("base"), F.lit(0.0).alias("lp"), F.lit(False).alias("known"), *none)
-    )
-
-    def add_up(batches: Iterator) -> Iterator:
-        at, size = None, 0
-        tables = [np.zeros(0), np.zeros(0), np.zeros(0)]
-        for batch in batches:
-            block, is_doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1).tolist(), len(block)]
-            for a, z in zip(cuts, cuts[1:]):
-                if a == z:
-                    continue
-                if block[a] != at:
-                    at = block[a]
-                    tables = [np.zeros(block_words * 2) for _ in range(3)]
-                part = batch.slice(a, z - a)
-                if not is_doc[a]:
-                    number = part.column(2).to_numpy()
-                    if (size := int(number.max()) + 1) > len(tables[0]):
-                        tables = [np.concatenate((t, np.zeros(size))) for t in tables]
-                    for t, c in zip(tables, (3, 4, 5)):
-                        t[number] = part.column(c).to_numpy(zero_copy_only=False)
-                    continue
-                sums = []
-                for bag in part.column(9).to_pylist():
-                    ids, times = np.frombuffer(bag, "<u4").reshape(2, -1)
-                    sums.append([float((t[ids] * times).sum()) for t in tables])
-                sums = np.array(sums)
-                yield pa.RecordBatch.from_arrays([part.column(6), part.column(7), part.column(8), pa.array(sums[:, 2].astype(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    done = both.repartition("block").sortWithinPartitions("block", "is_doc").mapInArrow(add_up, f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return done.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _joined(counted: DataFrame, tree: DataFrame, assemble, depth: int) -> DataFrame:
-    """word, c, lp without a broadcast: windows meet the part of the tree that ends in the same two bytes."""
-    import pyarrow as pa
-
-    def emit(batches: Iterator) -> Iterator:
-        for batch in batches:
-            w = batch.column(0).to_pylist()
-            if w:
-                code, before, starts = windows(w, depth)
-                which = np.repeat(np.arange(len(w)), np.diff(np.append(starts, len(code))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(code.astype(np.int64)), pa.array(before.astype(np.int32))], names=["word", "code", "before"])
-
-    def part(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = assemble(*(right.column(c).to_numpy() for c in ("k", "pair", "n", "total", "kinds")))
-        code, before = left.column("code").to_numpy().astype(np.uint64), left.column("before").to_numpy()
-        return pa.table({"code": left.column("code"), "before": left.column("before"), "lp": model.log10(code, before) if len(code) else np.zeros(0)})
-
-    emitted = counted.select("word").mapInArrow(emit, "word binary, code bigint, before int")
-    # contexts of one byte belong to every part that ends in it; there are 65,536 such rows at most
-    ending = F.expr("case when before < 2 then -1 - (shiftright(code, 8) & 255) else shiftright(code, 8) & 65535 end")
-    asked = emitted.select("code", "before").distinct().withColumn("ending", ending)
-    deep = tree.where("k >= 2").withColumn("ending", F.expr("shiftright(pair, 8) & 65535"))
-    one = tree.where("k = 1").withColumn("last", F.expr("shiftright(pair, 8) & 255"))
-    parts = asked.select("ending").distinct().withColumn("last", F.expr("case when ending < 0 then -1 - ending else ending & 255 end"))
-    model = deep.unionByName(one.join(F.broadcast(parts), "last").drop("last"))
-    scored = asked.groupBy("ending").cogroup(model.groupBy("ending")).applyInArrow(part, "code bigint, before int, lp double")
-    sums = emitted.join(scored, ["code", "before"]).groupBy("word").agg(F.sum("lp").alias("lp"))
-    return counted.select("word", "c").join(sums, "word")
+    # depth / p_min contexts at most, of 256 rows at most
+    t = known.join(retained, ["k", "ctx"], "left_semi").select("k", "pair", "n", "total", "kinds").toArrow()
+    staging.drop("pairs", "known")
+    k, pair, n, total, kinds = (t.column(c).to_numpy() for c in ("k", "pair", "n", "total", "kinds"))
+    out = []
+    for d in range(1, depth + 1):
+        at = np.flatnonzero(k == d)
+        at = at[np.argsort(pair[at].astype(np.uint64))]
+        out.append((pair[at].astype(np.uint64), n[at], total[at], kinds[at]))
+    return Tree(out, root)

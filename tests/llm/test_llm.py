@@ -247,7 +247,67 @@ def test_simhash(docs, none, spark):
     assert {(r["a"], r["b"]) for r in within_radius(frame, 3).collect()} == near
 
 
-def test_suffix_tree(docs, none):
+def brute_tree(rows, out, tok, depth=3, least=2, threshold=1.0, letters=6, spelling=3.0, p_min=5e-5):
+    """log10 of every text's probability by dictionaries of all contexts."""
+    texts = [(tok(t), out(i)) for i, t in rows]
+    c = collections.Counter(w for t, held in texts if not held for w in t)
+    n, ones, twos = sum(c.values()), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    discount = ones / max(1, ones + 2 * twos) or 0.5
+    escape = discount * len(c) / n if n else 1.0
+    emit = lambda w: b" \n" if w == "\n" else b" " + w.encode() + b" "
+    followers = collections.defaultdict(collections.Counter)
+    for w in c:
+        for j in range(1, len(emit(w))):
+            for k in range(min(j, letters) + 1):
+                followers[emit(w)[j - k : j]][emit(w)[j]] += 1
+    root = followers[b""]
+    share = lambda x, s: followers[x][s] / sum(followers[x].values())
+    kept = {
+        x
+        for x, f in followers.items()
+        if x and sum(f.values()) >= p_min * sum(root.values()) and sum(2 * m * math.log(share(x, s) / share(x[1:], s)) for s, m in f.items()) > spelling * len(f)
+    }
+
+    def spelt(w):
+        lp, text = 0.0, emit(w)
+        for j in range(1, len(text)):
+            p = (root[text[j]] + 1) / (sum(root.values()) + 256)
+            for k in range(1, min(j, letters) + 1):
+                if (x := text[j - k : j]) in kept:
+                    p = (followers[x][text[j]] + len(followers[x]) * p) / (sum(followers[x].values()) + len(followers[x]))
+            lp += math.log10(p)
+        return escape * 10**lp
+
+    after = collections.defaultdict(collections.Counter)
+    for t, held in texts:
+        for i in range(len(t)):
+            for k in range(1, min(i, depth) + 1):
+                after[tuple(t[i - k : i])][t[i]] += not held
+    base, retained = {}, {}
+
+    def prob(x, w):
+        if w not in base:
+            base[w] = ((c[w] - discount) / n if c[w] else 0.0) + spelt(w)
+        p = base[w]
+        for k in range(1, len(x) + 1):
+            if keeps(s := x[-k:]):
+                p = (after[s][w] + followed(s) * p) / (sum(after[s].values()) + followed(s))
+        return p
+
+    followed = lambda s: sum(m > 0 for m in after[s].values())
+
+    def keeps(s):
+        if s not in retained:
+            total = sum(after[s].values())
+            gain = sum(m * (math.log(m) - float(np.float16(math.log(prob(s[1:], w))))) for w, m in after[s].items() if m) if total >= least else 0.0
+            retained[s] = total >= least and gain - total * math.log(total) > threshold * math.log(n) * followed(s)
+        return retained[s]
+
+    scores = [sum(math.log10(prob(tuple(t[max(0, i - depth) : i]), t[i])) for i in range(len(t))) for t, _ in texts]
+    return scores, sum(retained.values())
+
+
+def test_suffix_tree(docs, none, spark):
     from termweave.llm.suffix_tree import score
 
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
@@ -256,12 +316,31 @@ def test_suffix_tree(docs, none):
     c = collections.Counter(w for i, t in ROWS if not out(i) for w in tok(t))
     n, v = sum(c.values()), len(c)
     want = collections.Counter((i, out(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t)), 6)) for i, t in ROWS)
-    got = score(docs, held, block_words=100).collect()
-    assert collections.Counter((*tuple(r)[:5], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
-    other = score(docs, held, broadcast_rows=0).collect()
-    assert np.allclose(sorted(r["score"] for r in got), sorted(r["score"] for r in other))
+    scores, contexts = brute_tree(ROWS, out, tok)
+    assert contexts > 100
+    for more in ({}, {"block_words": 100, "range_tokens": 500, "share": 0.05}, {"block_tokens": 300, "range_tokens": 100, "share": 0.5}):  # blocks, ranges, contexts dealt over ranges
+        got = score(docs, held, **more).collect()
+        assert collections.Counter((*tuple(r)[:5], round(r["base_score"], 6)) for r in got) == want
+        assert np.allclose(sorted(r["score"] for r in got), sorted(scores), rtol=1e-9)
     assert score(none, held).count() == 0
+    assert all(r["score"] < 0 and r["n_known"] == 0 for r in score(docs, F.lit(True)).collect())  # nothing learnt
+    words = ROWS[40][1].split()
+    mixed = spark.createDataFrame([*ROWS, (9001, " ".join(sorted(words)))], "doc_id bigint, text string")
+    far = {r["doc_id"]: r["score"] for r in score(mixed, F.coalesce(F.col("doc_id") > 9000, F.lit(False))).collect()}
+    assert far[9001] < far[ROWS[40][0]] - 20  # the order of the words counts
+
+
+def test_suffix_tree_of_a_hot_context(spark):
+    """A third of all rows repeat one word pair: still the brute force's scores."""
+    from termweave.llm.suffix_tree import score
+
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh"], 12))) for i in range(60)] + [(100 + i, "de de " * 40) for i in range(30)]
+    tok = lambda t: t.split() + ["\n"]
+    scores, contexts = brute_tree(rows, lambda i: i % 5 == 0, tok, depth=2, threshold=0.2)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = score(frame, F.col("doc_id") % 5 == 0, depth=2, threshold=0.2, range_tokens=200).collect()
+    assert contexts > 3 and np.allclose(sorted(r["score"] for r in got), sorted(scores), rtol=1e-9)
 
 
 def test_toxicity(spark, none):
