@@ -1,8 +1,9 @@
-"""Exact verification of candidate groups, shared by the near-copy operators.
+"""Candidates and their exact verification, shared by the near-copy operators.
 
-Candidates come as groups (components of colliding signatures). A group is compared completely, in cells of two blocks
-of bounded size, so a group of any size is many tasks and no pair leaves a cell: a cell returns for each text its
-links, and a spanning forest of them.
+What collides is compared by signatures first, collision by collision; only pairs that these don't rule out join
+groups, so unrelated texts that collide by chance don't grow together. A group is then compared completely and exactly.
+Both work in cells of two blocks of bounded size, so a group of any size is many tasks and no pair leaves a cell: a
+cell returns for each text its links, and a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from pyspark.sql import functions as F
 from termweave.llm.common import BLOCK_CHARS, BLOCK_DOCS, Staging, grouped
 
 
-def cells(members: DataFrame, staging: Staging) -> DataFrame:
-    """members(id, grp, chars, ...) -> a row for each cell (grp, i, j) that the member is in, with its block. The sizes
-    are written, so that the join with them can split a large group."""
+def cells(members: DataFrame, staging: Staging, name: str = "sizes", most: int | None = None) -> DataFrame:
+    """members(id, grp, chars, ...) -> a row for each cell (grp, i, j) that the member is in, with its block (of about
+    `most` members). The sizes are written, so that the join with them can split a large group."""
     sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("chars").alias("total")).where("m > 1")
-    sizes = sizes.select("grp", F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_CHARS)).cast("int").alias("g"))
-    cut = members.join(staging.put(sizes, "sizes"), "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    sizes = sizes.select("grp", F.greatest(F.lit(1), F.ceil(F.col("m") / (most or BLOCK_DOCS)), F.ceil(F.col("total") / BLOCK_CHARS)).cast("int").alias("g"))
+    cut = members.join(staging.put(sizes, name), "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     return cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("o", "g", "chars")
 
 
@@ -63,6 +64,31 @@ class Forest:
         return a != b
 
 
+def alike(dealt: DataFrame, low: float) -> DataFrame:
+    """dealt: rows of cells(), with sig (32-bit MinHash values, one after another) -> edges (a, b): a spanning forest, in
+    each cell, of the pairs of which a share of at least `low` of the values is equal."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        for (_, i, j), d in grouped(batches, ["grp", "i", "j"]):
+            sigs = {node: (block, sig) for node, block, sig in zip(d["id"], d["block"], d["sig"])}
+            left = sorted(k for k, (block, _) in sigs.items() if block == i)
+            right = left if i == j else sorted(k for k, (block, _) in sigs.items() if block == j)
+            if not left or not right or len(sigs) < 2:
+                continue
+            a, b = (np.frombuffer(b"".join(sigs[k][1] for k in side), "<u4").reshape(len(side), -1) for side in (left, right))
+            forest, number, out = Forest(len(sigs)), {k: x for x, k in enumerate(sorted(sigs))}, []
+            for at in range(0, len(left), 32):
+                same = (a[at : at + 32, None, :] == b[None, :, :]).mean(axis=2)
+                for x, y in zip(*np.nonzero(same >= low)):
+                    if left[at + x] != right[y] and forest.join(number[left[at + x]], number[right[y]]):
+                        out.append((left[at + x], right[y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    return dealt.select("grp", "i", "j", "id", "block", "sig").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def verify(dealt: DataFrame, sets_of, similar, id_type: str = "bigint") -> DataFrame:
     """dealt: rows of cells(), with text, n (copies of the text) and id -> (id, other, links).
 

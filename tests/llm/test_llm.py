@@ -92,27 +92,68 @@ def test_packing(docs, none):
     assert n == math.ceil(2060 / 256) and sum((r.high - r.low) * r.length for r in runs) == 2060
 
 
-def shingle_sets():
+def shingle_sets(rows=ROWS):
     out = []
-    for i, t in ROWS:
+    for i, t in rows:
         w = (t or "").lower().split()
         out.append((i, frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()))
     return out
 
 
-def test_jaccard_join(docs, none):
-    from termweave.llm.lsh_forest import links, prefix_depth
-
-    sets = shingle_sets()
+def brute_links(rows):
+    """(key, class, links) of every row, from all pairs."""
+    sets = shingle_sets(rows)
     linked = [[k for k, (_, b) in enumerate(sets) if k != j and a and len(a & b) >= 0.8 * len(a | b)] for j, (_, a) in enumerate(sets)]
     root = list(range(len(sets)))
     for _ in root:
         root = [min([root[j], *(root[k] for k in linked[j])]) for j in range(len(root))]
     name = {g: min((sets[j][0] for j in range(len(root)) if root[j] == g and sets[j][0] is not None), default=None) for g in set(root)}
-    want = collections.Counter((sets[j][0], name[root[j]], len(linked[j])) for j in range(len(sets)))
-    assert collections.Counter(tuple(r) for r in links(docs).collect()) == want
+    return collections.Counter((sets[j][0], name[root[j]], len(linked[j])) for j in range(len(sets)))
+
+
+def test_jaccard_join(docs, none, spark):
+    from termweave.llm.lsh_forest import links, prefix_depth
+
+    assert collections.Counter(tuple(r) for r in links(docs).collect()) == brute_links(ROWS)
     assert links(none).count() == 0
     assert prefix_depth(0.8, 0.999, 16, 8) == 4
+    rng = np.random.default_rng(21)
+    text = lambda n: ["".join(rng.choice(SYLLABLES, 3)) for _ in range(n)]
+    a, b, c = text(60), text(60), text(9)
+    rows = [(1, a), (1, b), (2, a[:-1] + ["x"]), (3, b[:-1] + ["y"]), (None, a[:-1] + ["z"]), (None, a[:-1] + ["z"]), (None, c), (None, c + ["e"]), (7, c[:5]), (7, c[:6]), (8, c[:6])]
+    rows = [(i, " ".join(t)) for i, t in rows]  # keys that name several texts, or none
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert collections.Counter(tuple(r) for r in links(frame).collect()) == brute_links(rows)
+
+
+def test_texts_half_alike_do_not_grow_together(spark, monkeypatch):
+    """Texts at 0.3 to 0.5 collide often, but no group of theirs is compared."""
+    from termweave.llm import lsh_forest, near
+
+    rng = np.random.default_rng(22)
+    text = lambda n: ["".join(rng.choice(SYLLABLES, 3)) for _ in range(n)]
+    common = [text(70) for _ in range(3)]
+    rows = [(i, " ".join(common[i % 3] + text(40 + i % 50))) for i in range(240)]
+    rows += [(1000 + i, " ".join(rows[i][1].split()[:-2] + ["x", "y"])) for i in range(5)]
+    groups = []
+    real = near.cells
+    monkeypatch.setattr(lsh_forest, "cells", lambda members, *a, **b: (groups.append(members.groupBy("grp").count().agg(F.max("count")).first()[0]), real(members, *a, **b))[1])
+    got = collections.Counter(tuple(r) for r in lsh_forest.links(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == brute_links(rows) and sum(n for (_, _, n), m in got.items() for _ in range(m)) >= 10
+    assert groups[0] > 10 and groups[1] <= 10  # collisions of many, groups of few
+
+
+def test_depths_of_small_sets():
+    from termweave.llm.lsh_forest import depths, nearest
+
+    for n in range(1, 40):
+        near = [c / (n + m - c) for m in range(1, 60) for c in range(1, min(n, m) + 1) if not c == n == m and c >= 0.8 * (n + m - c) - 1e-9]
+        assert nearest(n, 0.8) == min(near, default=None)
+        own, listed = depths(n, 0.8, 0.999, 16, 8)
+        assert (own == 0) == (not near) and (not near or 1 - (1 - min(near) ** own) ** 16 >= 0.999 and own in listed)
+        for m in range(1, 60):  # a partner lists what is asked for
+            if any(c >= 0.8 * (n + m - c) - 1e-9 and not c == n == m for c in range(1, min(n, m) + 1)):
+                assert own in depths(m, 0.8, 0.999, 16, 8)[1]
 
 
 def test_blocks_of_a_large_group(spark, monkeypatch):
