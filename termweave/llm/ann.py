@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: inverted lists of coarse centroids, product-quantised residuals, exact reranking.
 
-Centroids and codebooks are fitted on a bounded sample; every vector is then assigned to its list and coded. A query
-visits its nearest lists. Lists are stored as blocks of bounded size, so a list that holds a third of all vectors is
-many tasks. In a block the asymmetric distance tables of a query rank the codes, and the best are reranked by the exact
-measure on the original vectors; the blocks' best meet in a top-k by query.
+Centroids and codebooks are fitted on a bounded sample; every vector is then assigned to its list and coded. There are
+about as many lists as the square root of the vectors, and a query visits as many as the sample's own neighbours need
+for the target recall: few where vectors cluster, most where they don't. Lists are stored, and asked, in blocks of
+bounded size, so a list that holds a third of all vectors is many tasks. In a block the asymmetric distance tables of
+a query rank the codes, and a share of them is reranked by the exact measure on the original vectors; the blocks' best
+meet in a top-k by query.
 """
 
 from __future__ import annotations
@@ -54,103 +56,123 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def train(vectors: DataFrame, lists: int, parts: int, sample: int, staging: Staging) -> Index | None:
-    """Fits on at most `sample` vectors, those with the smallest hash of their id."""
-    rows = vectors.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample).select("v").toArrow()
-    if not rows.num_rows:
-        return None
-    x = unit(np.array(rows.column("v").to_pylist(), float))
+def fit(x: np.ndarray, lists: int, parts: int) -> Index:
+    """The index of unit vectors: centroids, and codebooks of the residuals."""
     centroids = kmeans(x, min(lists, len(x)))
     index = Index(centroids, np.zeros((1, 1, x.shape[1])))
     r = (x - centroids[index.lists(x, 1)[:, 0]]).reshape(len(x), parts, -1)
-    books = [kmeans(r[:, j], min(256, len(x)), 8) for j in range(parts)]
-    return Index(centroids, np.stack(books))
+    return Index(centroids, np.stack([kmeans(r[:, j], min(256, len(x)), 8) for j in range(parts)]))
 
 
-def search(vectors: DataFrame, queries: "F.Column", k: int = 5, lists: int = 64, probe: int = 44, parts: int = 16, rerank: int = 200, sample: int = 20_000, block: int = 4096, staging: Staging | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def visits_needed(index: Index, x: np.ndarray, k: int, recall: float, asked: int = 400) -> int:
+    """How many lists hold the target share of the k nearest of the sample's first vectors, among the sample."""
+    if len(x) < 2:
+        return 1
+    q = x[:asked]
+    near = q @ x.T
+    near[np.arange(len(q)), np.arange(len(q))] = -2
+    found = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    own = index.lists(x, 1)[:, 0]
+    place = np.argsort(index.lists(q, len(index.centroids)), axis=1)  # of each list, in the order of visits
+    at = np.sort(np.take_along_axis(place, own[found], axis=1), axis=None)
+    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
+
+
+def search(vectors: DataFrame, queries: "F.Column", k: int = 5, lists: int | None = None, probe: int | None = None, parts: int = 16, rerank: float = 0.3, recall: float = 0.98, sample: int = 20_000, block: int = 4096, staging: Staging | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that meets `queries` its k nearest other rows found.
 
     Nearness is cosine in double precision on the original vectors; ties go to the smaller id. A vector that is null,
-    zero or holds a null or non-finite component takes no part; nor does a null id, or a vector whose length differs
-    from most. A repeated id is one candidate for each row. Dimensions are filled with zeros to a multiple of `parts`.
-    rerank: how many of a block's best codes for a query are measured exactly.
+    zero or holds a null or non-finite component takes no part, nor does a null id. Vectors of different lengths have
+    no cosine: each length is searched by itself. A repeated id is a query, and a candidate, for each of its rows.
+    Dimensions are filled with zeros to a multiple of `parts`. lists and probe (how many a query visits): chosen from
+    the number of vectors and from the sample if not given. rerank: the share of a block's codes, 4 k at least and with
+    all ties, that is measured exactly. Other columns, whatever their names, are left out.
     """
-    import pyarrow as pa
-
     spark = vectors.sparkSession
     staging = staging or Staging(spark)
     v = F.col("v")
-    good = vectors.withColumn("is_query", F.coalesce(queries, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), "is_query")
+    good = vectors.withColumn("__asks", F.coalesce(queries, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), F.col("__asks").alias("is_query"))
     good = good.where("id is not null and v is not null and size(v) > 0").where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).where(F.exists(v, lambda x: x != 0))
-    common = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
-    if not common:
-        return spark.createDataFrame([], empty)
-    dims = common[0]["n"]
-    good = staging.put(good.where(F.size("v") == dims), "vectors")
-    pad = -dims % parts
-    whole = good.select("id", F.concat(v, F.array(*[F.lit(0.0)] * pad)).alias("v"), "is_query") if pad else good
-    index = train(whole, lists, parts, sample, staging)
-    shared = spark.sparkContext.broadcast(index)  # lists and codebooks: fixed sizes
-
-    def matrix(column, width: int) -> np.ndarray:
-        return column.flatten().to_numpy().reshape(-1, width)
+    good = staging.put(good.select(F.monotonically_increasing_id().alias("row"), "id", "v", "is_query"), "vectors")
+    out = None
+    for r in good.groupBy(F.size("v").alias("dims")).count().orderBy("dims").collect():  # a row a length
+        n = lists or max(1, round(np.sqrt(r["count"])))
+        found = _search(good.where(F.size("v") == r["dims"]), r["dims"], k, n, probe, parts, rerank, recall, sample, block, staging)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double") if out is None else out
+
+
+def _search(good: DataFrame, dims: int, k: int, lists: int, probe: int | None, parts: int, rerank: float, recall: float, sample: int, block: int, staging: Staging) -> DataFrame:
+    import pyarrow as pa
+
+    spark, pad = good.sparkSession, -dims % parts
+    whole = good.withColumn("v", F.concat("v", F.array(*[F.lit(0.0)] * pad))) if pad else good
+    # at most `sample` vectors: those with the smallest hash of their id
+    taken = whole.withColumn("h", F.xxhash64("id")).orderBy("h", "id", "row").limit(sample).select("v").toArrow()
+    x = unit(taken.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims + pad))
+    index = fit(x, lists, parts)
+    probe = min(probe or visits_needed(index, x, k, recall), len(index.centroids))
+    shared = spark.sparkContext.broadcast(index)  # lists and codebooks: the root of the vectors, and fixed sizes
+    del x, taken
+
+    def matrix(column) -> np.ndarray:
+        return column.flatten().to_numpy().reshape(-1, dims + pad)
 
     def assign(batches: Iterator) -> Iterator:
         for batch in batches:
             if batch.num_rows:
-                x = unit(matrix(batch.column(1), dims + pad))
+                x = unit(matrix(batch.column(2)))
                 at = shared.value.lists(x, 1)[:, 0]
                 codes = shared.value.codes(x, at)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "id", "v", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "row", "id", "v", "code"])
 
     def visit(batches: Iterator) -> Iterator:
         for batch in batches:
             if batch.num_rows:
-                to = shared.value.lists(unit(matrix(batch.column(1), dims + pad)), probe)
+                to = shared.value.lists(unit(matrix(batch.column(2))), probe)
                 rows = pa.array(np.repeat(np.arange(batch.num_rows), to.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(to.ravel(), pa.int32()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["list", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(to.ravel(), pa.int32()), *(c.take(rows) for c in batch.columns)], names=["list", "row", "id", "v"])
+
+    coded = staging.put(whole.select("row", "id", "v").mapInArrow(assign, "list int, row bigint, id bigint, v array<double>, code binary"), f"coded_{dims}")
+    visits = staging.put(whole.where("is_query").select("row", "id", "v").mapInArrow(visit, "list int, row bigint, id bigint, v array<double>"), f"visits_{dims}")
+    # a row a list: the root of the vectors
+    stored = coded.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = stored.join(visits.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("askers")), "list")
 
-    coded = staging.put(whole.mapInArrow(assign, "list int, id bigint, v array<double>, code binary"), "coded")
-    sizes = coded.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    stored = coded.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")  # sizes: one row a list
-    visits = whole.where("is_query").select("id", "v").mapInArrow(visit, "list int, id bigint, v array<double>")
-    visits = visits.join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        at = F.pmod(F.xxhash64("row"), F.col(own)).cast("int")
+        return rows.join(F.broadcast(sizes), "list").withColumn(own[0], at).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("blocks", "askers")
 
     def look(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not asked.num_rows or not stored.num_rows:
-            return none
-        index, out = shared.value, []
-        ids = stored.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        x = matrix(stored.column("v").combine_chunks(), dims + pad)[order]
-        own = unit(x)
-        codes = np.frombuffer(b"".join(stored.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        centre = index.centroids[stored.column("list")[0].as_py()]
-        q_ids, q = asked.column("id").to_numpy(), unit(matrix(asked.column("v").combine_chunks(), dims + pad))
-        for i, query in zip(q_ids, q):
-            # cosine of a unit query with centre + residual; a table of dot products for each part
-            near = np.zeros(len(ids))
-            for j, book in enumerate(index.books):
-                near += (book @ query.reshape(len(index.books), -1)[j])[codes[:, j]]
-            near += centre @ query
-            # more than asked by one, as the query may be among them
-            best = np.argsort(-near, kind="stable")[: rerank + 1]
-            best = best[ids[best] != i]
-            exact = own[best] @ query
-            for b in np.lexsort((ids[best], -exact))[: 2 * k]:
-                a = x[best[b]]
-                out.append((i, ids[best[b]], a))
-        if not out:
-            return none
-        left = np.array([r[2] for r in out])
-        where = {i: n for n, i in enumerate(q_ids)}
-        raw = matrix(asked.column("v").combine_chunks(), dims + pad)[[where[r[0]] for r in out]]
-        score = (left * raw).sum(1) / (np.sqrt((left * left).sum(1)) * np.sqrt((raw * raw).sum(1)))
-        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": score})
-
-    found = visits.groupBy("list", "block").cogroup(stored.groupBy("list", "block")).applyInArrow(look, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        out = {"query": [], "query_id": [], "vec_id": [], "score": []}
+        if asked.num_rows and stored.num_rows:
+            index = shared.value
+            order = np.lexsort((stored.column("row").to_numpy(), stored.column("id").to_numpy()))
+            rows, ids, x = stored.column("row").to_numpy()[order], stored.column("id").to_numpy()[order], matrix(stored.column("v").combine_chunks())[order]
+            codes = np.frombuffer(b"".join(stored.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+            raw = matrix(asked.column("v").combine_chunks())
+            q, norms = unit(raw), np.sqrt((x * x).sum(1))
+            n = min(len(ids), max(4 * k + 1, int(np.ceil(rerank * len(ids)))))  # one more, as the query may be among them
+            for low in range(0, len(q), 256):
+                part = q[low : low + 256]
+                # cosine of a unit query with centre + residual: a table of dot products for each part
+                near = np.repeat((part @ index.centroids[stored.column("list")[0].as_py()])[:, None], len(ids), axis=1)
+                for j, book in enumerate(index.books):
+                    near += (part.reshape(len(part), len(index.books), -1)[:, j] @ book.T)[:, codes[:, j]]
+                least = np.partition(near, len(ids) - n, axis=1)[:, len(ids) - n]
+                for i in range(len(part)):
+                    own, vec = asked.column("row")[low + i].as_py(), raw[low + i]
+                    best = np.flatnonzero(near[i] >= least[i])
+                    best = best[rows[best] != own]
+                    score = (x[best] * vec).sum(1) / (norms[best] * np.sqrt((vec * vec).sum()))
+                    first = np.lexsort((ids[best], -score))[:k]
+                    out["query"] += [own] * len(first)
+                    out["query_id"] += [asked.column("id")[low + i].as_py()] * len(first)
+                    out["vec_id"] += ids[best][first].tolist()
+                    out["score"] += score[first].tolist()
+        return pa.table([pa.array(c, pa.float64() if name == "score" else pa.int64()) for name, c in out.items()], names=list(out))
+
+    keys = ["list", "b", "a"]
+    found = dealt(visits, "askers", "blocks").groupBy(*keys).cogroup(dealt(coded, "blocks", "askers").groupBy(*keys)).applyInArrow(look, "query bigint, query_id bigint, vec_id bigint, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
