@@ -22,7 +22,8 @@ STOPWORDS = tuple(
         "all some such only own same up out off over under again further about against between"
     ).split()
 )
-VARIANT = "struct<count:bigint,first_seg:bigint,span:string,raw:string>"
+VARIANT = "struct<count:bigint,first_seg:bigint,span:string,raw:string,spans:array<string>>"
+LINKS = "array<struct<s:int,t:int>>"
 
 
 @dataclass(frozen=True)
@@ -63,16 +64,19 @@ def merge_links(all_links: list[Column], how: str = "intersect") -> Column:
     return F.array_sort(F.array_distinct(out))
 
 
-def align(segments: DataFrame, backend: str = "heuristic", table: DataFrame | None = None) -> DataFrame:
-    """Adds src, tgt (tokens) and links. backend "table": links from rows (src, tgt, links) by equal tokens, none
-    where they're missing; each distinct pair is looked up once."""
+def align(segments: DataFrame, backend="heuristic", table: DataFrame | None = None) -> DataFrame:
+    """Adds src, tgt (tokens) and links. backend: "heuristic", worked out row by row; "table": links from rows (src,
+    tgt, links) by equal tokens, none where they're missing; or an aligner, which gets each distinct pair once."""
     out = once(once(segments, "src", T.tokens(F.col("source"))), "tgt", T.tokens(F.col("target")))
     if backend == "heuristic":
         return once(out, "links", heuristic_links(F.col("src"), F.col("tgt")))
     if backend == "table" and table is not None:
-        none = F.array().cast("array<struct<s:int,t:int>>")
-        return out.join(table.select("src", "tgt", "links").dropDuplicates(["src", "tgt"]), ["src", "tgt"], "left").withColumn("links", F.coalesce("links", none))
-    raise ValueError(f"no backend {backend}")
+        out = out.join(table.select("src", "tgt", "links").dropDuplicates(["src", "tgt"]), ["src", "tgt"], "left")
+    elif hasattr(backend, "links"):
+        out = out.join(backend.links(distinct_pairs(segments)), ["src", "tgt"], "left")
+    else:
+        raise ValueError(f"no backend {backend}")
+    return out.withColumn("links", F.coalesce("links", F.array().cast(LINKS)))
 
 
 def distinct_pairs(segments: DataFrame, cached: DataFrame | None = None) -> DataFrame:
@@ -132,7 +136,7 @@ def spans(grams: DataFrame, cfg: Config) -> DataFrame:
     return out.drop("at", "run")
 
 
-def occurrences(segments: DataFrame, cfg: Config = Config(), backend: str = "heuristic", table: DataFrame | None = None) -> DataFrame:
+def occurrences(segments: DataFrame, cfg: Config = Config(), backend="heuristic", table: DataFrame | None = None) -> DataFrame:
     """seg_ord, sid, file, ng_ord, ngram, key, lo, hi, raw, span for each segment and key, unaligned ones included."""
     rows = spans(explode_ngrams(align(segments, backend, table).where("size(src) > 0 and size(tgt) > 0"), cfg), cfg)
     return rows.select("seg_ord", "sid", "file", "ng_ord", "ngram", "key", "lo", "hi", "raw", "span")
@@ -148,17 +152,17 @@ def clustered(vs: Column | str, most: float) -> str:
     near = f"coalesce(levenshtein(r.span, v.span) / nullif(greatest(length(r.span), length(v.span)), 0), 0D) <= {most}D"
     return f"""aggregate({vs}, cast(array() as array<{VARIANT}>), (acc, v) -> case when exists(acc, r -> {near}) then
         transform(acc, (r, i) -> case when i = array_position(transform(acc, r -> {near}), true) - 1
-            then named_struct('count', r.count + v.count, 'first_seg', r.first_seg, 'span', r.span, 'raw', r.raw) else r end)
+            then named_struct('count', r.count + v.count, 'first_seg', r.first_seg, 'span', r.span, 'raw', r.raw, 'spans', concat(r.spans, v.spans)) else r end)
         else concat(acc, array(v)) end)"""
 
 
 def merged(vs: str) -> str:
     """SQL: variants whose words are a run of a longer kept one's are counted there; longest first."""
-    holds = "v.x.span <> '' and r.span <> v.x.span and contains(concat(' ', r.span, ' '), concat(' ', v.x.span, ' '))"
+    holds = "v.x.span <> '' and r.span <> v.x.span and contains(concat(' ', r.span, ' '), concat(' ', v.x.span, ' '))"  # T.is_contained
     by_length = f"array_sort(transform({vs}, (x, i) -> named_struct('n', -size(split(x.span, ' ')), 'i', i, 'x', x)), (a, b) -> case when a.n < b.n or a.n = b.n and a.i < b.i then -1 else 1 end)"
     return f"""aggregate({by_length}, cast(array() as array<{VARIANT}>), (acc, v) -> case when exists(acc, r -> {holds}) then
         transform(acc, (r, i) -> case when i = array_position(transform(acc, r -> {holds}), true) - 1
-            then named_struct('count', r.count + v.x.count, 'first_seg', r.first_seg, 'span', r.span, 'raw', r.raw) else r end)
+            then named_struct('count', r.count + v.x.count, 'first_seg', r.first_seg, 'span', r.span, 'raw', r.raw, 'spans', concat(r.spans, v.x.spans)) else r end)
         else concat(acc, array(v.x)) end)"""
 
 
@@ -168,7 +172,7 @@ def by_count(vs: str) -> str:
 
 def flags(occ: DataFrame, cfg: Config = Config(), vault: DataFrame | None = None) -> DataFrame:
     """key, ngram, variants, distinct, total, score, violation, approved, first (seg_ord, ng_ord): n-grams that several
-    spans translate. vault: key, target; an n-gram any of whose spans differs from the approved text is a violation."""
+    spans translate. A variant's spans are all that it stands for. vault: key, target; an n-gram any of whose spans differs from the approved text is a violation."""
     each = occ.groupBy("key", "span").agg(
         F.count("*").alias("count"), F.min("seg_ord").alias("first_seg"), F.min_by("raw", "seg_ord").alias("raw"), F.min(F.struct("seg_ord", "ng_ord", "ngram")).alias("head")
     )
@@ -177,7 +181,7 @@ def flags(occ: DataFrame, cfg: Config = Config(), vault: DataFrame | None = None
     per_key = each.groupBy("key").agg(
         F.min("head")["ngram"].alias("ngram"), F.array_sort(F.collect_list(F.when(spanned, one))).alias("sorted"), F.min(F.when(spanned, F.struct(F.col("head.seg_ord"), F.col("head.ng_ord")))).alias("first")
     ).where("size(sorted) > 0")
-    per_key = per_key.withColumn("sorted", F.expr(f"transform(sorted, v -> cast(named_struct('count', -v.n, 'first_seg', v.first_seg, 'span', v.span, 'raw', v.raw) as {VARIANT}))"))
+    per_key = per_key.withColumn("sorted", F.expr(f"transform(sorted, v -> cast(named_struct('count', -v.n, 'first_seg', v.first_seg, 'span', v.span, 'raw', v.raw, 'spans', array(v.span)) as {VARIANT}))"))
     if vault is not None:
         per_key = per_key.join(vault.select("key", F.col("target").alias("approved")), "key", "left")
     else:

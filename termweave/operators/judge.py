@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,11 @@ class Judge:
         return url if url.endswith(end) else url + end if url.endswith("/v1") else url + "/v1" + end
 
     def request(self, ngram: str, spans: list[str]) -> urllib.request.Request:
-        system = 'Judge whether these Arabic renderings of an English term are inconsistent or acceptable variants. Answer in JSON only: {"verdict": "inconsistent" or "acceptable", "preferred": text, "reason": text}'
+        system = (
+            "You review translations. You get a source term and the different ways it was translated. If a reader could take them for different things, "
+            'the verdict is "inconsistent"; if they differ only as grammar or style asks, it is "acceptable". Reply with one JSON object and nothing else, '
+            'with the keys "verdict", "preferred" (the best rendering) and "reason" (one sentence).'
+        )
         asked = f"Term: {ngram}\n" + "\n".join(f"- {s}" for s in spans)
         if self.kind() == "anthropic":
             body, head = {"model": self.model, "max_tokens": 400, "system": system, "messages": [{"role": "user", "content": asked}]}, {"x-api-key": self.api_key, "anthropic-version": "2023-06-01"}
@@ -48,13 +53,24 @@ class Judge:
 
 
 def judge_all(items: DataFrame, judge: Judge, at_once: int = 4) -> DataFrame:
-    """key, ngram, reply, error for each item (key, ngram, spans); so many requests run at a time."""
+    """place, key, ngram, reply, error for each item (key, ngram, spans); so many requests run at a time. place keeps the
+    order of the items; one that fails has an error and stops no other."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             d = batch.to_pydict()
             got = [judge.ask(n, s) for n, s in zip(d["ngram"], d["spans"])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.string())], names=["key", "ngram", "reply", "error"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.string())], names=["place", "key", "ngram", "reply", "error"])
 
-    return items.select("key", "ngram", "spans").repartition(at_once).mapInArrow(run, "key string, ngram string, reply string, error string")
+    numbered = items.select(F.monotonically_increasing_id().alias("place"), "key", "ngram", "spans")
+    return numbered.repartition(at_once).mapInArrow(run, "place bigint, key string, ngram string, reply string, error string").orderBy("place")
+
+
+def test_connection(judge: Judge) -> dict:
+    """Whether the judge answers about a term with two translations, and what it said."""
+    reply, error = judge.ask("test", ["اختبار", "تجربة"])
+    return {"ok": error is None, **({"sample": reply} if error is None else {"error": error})}
+
+
+test_connection.__test__ = False  # no test of pytest's

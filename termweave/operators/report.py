@@ -40,9 +40,33 @@ def flag_occurrences(found: DataFrame, occ: DataFrame, segments: DataFrame, edit
     return hits.join(shown.select("sid", "source", "target", "original"), "sid")
 
 
+def full_json(found: DataFrame, occ: DataFrame, segments: DataFrame, edits: DataFrame | None = None) -> DataFrame:
+    """key and json as flags_json(), with the occurrences of each variant, of all spans it stands for, in their order.
+    For people to read: a frequent n-gram is better served by the rows of flag_occurrences()."""
+    rows = flag_occurrences(found, occ, segments, edits).join(segments.select("sid", "seg_ord"), "sid")
+    each = found.select("key", F.posexplode("variants").alias("pos", "v")).select("key", "pos", "v", F.explode("v.spans").alias("span"))
+    one = F.struct("seg_ord", "sid", "file", "source", "target", "original")
+    shown = each.join(rows.drop("raw"), ["key", "span"]).groupBy("key", "pos").agg(F.first("v").alias("v"), F.array_sort(F.collect_list(one)).alias("occurrences"))
+    variant = F.struct("pos", F.col("v.span").alias("span"), F.col("v.raw").alias("raw"), F.col("v.count").alias("count"), "occurrences")
+    lists = shown.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(variant)), lambda v: v.dropFields("pos")).alias("variants"))
+    more = [F.col(c) for c in ("dropped", "decided", "cleared") if c in found.columns]
+    named = found.select("key", "ngram", F.bround("score", 3).alias("score"), "distinct", "total", "violation", "approved", *more)
+    return named.join(lists, "key").select("key", F.to_json(F.struct("ngram", "score", "distinct", "total", "violation", "approved", "variants", *[c for c in ("dropped", "decided", "cleared") if c in found.columns])).alias("json"))
+
+
+def reverse_full_json(found: DataFrame, occ: DataFrame, segments: DataFrame, edits: DataFrame | None = None) -> DataFrame:
+    """span and json as reverse_json(), with the occurrences of the span."""
+    shown = R.overlay(segments, edits) if edits is not None else segments
+    rows = occ.join(found.select("span"), "span", "left_semi").select("span", "ngram", "sid").join(shown.select("sid", "seg_ord", "file", "source", "target"), "sid")
+    lists = rows.groupBy("span").agg(F.array_sort(F.collect_list(F.struct("seg_ord", "ngram", "sid", "file", "source", "target"))).alias("occurrences"))
+    return found.join(lists, "span").select("span", F.to_json(F.struct("span", F.bround("score", 3).alias("score"), "distinct", "total", "uses", "occurrences")).alias("json"))
+
+
 def placeholder_report(segments: DataFrame) -> DataFrame:
-    """sid, file and both lists of the segments whose placeholders differ."""
-    return R.placeholder_issues(segments).select("sid", "file", "src_found", "tgt_found")
+    """sid, file and both lists of the segments whose placeholders differ; those that the file's reader found, inline
+    elements among them, where the segments have them, else those in the texts."""
+    found = (F.col("src_ph"), F.col("tgt_ph")) if {"src_ph", "tgt_ph"} <= set(segments.columns) else ()
+    return R.placeholder_issues(segments, *found).select("sid", "file", "src_found", "tgt_found")
 
 
 def listing(segments: DataFrame, most: int = 2000) -> tuple[DataFrame, int, int]:

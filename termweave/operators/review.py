@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,21 @@ def faithfulness(found: DataFrame, vectors: DataFrame, threshold: float = 0.6, i
     return out.where(one | (F.col("distinct") >= 2) | ((F.col("distinct") == 1) & F.lit(include_consistent))).drop("good", "bad")
 
 
+def embeddings(items: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """text, vec (of length 1) of all n-grams and spans of payload items, each text encoded once; encode: a frame of text
+    -> text, vec."""
+    texts = items.select(F.explode(F.concat(F.array("ngram"), "spans")).alias("text")).distinct()
+    size = F.sqrt(dot(F.col("vec"), F.col("vec")))
+    return encode(texts).select("text", F.transform("vec", lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0)).alias("vec"))
+
+
+def term_similarity(items: DataFrame, vectors: DataFrame) -> DataFrame:
+    """key, span and its similarity to the n-gram, for each span of payload items."""
+    rows = items.select("key", "ngram", F.explode("spans").alias("span"))
+    rows = rows.join(vectors.select(F.col("text").alias("ngram"), F.col("vec").alias("a")), "ngram", "left").join(vectors.select(F.col("text").alias("span"), F.col("vec").alias("b")), "span", "left")
+    return rows.select("key", "span", F.coalesce(dot(F.col("a"), F.col("b")), F.lit(0.0)).alias("sim"))
+
+
 def min_cosine(items: DataFrame, vectors: DataFrame) -> DataFrame:
     """key and agreement: the least dot product of any two spans' vectors, 1 for fewer than two."""
     own = items.select("key", F.explode("spans").alias("text")).join(vectors, "text").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("text", "vec"))).alias("vs"))
@@ -65,12 +82,19 @@ def clear_duplicates(found: DataFrame, verdicts: DataFrame, include_consistent:
 
 
 def parse_verdict(reply: Column) -> Column:
-    """A judge's reply, fenced or not, as (verdict, preferred, reason); unknown and the first 400 characters if it
-    isn't JSON."""
-    bare = F.trim(F.regexp_replace(F.trim(reply), r"^```(?:json)?|```$", ""))
-    got = F.from_json(bare, "verdict string, preferred string, reason string")
-    return F.when(got["verdict"].isNotNull(), F.struct(got["verdict"].alias("verdict"), got["preferred"].alias("preferred"), got["reason"].alias("reason"), F.lit(None).cast("string").alias("raw"))).otherwise(
-        F.struct(F.lit("unknown").alias("verdict"), F.lit(None).cast("string").alias("preferred"), F.lit(None).cast("string").alias("reason"), F.substring(reply, 1, 400).alias("raw"))
+    """A judge's reply, fenced or not, as (verdict, preferred, reason); what its JSON lacks is null. unknown and the first
+    400 characters if it is no JSON object. Of a fenced reply the first line goes, or a "json" it begins with."""
+    text = F.trim(reply)
+    bare = F.regexp_replace(text, "^`+|`+$", "")
+    line = F.instr(bare, "\n")
+    bare = F.when(line > 0, F.substring(bare, line + 1, F.length(bare))).otherwise(bare)
+    bare = F.when(F.startswith(F.lower(bare), F.lit("json")), F.trim(F.regexp_replace(bare, "^(.*?)json", "$1"))).otherwise(bare)
+    body = F.trim(F.when(F.startswith(text, F.lit("```")), bare).otherwise(text))
+    got = F.from_json(body, "verdict string, preferred string, reason string")
+    valid = F.startswith(body, F.lit("{")) & F.get_json_object(body, "$").isNotNull()
+    none = F.lit(None).cast("string")
+    return F.when(valid, F.struct(got["verdict"].alias("verdict"), got["preferred"].alias("preferred"), got["reason"].alias("reason"), none.alias("raw"))).otherwise(
+        F.struct(F.lit("unknown").alias("verdict"), none.alias("preferred"), none.alias("reason"), F.substring(F.coalesce(body, F.lit("")), 1, 400).alias("raw"))
     )
 
 
@@ -150,8 +174,12 @@ def vault_search(vault: DataFrame, query: str = "", regex: bool = False, scope:
 
 
 def approve_dominant(found: DataFrame) -> DataFrame:
-    """source, target: the most frequent span of every flag with several variants."""
-    return found.where("distinct >= 2").select(F.col("ngram").alias("source"), F.get("variants", F.lit(0))["span"].alias("target"))
+    """source, target: the most frequent span of every flag with several variants that is neither cleared nor decided."""
+    open_ = F.col("distinct") >= 2
+    for name in ("cleared", "decided"):
+        if name in found.columns:
+            open_ = open_ & ~F.coalesce(F.col(name), F.lit(False))
+    return found.where(open_).select(F.col("ngram").alias("source"), F.get("variants", F.lit(0))["span"].alias("target"))
 
 
 def glossary_violations(segments: DataFrame, glossary: DataFrame, fold_taa: bool = True, strip_clitics: bool = True, strip_diacritics: bool = True, longest: int = 12) -> DataFrame:
@@ -192,6 +220,22 @@ def set_edits(edits: DataFrame, new: DataFrame, segments: DataFrame) -> DataFram
     return edits.join(live.select("sid"), "sid", "left_anti").select("sid", "text").unionByName(live.where("not (text <=> target)").select("sid", "text"))
 
 
+def revert(edits: DataFrame, sids: DataFrame | None = None) -> DataFrame:
+    """edits without those of the segments (sid); without any, if none are given."""
+    return edits.where("false") if sids is None else edits.join(sids.select("sid").distinct(), "sid", "left_anti").select(edits.columns)
+
+
+def remove_file(segments: DataFrame, edits: DataFrame, file: str) -> tuple[DataFrame, DataFrame]:
+    """Segments without a file's, numbered anew from 0, and the edits that still have a segment."""
+    left = dense(segments.where(F.col("file") != file))
+    return left, prune_edits(edits, left)
+
+
+def dense(segments: DataFrame) -> DataFrame:
+    """Segments with a seg_ord from 0 on, in their order: what batch() needs of segments read from files."""
+    return numbered(segments.withColumnRenamed("seg_ord", "__old"), ["__old"]).select(segments.columns)
+
+
 def prune_edits(edits: DataFrame, segments: DataFrame) -> DataFrame:
     return edits.join(segments.select("sid"), "sid", "left_semi")
 

@@ -1,8 +1,8 @@
 """Word alignment from vectors: links are read off the similarity matrix of a pair's sub-word vectors.
 
 An encoder isn't included; its vectors come as columns, one row for each distinct pair, so the work is a map without a
-shuffle. The rules are the published ones: mutual best matches, their iteration (Sabet et al., 2020), and softmax in
-both directions (Dou and Neubig, 2021).
+shuffle. The rules are the published ones: mutual best matches, their iteration, and the matching of the largest weight
+(Sabet et al., 2020), and softmax in both directions (Dou and Neubig, 2021).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-METHODS = ("mutual", "iterated", "softmax")
+METHODS = ("mutual", "iterated", "weight", "softmax")
 LINKS = "array<struct<s:int,t:int>>"
 
 
@@ -49,6 +49,35 @@ def softmax(sim: np.ndarray, least: float = 1e-3) -> np.ndarray:
     return (share(1) > least) & (share(0) > least)
 
 
+def weight(sim: np.ndarray) -> np.ndarray:
+    """The one-to-one matching of the largest total similarity, by shortest augmenting paths."""
+    turned = len(sim) > sim.shape[1]
+    cost = -(sim.T if turned else sim)
+    n, m = cost.shape
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.full(m + 1, -1)  # prices; the last column is where paths begin
+    for row in range(n):
+        owner[m], at = row, m
+        least, from_, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        while owner[at] >= 0:
+            done[at] = True
+            gap = cost[owner[at]] - u[owner[at]] - v[:m]
+            better = ~done[:m] & (gap < least)
+            least[better], from_[better] = gap[better], at
+            nearest = int(np.where(done[:m], np.inf, least).argmin())
+            step = least[nearest]
+            u[owner[done]] += step
+            v[done] -= step
+            least[~done[:m]] -= step
+            at = nearest
+        while at != m:
+            owner[at], at = owner[from_[at]], from_[at]
+    out = np.zeros((n, m), bool)
+    for column in range(m):
+        if owner[column] >= 0:
+            out[owner[column], column] = True
+    return out.T if turned else out
+
+
 def links_of(src: np.ndarray, tgt: np.ndarray, src_word: list[int], tgt_word: list[int], method: str) -> list[tuple[int, int]]:
     """Word links, sorted and distinct, from sub-word vectors and the word that each belongs to. Where a text was cut,
     the words beyond its vectors have no links."""
@@ -58,7 +87,7 @@ def links_of(src: np.ndarray, tgt: np.ndarray, src_word: list[int], tgt_word: li
     a, b = src[:n], tgt[:m]
     if method != "softmax":
         a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-    cells = {"mutual": mutual, "iterated": iterated, "softmax": softmax}[method](a @ b.T)
+    cells = {"mutual": mutual, "iterated": iterated, "weight": weight, "softmax": softmax}[method](a @ b.T)
     return sorted({(src_word[i], tgt_word[j]) for i, j in zip(*np.nonzero(cells))})
 
 

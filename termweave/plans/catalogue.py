@@ -184,22 +184,6 @@ def _(s, d):
     return _flag_rows(C.flags(C.occurrences(parts(s, d), cfg), cfg))
 
 
-@query("flags_ranked", f"with {FLAGS} select key, n_variants, total, round(score, 6) score from f where n_variants >= 2 and total >= 2 order by round(score, 12) desc, total desc, n_variants desc, key limit 20")
-def _(s, d):
-    f = C.flags(C.occurrences(parts(s, d), RAW), RAW)
-    return _flag_rows(f.orderBy(F.desc(F.round("score", 12)), F.desc("total"), F.desc("distinct"), "key").limit(20))
-
-
-@query("flags_full")
-def _(s, d):
-    return _flag_rows(C.flags(C.occurrences(parts(s, d)), C.Config()))
-
-
-@query("flags_conversations")
-def _(s, d):
-    return _flag_rows(C.flags(C.occurrences(pairs(s, d)), C.Config()))
-
-
 @query("reverse_flags", f"with {PARTS}, v as (select target span, lower(source) as key, count(*) n from parts group by all), w as (select *, sum(n) over (partition by span) t from v), f as (select span, count(*) n_terms, sum(n)::bigint total, {SCORE} score from w group by span) select span, n_terms, total, round(score, 6) score from f where n_terms >= 2 and total >= 2")
 def _(s, d):
     return C.reverse_flags(C.occurrences(parts(s, d), RAW)).select("span", F.col("distinct").cast("long").alias("n_terms"), "total", F.round("score", 6).alias("score"))
@@ -308,14 +292,6 @@ def _(s, d):
     return parts(s, d).select("sid", T.splice(F.col("target"), F.lit(1), F.lit(1), F.lit("FIX")).alias("text"))
 
 
-@query("apply_correction", f"with {PARTS} select sid, 'FIXED' as text from parts where lower(source) = (select min(lower(p_name)) from part)")
-def _(s, d):
-    rows = parts(s, d)
-    first = rows.agg(F.min(F.lower("source")).alias("first"))
-    occ = C.occurrences(rows, RAW).join(first, F.col("key") == F.col("first"), "left_semi").select("sid", "lo", "hi").join(rows.select("sid", "target"), "sid")
-    return occ.select("sid", T.splice(F.col("target"), F.col("lo"), F.col("hi"), F.lit("FIXED")).alias("text"))
-
-
 @query("batch_slice", f"with {PARTS}, n as (select *, row_number() over (order by seg_ord) - 1 i from parts) select sid from n where i >= 100 and i < 200")
 def _(s, d):
     return R.batch(R.numbered(parts(s, d).withColumnRenamed("seg_ord", "old"), ["old"]), 2, 100).select("sid")
@@ -340,13 +316,6 @@ def _(s, d):
     return R.search_flags(C.flags(C.occurrences(parts(s, d), RAW), RAW), "11", inconsistent=True).select("key")
 
 
-@query("edit_distance_pairs", "with n as (select distinct p_name from part) select a.p_name a, b.p_name b, levenshtein(a.p_name, b.p_name)::int distance, round(levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) ratio from n a join n b on a.p_name < b.p_name and left(a.p_name, 1) = left(b.p_name, 1)")
-def _(s, d):
-    n = table(s, d, "part").select("p_name").distinct()
-    j = n.alias("a").join(n.alias("b"), (F.substring("a.p_name", 1, 1) == F.substring("b.p_name", 1, 1)) & (F.col("a.p_name") < F.col("b.p_name")))
-    return j.select(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"), F.levenshtein("a.p_name", "b.p_name").alias("distance"), F.round(T.norm_edit_distance(F.col("a.p_name"), F.col("b.p_name")), 6).alias("ratio"))
-
-
 #: Verifier groups: the spans of a term are ten vectors that follow each other.
 SPANS_OF_TERM = 10
 
@@ -358,42 +327,34 @@ def _(s, d):
     return vs.where(F.size("vs") > 1).select("term", F.round(R.least_dot(F.col("vs")), 4).alias("agreement"))
 
 
-@query("faithfulness_filter", "with t as (select label, min_by(embedding, vec_id) embedding from embeddings group by label) select label, count(*) kept from embeddings e join t using (label) where list_dot_product(e.embedding::double[], t.embedding::double[]) >= 0.2 group by label")
-def _(s, d):
-    e = table(s, d, "embeddings")
-    term = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("term"))
-    return e.join(F.broadcast(term), "label").where(R.dot(F.col("embedding"), F.col("term")) >= 0.2).groupBy("label").agg(F.count("*").alias("kept"))  # a row a label
-
-
-@query("arabic_normalize", "select * from (values ('الرئيسية', 'الرىيسيه'), ('الإلغاء', 'الالغاء'), ('مـــرة', 'مره')) t(word, normal)")
-def _(s, d):
-    return s.createDataFrame([("الرئيسية",), ("الإلغاء",), ("مـــرة",)], "word string").select("word", T.normalize_ar(F.col("word")).alias("normal"))
-
-
-@query("light_stem", "select * from (values ('الزر', 'زر'), ('وبالزر', 'زر'), ('الف', 'الف'), ('كتاب', 'كتاب')) t(word, stem)")
-def _(s, d):
-    return s.createDataFrame([("الزر",), ("وبالزر",), ("الف",), ("كتاب",)], "word string").select("word", T.light_stem_ar(F.col("word")).alias("stem"))
-
-
 @query("char_classes", "select ch, case when cp between 65 and 90 or cp between 97 and 122 then 'Latin letter' when cp between 48 and 57 then 'ASCII digit' else '' end cls, count(*) n from (select ch, ascii(ch) cp from (select unnest(string_split(p_name, '')) ch from part)) where ch <> '' group by 1, 2")
 def _(s, d):
     ch = table(s, d, "part").select(F.explode(F.split("p_name", "")).alias("ch")).where("ch <> ''")
     return ch.groupBy("ch").agg(F.count("*").alias("n")).select("ch", T.char_class(F.col("ch")).alias("cls"), "n")
 
 
-@query("llm_verdict_parse", "select * from (values (1, 'inconsistent', 'زر'), (2, 'unknown', null), (3, 'acceptable', 'x')) t(i, verdict, preferred)")
+@query("edit_distance_pairs", f"with {VARIANTS} select a.key, a.span a, b.span b, levenshtein(a.span, b.span)::int distance, round(levenshtein(a.span, b.span) / greatest(length(a.span), length(b.span)), 6) ratio from v a join v b on a.key = b.key and a.span < b.span")
 def _(s, d):
-    rows = s.createDataFrame([(1, '```json\n{"verdict":"inconsistent","preferred":"زر","reason":"r"}\n```'), (2, "no json"), (3, '{"verdict":"acceptable","preferred":"x"}')], "i int, reply string")
-    return rows.withColumn("v", R.parse_verdict(F.col("reply"))).select("i", "v.verdict", "v.preferred")
+    """Distances of the variants of each n-gram."""
+    v = C.variants(C.occurrences(parts(s, d), RAW)).select("key", "span")
+    j = v.withColumnRenamed("span", "a").join(v.withColumnRenamed("span", "b"), "key").where("a < b")
+    return j.select("key", "a", "b", F.levenshtein("a", "b").alias("distance"), F.round(T.norm_edit_distance(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-@query("back_translation")
+@query("arabic_normalize", "select p_partkey, trim(translate(lower(p_name), 'aeioulwt', 'اااهىوx')) normal from part")
 def _(s, d):
-    f = C.flags(C.occurrences(parts(s, d), RAW), RAW)
-    words = parts(s, d).select(F.col("target").alias("text"), F.split("target", " ")[0].alias("english")).distinct()
-    return R.back_translation(R.payload(f), words)
+    """Names whose vowels are written with letters that are folded, and t with a tatweel."""
+    return table(s, d, "part").select("p_partkey", T.normalize_ar(F.translate(F.lower("p_name"), "aeioulwt", "أإآةئؤxـ")).alias("normal"))
+
+
+#: 26 letters that begin no prefix.
+LETTERS = "تجحخدذرزسشصضطظعغقمنهيثپچژگ"
 
 
-@query("why_flagged")
+@query("light_stem", f"select p_partkey, translate(lower(p_name), 'abcdefghijklmnopqrstuvwxyz', '{LETTERS}') stem from part")
 def _(s, d):
-    return R.top_variants(C.flags(C.occurrences(parts(s, d), RAW), RAW)).select("key", "diff", F.size("unusual").alias("n_unusual"))
+    """Names in Arabic letters, each word behind one of the prefixes, or none."""
+    n = F.col("p_partkey") % 4
+    prefix = F.when(n == 0, "ال").when(n == 1, "وبال").when(n == 2, "لل").otherwise("")
+    words = F.transform(F.split(F.translate(F.lower("p_name"), "abcdefghijklmnopqrstuvwxyz", LETTERS), " "), lambda w: F.concat(prefix, w))
+    return table(s, d, "part").select("p_partkey", T.light_stem_ar(F.array_join(words, " ")).alias("stem"))

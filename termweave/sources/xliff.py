@@ -63,30 +63,36 @@ def parse(content: bytes) -> list[dict]:
 def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(segments, errors): seg_ord, sid, file, unit, source, target, src_ph, tgt_ph; and file, error of bad files.
 
-    Of files with the same name the last replaces the content and the first keeps its place.
+    Of files with the same name the last replaces the content and the first keeps its place. seg_ord is in the order of
+    the files and their segments, with gaps between files: review.dense() closes them.
     """
-    import pyarrow as pa
-
     place = {}
     for p in paths:
         place[p.rsplit("/", 1)[-1]] = (place.get(p.rsplit("/", 1)[-1], (len(place), ""))[0], p)
     order = spark.createDataFrame([(n, o) for n, (o, _) in place.items()], "file string, file_ord int")
+    files = spark.read.format("binaryFile").load([p for _, p in place.values()]).select(F.regexp_extract(F.col("path"), "([^/]*)$", 1).alias("file"), "content")
+    return parse_files(files.join(F.broadcast(order), "file"))  # a row a file that the caller named
+
+
+def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from rows file, file_ord, content (bytes)."""
+    import pyarrow as pa
+
     kind = pa.list_(pa.struct([("idx", pa.int32()), *((c, pa.string()) for c in ("unit", "source", "target")), ("src_ph", pa.list_(pa.string())), ("tgt_ph", pa.list_(pa.string()))]))
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             rows, errors = [], []
-            for c in batch.column(1).to_pylist():
+            for c in batch.column(2).to_pylist():
                 try:
                     rows.append(parse(c))
                     errors.append(None)
                 except Exception as e:  # a bad file is reported, others survive
                     rows.append([])
                     errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(errors, pa.string()), pa.array(rows, kind)], names=["file", "error", "rows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(errors, pa.string()), pa.array(rows, kind)], names=["file", "file_ord", "error", "rows"])
 
-    files = spark.read.format("binaryFile").load([p for _, p in place.values()]).select(F.regexp_extract(F.col("path"), "([^/]*)$", 1).alias("file"), "content")
-    parsed = files.mapInArrow(run, f"file string, error string, rows array<{ROW}>").join(F.broadcast(order), "file")  # a row a file that the caller named
+    parsed = files.select("file", "file_ord", "content").mapInArrow(run, f"file string, file_ord int, error string, rows array<{ROW}>")
     rows = parsed.select("file", "file_ord", F.explode("rows").alias("r")).select("file", "file_ord", "r.*")
     sid = F.concat(F.col("file"), F.lit("#"), F.col("idx").cast("string"))
     segments = rows.select((F.col("file_ord").cast("long") * (1 << 32) + F.col("idx")).alias("seg_ord"), sid.alias("sid"), "file", "unit", "source", "target", "src_ph", "tgt_ph")
@@ -169,11 +175,15 @@ def corrected_name(file: str) -> str:
 
 def export(spark: SparkSession, paths: list[str], edits: DataFrame) -> DataFrame:
     """name, content, dropped_tags of every file that edits (sid, text) change."""
+    return correct_files(spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "content"), edits)
+
+
+def correct_files(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """The same from rows file, content (bytes)."""
     import pyarrow as pa
 
     own = edits.select(F.regexp_extract("sid", "^(.*)#[0-9]+$", 1).alias("file"), F.regexp_extract("sid", "#([0-9]+)$", 1).cast("int").alias("idx"), "text")
     own = own.groupBy("file").agg(F.collect_list(F.struct("idx", "text")).alias("edits"))  # one file's edits, as many as its segments
-    files = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "content")
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -181,4 +191,4 @@ def export(spark: SparkSession, paths: list[str], edits: DataFrame) -> DataFrame
             done = [write_text(c, {e["idx"]: e["text"] for e in es}) for c, es in zip(d["content"], d["edits"])]
             yield pa.RecordBatch.from_arrays([pa.array([corrected_name(f) for f in d["file"]]), pa.array([x for x, _ in done], pa.binary()), pa.array([n for _, n in done], pa.int32())], names=["name", "content", "dropped_tags"])
 
-    return files.join(own, "file").select("file", "content", "edits").mapInArrow(run, "name string, content binary, dropped_tags int")
+    return files.select("file", "content").join(own, "file").select("file", "content", "edits").mapInArrow(run, "name string, content binary, dropped_tags int")

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from termweave.plans import catalogue
+from termweave.plans import catalogue, engine, files  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
@@ -22,7 +22,7 @@ def duck():
 
 
 def plain(v):
-    return round(v, 6) if isinstance(v, float) else str(v) if isinstance(v, datetime.datetime) else v
+    return tuple(map(plain, v)) if isinstance(v, list) else round(v, 6) if isinstance(v, float) else str(v) if isinstance(v, datetime.datetime) else v
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.O))

@@ -104,7 +104,7 @@ def test_review(spark):
 
 
 def test_stores(spark, tmp_path):
-    p = str(tmp_path / "v.json")
+    p = "file://" + str(tmp_path / "v.json")
     frame = spark.createDataFrame([("k", "K", "t", "u", False), ("g", "G", "t", "u", True)], side.ENTRY)
     side.save_vault(frame, p)
     assert sorted(map(tuple, side.vault(spark, p).collect())) == sorted(map(tuple, frame.collect()))
