@@ -82,10 +82,10 @@ class Staging:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def put_by(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
-        """A table in buckets by a column, so that joins on it deal nothing anew."""
+        """A table in buckets by a column, so that joins on it deal nothing anew. A task writes a file for each bucket
+        of its rows: they should be few, or dealt by the column before."""
         own = f"staged_{self.root.rsplit('-', 1)[-1]}_{name}"
-        dealt = df.repartition(buckets, column).write.mode("overwrite").option("compression", "zstd").option("path", f"{self.root}/{name}")
-        dealt.bucketBy(buckets, column).sortBy(column).saveAsTable(own)
+        df.write.mode("overwrite").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, column).sortBy(column).saveAsTable(own)
         self.tables.append(own)
         return self.spark.table(own)
 

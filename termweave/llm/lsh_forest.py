@@ -100,9 +100,31 @@ def links(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 16,
     don't name them (null, if no row of the class has a key). Very long texts are whole sets; other columns, whatever
     their names, are left out.
     """
-    import pyarrow as pa
+    staging = staging or Staging(docs.sparkSession)
+    signed, named = _classes(docs, threshold, k, trees, deepest, recall, staging, text, key)
+    out = signed.select("id", "mark").join(named, "mark", "left")
+    return out.select(F.col("id").alias(key), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
+
+def first_of_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 16, deepest: int = 8, recall: float = 0.999, staging: Staging | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, whole, that come first in their class of links(), by key, then the text's hash (null keys
+    last); of rows equal in both one. Rows without words all stay."""
     staging = staging or Staging(docs.sparkSession)
+    signed, named = _classes(docs, threshold, k, trees, deepest, recall, staging, text, key)
+    first = named.select("first.id", "first.own").distinct()
+    times = signed.where("mark is not null").groupBy("id", "own").agg(F.count("*").alias("times"))
+    first = first.withColumnsRenamed({"id": "i", "own": "o"}).join(times, F.col("i").eqNullSafe(F.col("id")) & (F.col("o") == F.col("own"))).select("i", "o", "times")
+    wordless = signed.where("mark is null").select(F.col("id").alias("i"), F.col("own").alias("o")).distinct().withColumn("times", F.lit(1).cast("long"))
+    keep = staging.put(first.unionByName(wordless).withColumnsRenamed({"i": "__id", "o": "__own", "times": "__times"}), "keep")
+    found = docs.join(keep.hint("merge"), docs[key].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__own")))
+    once = found.where("__times = 1").select(docs.columns)
+    return once.unionByName(found.where("__times > 1").select(docs.columns).dropDuplicates([key, text]))
+
+
+def _classes(docs: DataFrame, threshold: float, k: int, trees: int, deepest: int, recall: float, staging: Staging, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, own, the text's hash, and mark of its shingle set, null without words; mark, first row of its class
+    (no: whether its key is null, id, own) and number of linked rows)"""
+    import pyarrow as pa
 
     def sign(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -138,7 +160,7 @@ def links(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 16,
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("own"))
     signed = staging.put(rows.mapInArrow(sign, "id bigint, own bigint, mark binary, chars bigint, size bigint, sig binary"), "signed")
     texts = signed.where("mark is not null").groupBy("mark").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "own")).alias("of"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("chars", "size", "sig")))
-    texts = staging.put(texts.select(F.monotonically_increasing_id().alias("node"), "mark", "of.id", "of.own", "n", "chars", "size", "sig"), "texts")
+    texts = staging.put(texts.select(F.monotonically_increasing_id().alias("node"), "mark", "of", "of.id", "of.own", "n", "chars", "size", "sig"), "texts")
     nodes = staging.put(texts.select("node", "size", "sig").mapInArrow(prefixes, "id bigint, grp bigint, asked boolean"), "nodes")
     shared = staging.put(nodes.groupBy("grp").agg(F.count("*").alias("m"), F.max("asked").alias("asked")).where("m > 1 and asked").select("grp"), "shared")
     below = staging.put(nodes.join(shared, "grp").select("grp", "id").withColumn("chars", F.lit(0)), "below")
@@ -165,9 +187,7 @@ def links(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 16,
     verified = staging.put(verify(dealt, sets_of, similar), "verified")
     n_links = verified.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(verified.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), staging, "classes")
-    own = texts.select("mark", "n", F.col("id").alias("first"), F.col("node").alias("id")).join(n_links, "id", "left").join(classes.select(F.col("node").alias("id"), "root"), "id", "left")
-    own = staging.put(own.select("mark", "n", "first", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "own")
-    names = staging.put(own.groupBy("root").agg(F.min("first").alias("class_id")), "names")
-    named = own.join(names, "root").select("mark", "class_id", (F.col("links") + F.col("n") - 1).alias("n_links"))
-    out = signed.select("id", "mark").join(staging.put(named, "named"), "mark", "left")
-    return out.select(F.col("id").alias(key), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    own = texts.select("mark", "n", "of", F.col("node").alias("id")).join(n_links, "id", "left").join(classes.select(F.col("node").alias("id"), "root"), "id", "left")
+    own = staging.put(own.select("mark", "n", "of", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "own")
+    names = staging.put(own.groupBy("root").agg(F.min("of").alias("first")), "names")
+    return signed.select("id", "own", "mark"), staging.put(own.join(names, "root").select("mark", "first", (F.col("links") + F.col("n") - 1).alias("n_links")), "named")

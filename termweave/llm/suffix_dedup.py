@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.llm.common import GOLDEN, WORDS, Staging, mix64, window_hashes
@@ -45,14 +45,16 @@ def anchors_of(h: np.ndarray, k: int, w: int, length: int, dense: bool = False)
 
 
 def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, start, end, n_words, first_id of every passage to remove: words [start, end) of the row repeat a passage of
-    at least `least` words whose first occurrence, by key and place, is elsewhere (in the row first_id).
+    """key, start, end, n_words, first_id, row_hash of every passage to remove: words [start, end) of the row repeat a
+    passage of at least `least` words whose first occurrence, by key and place, is elsewhere (in the row first_id).
 
     Words are runs of characters that are not white space, compared by 128 bits of hash over `least` words. What is
     removed at a place stands at an earlier one, where it stays or is itself removed for a still earlier one; so its
     first occurrence stays. Passages that overlap or touch in a row
     are one (first_id: the smallest). Null and short texts have none; rows with a null key take no part; rows that
-    repeat a key are told apart by their words, and rows equal in both count as one. Other columns are left out.
+    repeat a key are told apart, and ordered, by 31 bits of their texts' hash (row_hash), and rows equal in both count
+    as one. Other columns, whatever their names, are left out. The plan is the same at every size: no side that grows
+    with the input is broadcast because it is still small.
     """
     import pyarrow as pa
 
@@ -65,7 +67,7 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
     def select(batches: Iterator) -> Iterator:
         for batch in batches:
             which, keys = [], []
-            for i, x in enumerate(batch.column(1)):
+            for i, x in enumerate(batch.column(2)):
                 h = np.sort(anchors_of(WORDS.of((x.as_py() or "").split()), k, w, shared, dense=True)[1])
                 first = np.ones(len(h), bool)
                 first[1:] = h[1:] != h[:-1]
@@ -73,19 +75,20 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
                 which.append(np.repeat(i, len(own) + (n > 1).sum()))
                 keys += [own, own[n > 1]]  # twice, if the text itself repeats it
             if which and len(which := np.concatenate(which)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which.astype(np.int64))), pa.array(np.concatenate(keys).astype(np.int64))], names=["id", "hash"])
+                at = pa.array(which.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(keys).astype(np.int64))], names=["id", "own", "hash"])
 
     def suffix(batches: Iterator) -> Iterator:
-        names = ["hash", "check", "id", "at"]
+        names = ["hash", "check", "id", "spot"]
 
         def rows_of(parts: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
 
         parts, size = [], 0
         for batch in batches:
-            wanted, bounds = batch.column(2).flatten().to_numpy(), np.asarray(batch.column(2).offsets)
+            wanted, bounds = batch.column(3).flatten().to_numpy(), np.asarray(batch.column(3).offsets)
             bounds = bounds - bounds[0]
-            for n, (i, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+            for n, (i, own, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
                 h = WORDS.of((x.as_py() or "").split())
                 places, keys = anchors_of(h, k, w, shared, dense=True)
                 places = places[np.isin(keys.astype(np.int64), wanted[bounds[n] : bounds[n + 1]])]
@@ -96,7 +99,7 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
                 if not len(at):
                     continue
                 with np.errstate(over="ignore"):
-                    parts.append((window_hashes(h, least)[at].astype(np.int64), window_hashes(mix64(h + GOLDEN), least)[at].astype(np.int64), np.full(len(at), i, np.int64), at.astype(np.int32)))
+                    parts.append((window_hashes(h, least)[at].astype(np.int64), window_hashes(mix64(h + GOLDEN), least)[at].astype(np.int64), np.full(len(at), i, np.int64), (own << 32) + at))
                 size += len(at)
                 if size >= 65536:
                     yield rows_of(parts)
@@ -104,12 +107,13 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
         if parts:
             yield rows_of(parts)
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    kept = staging.put(rows.mapInArrow(select, "id bigint, hash bigint"), "anchors")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), row_hash(text).alias("own"), F.col(text).alias("text"))
+    kept = staging.put(rows.mapInArrow(select, "id bigint, own bigint, hash bigint"), "anchors")
     # written, so that the join deals both sides anew and can split a hot passage
     often = staging.put(kept.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
-    by_doc = kept.join(often, "hash").groupBy("id").agg(F.collect_set("hash").alias("keys"))
-    suffixes = staging.put(rows.join(by_doc, "id").select("id", "text", "keys").mapInArrow(suffix, "hash bigint, check bigint, id bigint, at int"), "suffixes")
+    by_doc = kept.join(often.hint("merge"), "hash").groupBy("id", "own").agg(F.collect_set("hash").alias("keys"))
+    wanted = rows.join(by_doc.hint("merge"), ["id", "own"]).select("id", "own", "text", "keys")
+    suffixes = staging.put(wanted.mapInArrow(suffix, "hash bigint, check bigint, id bigint, spot bigint"), "suffixes")
     staging.drop("anchors")
 
     def compare(batches: Iterator) -> Iterator:
@@ -117,8 +121,8 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        names = ["kind", "part", "hash", "check", "id", "at", "own_id", "own_at"]
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        names = ["kind", "part", "hash", "check", "id", "spot", "own_id", "own_spot"]
+        types = (pa.int32(), *[pa.int64()] * 7)
         last = head = opening = None  # the last suffix, the first of its run, the range's first run
 
         def record(kind: int, cols: list, own: tuple, n: int) -> pa.RecordBatch:
@@ -152,10 +156,10 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
         if last is not None:
             yield record(2, [np.array([x]) for x in last], (np.array([head[0]]), np.array([head[1]])), 1)
 
-    order = ["hash", "check", "id", "at"]
+    order = ["hash", "check", "id", "spot"]
     # no number given: small ranges that lie next to each other may become one task and one file
     ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    compared = staging.put(ranged.mapInArrow(compare, "kind int, part bigint, hash bigint, check bigint, id bigint, at int, own_id bigint, own_at int"), "compared")
+    compared = staging.put(ranged.mapInArrow(compare, "kind int, part bigint, hash bigint, check bigint, id bigint, spot bigint, own_id bigint, own_spot bigint"), "compared")
     staging.drop("suffixes")
     ends = {}
     for r in compared.where("kind in (1, 2)").collect():  # two rows a range
@@ -164,34 +168,39 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
     for part in sorted(ends):
         first, last = ends[part][1], ends[part][2]
         goes_on = before is not None and before[2:4] == first[2:4]
-        firsts.append((part, *(owner if goes_on else (first["id"], first["at"]))))
-        owner = owner if goes_on and last[2:4] == first[2:4] else (last["own_id"], last["own_at"])
+        firsts.append((part, *(owner if goes_on else (first["id"], first["spot"]))))
+        owner = owner if goes_on and last[2:4] == first[2:4] else (last["own_id"], last["own_spot"])
         before = last
-    spare = compared.where("kind = 0").select("id", "at", "own_id")
-    if firsts:
-        parts, ids, places = (np.array(c, np.int64) for c in zip(*firsts))  # a row a range
-
-        def owned(batches: Iterator) -> Iterator:
-            for batch in batches:
-                part, i, at = (c.to_numpy() for c in batch.columns)
-                own = np.searchsorted(parts, part)
-                other = (i != ids[own]) | (at != places[own])
-                yield pa.RecordBatch.from_arrays([pa.array(i[other]), pa.array(at[other]), pa.array(ids[own][other])], names=["id", "at", "own_id"])
-
-        spare = spare.unionByName(compared.where("kind = 3").select("part", "id", "at").mapInArrow(owned, "id bigint, at int, own_id bigint"))
-    spare = spare.select("id", F.col("at").alias("start"), (F.col("at") + least).alias("end"), F.col("own_id").alias("first_id"))
-    by_start = Window.partitionBy("id").orderBy("start", "end")
+    parts, ids, spots = (np.array(c, np.int64) for c in zip(*(firsts or [(-1, 0, 0)])))  # a row a range
+
+    def owned(batches: Iterator) -> Iterator:
+        """What repeats the first of its run; of a run that a range opens with, the first in the ranges before."""
+        for batch in batches:
+            kind, part, i, spot, own_id = (c.to_numpy() for c in batch.columns)
+            own = np.minimum(np.searchsorted(parts, part), len(parts) - 1)
+            over = kind == 3
+            other = ~over | (i != ids[own]) | (spot != spots[own])
+            at = (spot & 0xFFFFFFFF).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c[other]) for c in (i, spot >> 32, at, at + np.int32(least), np.where(over, ids[own], own_id))], names=["id", "own", "start", "end", "first_id"])
+
+    spare = compared.where("kind in (0, 3)").select("kind", "part", "id", "spot", "own_id").mapInArrow(owned, "id bigint, own bigint, start int, end int, first_id bigint")
+    by_start = Window.partitionBy("id", "own").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     islands = spare.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_id").alias("first_id"))
-    return merged.select(F.col("id").alias(key), "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "first_id")
+    merged = islands.groupBy("id", "own", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_id").alias("first_id"))
+    return merged.select(F.col("id").alias(key), "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "first_id", F.col("own").alias("row_hash"))
+
+
+def row_hash(text: Column | str) -> Column:
+    """Tells rows of one key apart: 31 bits of the text's hash."""
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1))
 
 
 def remove(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id", emptied: bool = True) -> DataFrame:
-    """docs without the words of the spans (key, start, end), each with the white space before it; all columns stay.
-    Rows that lose nothing keep their text as it is. A row whose words are all removed keeps a text without words, or
-    goes if `emptied` is false."""
-    lists = spans.groupBy(F.col(key).alias("__id")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("a"), F.col("end").cast("int").alias("z")))).alias("__cut"))
+    """docs without the words of the spans (key, start, end, row_hash), each with the white space before it; all columns
+    stay. Rows that lose nothing, null keys and texts among them, keep their text as it is; other rows of a span's key
+    lose nothing by it. A row whose words are all removed keeps a text without words, or goes if `emptied` is false."""
+    lists = spans.groupBy(F.col(key).alias("__id"), F.col("row_hash").alias("__own")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("a"), F.col("end").cast("int").alias("z")))).alias("__cut"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -210,7 +219,7 @@ def remove(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "do
             out.append("".join(kept) + t[here:] if here else t)
         return pd.Series(out)
 
-    both = docs.join(lists, docs[key].cast("long") == F.col("__id"), "left")
+    both = docs.join(lists.hint("merge"), (docs[key].cast("long") == F.col("__id")) & (row_hash(docs[text]) == F.col("__own")), "left")
     fixed = both.where("__cut is not null").withColumn(text, cut(F.col(text), F.col("__cut"))).select(docs.columns)
     if not emptied:
         fixed = fixed.where(F.col(text).rlike(r"\S"))

@@ -219,6 +219,20 @@ def test_suffix_dedup_is_exact(docs, spark):
             assert set(spots) == want and len(spots) == len(want) and all(r["first_id"] <= r["doc_id"] for r in got)
 
 
+def test_rows_of_one_key_keep_their_words(spark):
+    from termweave.llm.suffix_dedup import remove, repeats
+
+    rng = np.random.default_rng(13)
+    text = lambda n: " ".join("".join(rng.choice(SYLLABLES, 3)) for _ in range(n))
+    p, u, q = text(100), text(100), text(60)
+    rows = [(2, p), (2, u), (5, p), (1, p), (7, q + " x"), (7, "y " + q), (7, "y " + q), (None, p)]
+    frame = spark.createDataFrame([(i, t, 0, "s", i, 9) for i, t in rows], "doc_id bigint, text string, start int, row_hash string, id bigint, own int")
+    spans = repeats(frame)
+    left = collections.Counter((r["doc_id"], r["text"].strip()) for r in remove(frame, spans).collect())
+    assert {k: n for k, n in left.items() if k[0] != 7} == {(2, ""): 1, (2, u): 1, (5, ""): 1, (1, p): 1, (None, p): 1}
+    assert sum(q in t for i, t in left.elements() if i == 7) in (1, 2) and sum(left.values()) == len(rows)  # equal rows are one
+
+
 def test_paragraphs(docs, none):
     from termweave.llm.paragraphs import duplicates
 
@@ -359,10 +373,10 @@ def test_suffix_tree(docs, none, spark):
     want = collections.Counter((i, out(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t)), 6)) for i, t in ROWS)
     scores, contexts = brute_tree(ROWS, out, tok)
     assert contexts > 100
-    for more in ({}, {"block_words": 100, "range_tokens": 500, "share": 0.05}, {"block_tokens": 300, "range_tokens": 100, "share": 0.5}):  # blocks, ranges, contexts dealt over ranges
-        got = score(docs, held, **more).collect()
+    for more in ({}, {"block_tokens": 300, "range_tokens": 400, "share": 0.05}):  # blocks, ranges, contexts dealt over ranges
+        got = score(docs, held, depth=3, **more).collect()
         assert collections.Counter((*tuple(r)[:5], round(r["base_score"], 6)) for r in got) == want
-        assert np.allclose(sorted(r["score"] for r in got), sorted(scores), rtol=1e-9)
+        assert np.allclose(sorted(r["score"] for r in got), sorted(scores), rtol=1e-5)
     assert score(none, held).count() == 0
     assert all(r["score"] < 0 and r["n_known"] == 0 for r in score(docs, F.lit(True)).collect())  # nothing learnt
     words = ROWS[40][1].split()
@@ -381,7 +395,7 @@ def test_suffix_tree_of_a_hot_context(spark):
     scores, contexts = brute_tree(rows, lambda i: i % 5 == 0, tok, depth=2, threshold=0.2)
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     got = score(frame, F.col("doc_id") % 5 == 0, depth=2, threshold=0.2, range_tokens=200).collect()
-    assert contexts > 3 and np.allclose(sorted(r["score"] for r in got), sorted(scores), rtol=1e-9)
+    assert contexts > 3 and np.allclose(sorted(r["score"] for r in got), sorted(scores), rtol=1e-5)
 
 
 def test_toxicity(spark, none):
@@ -391,21 +405,70 @@ def test_toxicity(spark, none):
     rows = []
     for i in range(400):
         bad, group = i % 4 == 0, "muslim" if rng.random() < (0.5 if i % 4 == 0 else 0.05) else "christian"
-        rows.append((i, " ".join([*(f"w{rng.integers(60)}" for _ in range(20)), group, *(["Idiot!"] if bad else [])]), int(bad)))
+        rows.append((i, " ".join([*(f"w{rng.integers(60)}" for _ in range(20)), group, *(["Idiot!"] if bad and rng.random() < 0.8 else [])]), int(bad)))
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
     labels = frame.select("doc_id", "toxic").union(spark.createDataFrame([(None, 1), (5, None)], "doc_id bigint, toxic int"))
     texts = frame.select("doc_id", "text")
     gap = {}
-    for swap in (0.0, 20.0):
+    for swap in (0.0, 1.0, 5.0):
         m = train(texts, labels, swap=swap)
-        z = lambda t: math.log(m.score(t) / (1 - m.score(t)))  # noqa: E731, B023
-        gap[swap] = abs(z("a muslim neighbour") - z("a christian neighbour"))
+        gap[swap] = np.mean([abs(m.score(t.replace("muslim", "christian")) - m.score(t.replace("christian", "muslim"))) for _, t, _ in rows])
         got = score(texts, m).join(frame, "doc_id").collect()
-        assert np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.97
-    assert gap[20.0] < 0.5 * gap[0.0] + 1e-9
+        assert np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.85
+    assert gap[0.0] > 0.01 and gap[1.0] < 0.5 * gap[0.0] and gap[5.0] < 0.3 * gap[0.0]
     assert 0 < m.score(None) == m.score("") < 1
     assert score(none, m).count() == 0 and train(none, none.select("doc_id", F.lit(1).alias("toxic"))).score("x") < 0.3
-    assert fit([], {}).score("x") < 0.5 and features("...") == () and Model({}, 0.0).score("x") == 0.5
+    assert fit([], []).score("x") < 0.5 and features("...") == () and Model({}, 0.0).score("x") == 0.5
+
+
+def test_toxicity_query(spark, tmp_path, monkeypatch):
+    """The query itself: held-out rows are told apart, and naming a group moves scores less than without the penalty."""
+    from termweave.llm import queries, toxicity
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        bad = i % 4 == 0
+        group = "gay" if rng.random() < (0.4 if bad else 0.03) else "straight"
+        rows.append((i, " ".join([*(f"w{rng.integers(80)}" for _ in range(25)), group, *(["moron", "scum"] if bad and rng.random() < 0.8 else [])]), int(bad)))
+    rows += [(2000, None, 0), (2001, "", 0), (None, "moron", 1), (3, "again " * 20_000, 0)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    frame.select("doc_id", "text", F.lit(0.9).alias("score"), F.lit(1).alias("held_out"), F.lit(7).alias("predicted")).write.parquet(str(tmp_path / "documents.parquet"))
+    frame.select("doc_id", "toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op7_toxicity(spark, str(tmp_path)).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _, _ in rows)
+    truth = {i: b for i, _, b in rows[:900]}
+    held = [r for r in got if r["doc_id"] in truth and r["doc_id"] != 3 and r["held_out"]]
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert len(held) > 150 and np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.85
+    labels, docs = spark.read.parquet(str(tmp_path / "labels.parquet")), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    with_, without = toxicity.train(docs, labels), toxicity.train(docs, labels, swap=0.0)
+    gap = lambda m: np.mean([abs(m.score(t.replace("straight", "gay")) - m.score(t.replace("gay", "straight"))) for _, t, _ in rows[:900]])
+    assert gap(with_) < 0.5 * gap(without)
+
+
+def test_swaps_of_a_text():
+    from termweave.llm.toxicity import features, swapped
+
+    groups = {"men": ("men", "women"), "women": ("men", "women")}
+    f = lambda *ws: {x for w in ws for x in features(w)}
+    assert list(swapped({"some", "men,"}, groups)) == [(f("some", "men") - f("some", "women"), f("some", "women") - f("some", "men"))]
+    both = list(swapped({"men", "women"}, groups))  # the other term is there already: nothing is gained
+    assert both == [(f("men") - f("women"), set()), (f("women") - f("men"), set())]
+    assert not list(swapped({"a"}, groups))
+
+
+def brute_nearest(rows, asked, k=5):
+    """query row -> its nearest (vec_id, score), from all pairs of vectors of one length."""
+    out = {}
+    for q in asked:
+        a = np.array(rows[q][1], float)
+        scored = []
+        for j, (i, v, *_) in enumerate(rows):
+            if j != q and i is not None and v is not None and len(v) == len(a) and None not in v and np.isfinite(b := np.array(v, float)).all() and b.any():
+                scored.append((-round(float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))), 12), i))
+        out[q] = [(i, -s) for s, i in sorted(scored)[:k]]
+    return out
 
 
 def test_ann(spark):
@@ -413,53 +476,143 @@ def test_ann(spark):
 
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 10))
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000, None, 0), (1050, [0.0] * 10, 0), (1100, [float("nan")] + [1.0] * 9, 0), (1150, [None] + [1.0] * 9, 0)]
-    rows += [(2000 + i, x[50].tolist(), 0) for i in range(8)]  # ties
-    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
-    got = collections.defaultdict(list)
-    for r in search(frame, F.col("vec_id") % 50 == 0, lists=8, probe=7, parts=4, block=64).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    ids = np.array([r[0] for r in rows if r[0] < 1000 or r[0] >= 2000])
-    y = np.array([r[1] for r in rows if r[0] < 1000 or r[0] >= 2000])
-    u = y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1050, [0.0] * 10), (1100, [float("nan")] + [1.0] * 9), (1150, [None] + [1.0] * 9), (None, x[0].tolist())]
+    rows += [(2001 + i, x[50].tolist()) for i in range(40)]  # ties
+    rows += [(100, x[7].tolist()), (100, x[8].tolist())]  # a key of several vectors
+    rows += [(3000 + 50 * i, rng.normal(size=4).tolist()) for i in range(7)]  # another length
+    frame = spark.createDataFrame([(i, v, 0, "x", 1, True, 0.5) for i, v in rows], "vec_id bigint, embedding array<double>, label int, id string, row int, is_query boolean, score double").repartition(3)
+    hit = total = 0
+    for more in ({}, {"block": 16, "lists": 8, "probe": 7, "parts": 4}):
+        got = collections.defaultdict(list)
+        for r in search(frame, F.col("vec_id") % 50 == 0, **more).collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        asked = [j for j, (i, v) in enumerate(rows) if i is not None and i % 50 == 0 and i not in (1000, 1050, 1100, 1150)]
+        want = brute_nearest(rows, asked)
+        assert set(got) == {rows[q][0] for q in asked}
+        for q in asked:
+            i = rows[q][0]
+            assert len(got[i]) == (15 if i == 100 else 5) and collections.Counter(n for n, _, _ in got[i]) == dict.fromkeys(range(1, 6), 3 if i == 100 else 1)
+            pairs = {(v, round(s, 9)) for _, v, s in got[i]}
+            hit, total = hit + sum((v, round(s, 9)) in pairs for v, s in want[q]), total + len(want[q])
+        assert [v for _, v, _ in sorted(got[50])] == [2001, 2002, 2003, 2004, 2005]
+    assert hit / total >= 0.9
+    assert not {1000, 1050, 1100, 1150, None} & (set(got) | {v for g in got.values() for _, v, _ in g})
+    assert search(frame.where("false"), F.lit(True)).count() == 0
+    assert len(search(frame.where("vec_id < 3"), F.lit(True)).collect()) == 6
+    assert search(frame.where("vec_id = 3"), F.lit(True)).count() == 0
+    floats = frame.where("vec_id < 20").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    assert search(floats, F.lit(True)).count() == 100
+
+
+def test_ann_at_production_parameters(spark):
+    """Recall on the embeddings themselves, and what the codes leave to be measured exactly."""
+    import pyarrow.parquet as pq
+
+    from termweave.llm import queries
+
+    d = "/root/testdata/sf0.1"
+    if not __import__("os").path.exists(d):
+        pytest.skip("no test data")
+    t = pq.read_table(f"{d}/embeddings.parquet", columns=["vec_id", "embedding"])
+    ids, x = t.column("vec_id").to_numpy(), np.array(t.column("embedding").to_pylist(), float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = collections.defaultdict(set)
+    for r in queries.op1_ann(spark, d).collect():
+        got[r["query_id"]].add(r["vec_id"])
     hit = total = 0
     for q in np.flatnonzero(ids % 50 == 0):
         s = u @ u[q]
         s[q] = -9
-        best = ids[np.lexsort((ids, -np.round(s, 12)))[:5]]
-        hit, total = hit + len(set(best) & {v for v, _ in got[ids[q]]}), total + 5
-    assert hit / total >= 0.9 and [v for v, _ in got[50]] == [2000, 2001, 2002, 2003, 2004]
-    assert not {1000, 1050, 1100, 1150} & (set(got) | {v for g in got.values() for v, _ in g})
-    assert search(frame.where("false"), F.lit(True)).count() == 0
-    assert len(search(frame.where("vec_id < 3"), F.lit(True)).collect()) == 6
+        best = ids[np.argsort(-s)[:5]]
+        hit, total = hit + len(set(best.tolist()) & got[ids[q]]), total + 5
+    assert hit / total >= 0.95
+
+
+def brute_rake(cells, goals, start=None, rounds=3000, cap=math.inf, reach=math.inf):
+    """cells: {(source, lang, topic): tokens} -> weights by plain proportional fitting, none above the cap."""
+    total, base = sum(cells.values()), start or dict.fromkeys(cells, 1.0)
+    factor = [dict.fromkeys(g, 1.0) for g in goals]
+    weight = lambda c: min(cap, base[c] * math.prod(f[c[e]] for e, f in enumerate(factor)))
+    for _ in range(rounds):
+        for d, goal in enumerate(goals):
+            now = collections.Counter()
+            for c, m in cells.items():
+                now[c[d]] += m * weight(c)
+            for v, g in goal.items():
+                factor[d][v] = min(reach, max(1 / reach, factor[d][v] * g * total / now[v] if now[v] else 0.0))
+    return {c: base[c] * math.prod(f[c[e]] for e, f in enumerate(factor)) for c in cells}
+
+
+@pytest.mark.parametrize("most_cells", [200_000, 0])
+def test_mixing(docs, none, spark, monkeypatch, most_cells):
+    """All three marginals, on the driver and on the executors, against plain fitting over dictionaries."""
+    from termweave.llm import mixing
+
+    monkeypatch.setattr(mixing, "ROUNDS", 12)
+    monkeypatch.setattr(mixing, "AGAIN", 3)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice([f"{w}{i % 3}" for w in SYLLABLES], rng.integers(1, 40))), f"s{i % 6}", f"l{rng.integers(3)}") for i in range(400)]
+    rows += [(2000, "", "s0", "l0"), (2001, None, "s9", None), (2002, "word", None, "l1"), (3, "other words " * 9, "s1", "l1"), (None, "a b c d", "s2", "l1"), (None, "a b c e", "s2", "l1"), (2003, "long " * 9000, "s3", "l2")]
+    frame = spark.createDataFrame([(*r, 0.1, 2, "x", True, 1.0) for r in rows], "doc_id bigint, text string, source string, lang string, weight double, topic int, row string, sampled boolean, luck double").repartition(3)
+    wanted = {"source": {f"s{j}": 1.0 for j in range(6)} | {"(missing)": 0.01}}
+    more = {"wanted": wanted, "budget": 0.5, "most_cells": most_cells, "topics": 3}
+    got = mixing.weigh(frame, **more).toPandas()
+    assert len(got) == len(rows)
+    assert sorted(got["n_tokens"]) == sorted(len((t or "").split()) for _, t, _, _ in rows)
+    tokens = got[got.n_tokens > 0].groupby(["source", "lang", "topic"])["n_tokens"].sum()
+    cells = {c: float(n) for c, n in tokens.items()}
+    sums = [collections.Counter() for _ in range(3)]
+    for c, n in cells.items():
+        for d in range(3):
+            sums[d][c[d]] += n
+    shares = [{v: wanted["source"].get(v, 0.0) for v in sums[0]}, *({v: (n / sum(s.values())) ** p for v, n in s.items()} for s, p in zip(sums[1:], (0.7, 0.5)))]
+    goals = [{v: x / sum(s.values()) for v, x in s.items()} for s in shares]
+    weight = brute_rake(cells, goals, rounds=12)
+    level = sum(cells.values()) / sum(cells[c] * w for c, w in weight.items())
+    weight = {c: w * level for c, w in weight.items()}
+    odds = brute_rake(cells, [{v: g * 0.5 for v, g in goal.items()} for goal in goals], {c: 0.5 * w for c, w in weight.items()}, 3, 1.0, mixing.REACH)
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(m * min(1, mid * odds[c]) for c, m in cells.items()) < 0.5 * sum(cells.values()) else (low, mid)
+    odds = {c: min(1, high * x) for c, x in odds.items()}
+    for r in got.itertuples():
+        if r.n_tokens:
+            assert abs(r.weight - weight[r.source, r.lang, r.topic]) < 1e-4 * max(1, r.weight) and abs(r.probability - odds[r.source, r.lang, r.topic]) < 1e-4
+        else:
+            assert (r.weight, r.probability, r.sampled) == (1.0, 1.0, True)
+    assert len(set(got.topic)) == 3
+    if not most_cells:
+        return
+    whole = mixing.drawn(frame, **more)
+    assert whole.columns == frame.columns and whole.count() == got["sampled"].sum()  # rows, not keys
+    again = mixing.weigh(frame.repartition(5), **more).toPandas()
+    assert sorted(got[got.sampled].doc_id.dropna()) == sorted(again[again.sampled].doc_id.dropna())
+    assert mixing.weigh(none, most_cells=-1).count() == 0 and mixing.weigh(none).count() == 0 and mixing.drawn(none).count() == 0
+    with pytest.raises(ValueError):
+        mixing.weigh(frame, {"lang": {"nowhere": 1.0}}, most_cells=most_cells).count()
 
 
-def test_mixing(docs, none):
+def test_mixing_meets_its_budget(docs):
     from termweave.llm import mixing
 
-    got = mixing.weigh(docs, {"lang": {"en": 0.5, "(missing)": 0.5}}, budget=0.6).toPandas()
-    assert len(got) == len(ROWS)
+    got = mixing.weigh(docs, {"lang": {"en": 0.5, "(missing)": 0.5}}, budget=0.2).toPandas()
     mass = got["n_tokens"] * got["weight"]
-    assert abs(mass[got["lang"] == "en"].sum() / mass.sum() - 0.5) < 1e-6
-    assert abs((got["n_tokens"] * got["probability"]).sum() / got["n_tokens"].sum() - 0.6) < 1e-6
-    again = mixing.weigh(docs, {"lang": {"en": 0.5, "(missing)": 0.5}}, budget=0.6).toPandas()
-    assert sorted(got[got.sampled].doc_id.dropna()) == sorted(again[again.sampled].doc_id.dropna())
-    assert mixing.weigh(none).count() == 0
+    assert abs(mass[got["lang"] == "en"].sum() / mass.sum() - 0.5) < 1e-6 and abs(mass.sum() / got["n_tokens"].sum() - 1) < 1e-6
+    expected = got["n_tokens"] * got["probability"]
+    assert abs(expected.sum() / got["n_tokens"].sum() - 0.2) < 1e-6 and (got["probability"] <= 1).all()
 
 
-def test_mixing_of_many_cells(spark, none):
-    """Cells too many for the driver get the same weights; sources of mostly one language need many rounds."""
+def test_topics():
     from termweave.llm import mixing
 
-    rng = np.random.default_rng(8)
-    rows = [(i, " ".join(rng.choice(SYLLABLES, rng.integers(1, 40))), f"s{i % 30}", f"l{i % 30 % 4 if rng.random() < 0.6 else rng.integers(4)}") for i in range(900)]
-    rows += [(2000, "", "s0", "l0")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
-    few, many = ({r["doc_id"]: r for r in mixing.weigh(docs, most_cells=n).collect()} for n in (200_000, 0))
-    assert few.keys() == many.keys()
-    for i, r in few.items():
-        assert abs(r["weight"] - many[i]["weight"]) <= 1e-8 * max(1, r["weight"]) and abs(r["probability"] - many[i]["probability"]) < 1e-8
-    assert mixing.weigh(none, most_cells=-1).count() == 0
+    rng = np.random.default_rng(6)
+    words = [[f"{c}{i}" for i in range(200)] for c in "abc"]
+    rows = [mixing.counted(list(rng.choice(words[i % 3], 40)) + ["the"] * 10) for i in range(90)]
+    model = mixing.fit_topics(rows, 3)
+    own = [model.of(r) for r in rows]
+    assert len(set(own)) == 3 and all(own[i] == own[i % 3] for i in range(90))
+    assert mixing.fit_topics([], 3).of(rows[0]) == 0 and mixing.fit_topics(rows[:1] * 5, 3).of(rows[0]) == 0 and model.of(mixing.counted([])) == 0
 
 
 def test_pipeline(spark, tmp_path):
