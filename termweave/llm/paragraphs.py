@@ -4,8 +4,8 @@ Units are paragraphs (all lines that have words) and, as passages repeat inside
 at content-selected positions: minimisers, so a passage of `least` words holds a window that begins at the same word
 wherever the passage stands. Equal units are one row from the start. Paragraphs collide in bands of their MinHash
 signature, tuned for the target recall; colliding ones are verified by exact Jaccard similarity; sets so small
-that only an equal one reaches the threshold have no bands. Windows have one
-length, so all similar enough are equal, and their whole shingle set is their band.
+that only an equal one reaches the threshold have no bands. Windows match only where they are equal: a passage's first
+window does wherever the passage stands. Equal units are known by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WORDS, Staging, components, mix64, window_hashes
+from termweave.llm.common import GOLDEN, WORDS, Staging, components, mix64, window_hashes
 from termweave.llm.lsh_forest import signatures
 from termweave.llm.near import cells, verify
 from termweave.llm.suffix_dedup import anchors_of
@@ -51,18 +51,18 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
     A class is a connected component of units whose sets of k-word shingles (lower case) are similar to at least the
     threshold; its first unit, by key and place, is kept and the others are removed. Windows to be removed that
     overlap in a row are one unit, under the smallest class of theirs; kept windows are not listed unless as such.
-    Every line with words is a unit (least_words: at least so many); one of fewer than k words is one shingle. Null and empty texts have no units; rows with a null key take no
-    part; rows that repeat a key are all units of that key, equal units at one place counting once. Other columns
-    are left out.
+    Every line with words is a unit (least_words: at least so many); one of fewer than k words is one shingle. Null and
+    empty texts have no units; very long ones are whole; rows with a null key take no part; rows that repeat a key are
+    all units of that key, equal units at one place counting once. Other columns, whatever their names, are left out.
     """
     import pyarrow as pa
 
     staging = staging or Staging(docs.sparkSession)
     n_bands = bands(threshold, recall, rows)
 
-    def lines_of(h: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit hashes, a number for each band, and whether only equal sets are similar, of the word runs [a, z)."""
-        units, codes, alone = np.empty(len(a), np.int64), np.zeros((len(a), n_bands), np.int64), np.zeros(len(a), bool)
+    def lines_of(h: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two unit hashes, a number for each band, and whether only equal sets are similar, of the word runs [a, z)."""
+        units, checks, codes, alone = np.empty(len(a), np.int64), np.empty(len(a), np.int64), np.zeros((len(a), n_bands), np.int64), np.zeros(len(a), bool)
         size = np.minimum(k, z - a)
         for own in np.unique(size).tolist():  # runs of fewer than k words are one shingle
             at = np.flatnonzero(size == own)
@@ -70,6 +70,7 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
             sizes = np.diff(np.append(starts, len(v)))
             with np.errstate(over="ignore"):
                 units[at] = mix64(np.add.reduceat(mix64(v), starts) + sizes.astype(np.uint64)).astype(np.int64)
+                checks[at] = mix64(np.add.reduceat(mix64(v ^ GOLDEN), starts) + sizes.astype(np.uint64)).astype(np.int64)
             few = sizes < threshold * (sizes + 1) - 1e-6  # n of n + 1 shingles is the nearest that another set can be
             alone[at] = few
             v, starts, at = v[np.repeat(~few, sizes)], np.cumsum(sizes[~few]) - sizes[~few], at[~few]
@@ -81,11 +82,11 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
                 for r in range(rows):
                     code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + s[:, :, r])
                 codes[at] = code.astype(np.int64)
-        return units, codes, alone
+        return units, checks, codes, alone
 
     def cut(batches: Iterator) -> Iterator:
-        names = ["id", "line", "start", "end", "chars", "hash", "bands"]
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        names = ["id", "line", "start", "end", "chars", "hash", "check", "bands"]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for low in range(0, batch.num_rows, 64):
@@ -102,33 +103,35 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
                     hashes.append(h)
                     base += len(h)
                     places, v = anchors_of(h, 8, least - span + 1, span)
-                    windows.append((np.full(len(places), i, np.int64), places, v.astype(np.int64)))
+                    with np.errstate(over="ignore"):
+                        check = window_hashes(mix64(h + GOLDEN), span)[places] if len(places) else v
+                    windows.append((np.full(len(places), i, np.int64), places, v.astype(np.int64), check.astype(np.int64)))
                 if lines:
                     cols = np.array(lines, np.int64).T
-                    unit, codes, alone = lines_of(np.concatenate(hashes), cols[5], cols[5] + cols[3] - cols[2])
+                    unit, checks, codes, alone = lines_of(np.concatenate(hashes), cols[5], cols[5] + cols[3] - cols[2])
                     n = np.where(alone, 0, n_bands)
                     listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(codes[~alone].ravel()))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols[:5], types)), pa.array(unit), listed], names=names)
-                i, places, v = (np.concatenate(c) for c in zip(*windows))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols[:5], types)), pa.array(unit), pa.array(checks), listed], names=names)
+                i, places, v, check = (np.concatenate(c) for c in zip(*windows))
                 if len(i):
                     start = places.astype(np.int32)
-                    none = [pa.nulls(len(i), t) for t in (types[1], types[6])]
-                    yield pa.RecordBatch.from_arrays([pa.array(i), none[0], pa.array(start), pa.array(start + np.int32(span)), pa.array(np.zeros(len(i), np.int32)), pa.array(v), none[1]], names=names)
+                    none = [pa.nulls(len(i), t) for t in (types[1], types[7])]
+                    yield pa.RecordBatch.from_arrays([pa.array(i), none[0], pa.array(start), pa.array(start + np.int32(span)), pa.array(np.zeros(len(i), np.int32)), pa.array(v), pa.array(check), none[1]], names=names)
 
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    units = staging.put(texts.mapInArrow(cut, "id bigint, line int, start int, end int, chars int, hash bigint, bands array<bigint>"), "units")
+    units = staging.put(texts.mapInArrow(cut, "id bigint, line int, start int, end int, chars int, hash bigint, check bigint, bands array<bigint>"), "units")
     lines = units.where("line is not null")
-    distinct = lines.groupBy(F.col("hash").alias("id")).agg(F.min(F.struct("id", "line", "chars")).alias("own"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    distinct = staging.put(distinct, "distinct")
+    distinct = lines.groupBy("hash", "check").agg(F.min(F.struct("id", "line", "chars")).alias("own"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    distinct = staging.put(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "distinct")
     nodes = distinct.select("id", F.explode("bands").alias("band"))
     shared = nodes.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low")
     edges = nodes.join(staging.put(shared, "shared"), "band").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     groups = components(edges, staging, "candidates").select(F.col("node").alias("id"), F.col("root").alias("grp"))
-    members = distinct.join(groups, "id").select("id", "grp", "n", F.col("own.chars").cast("long").alias("chars"), F.col("own.id").alias("doc"), F.col("own.line").alias("line"))
+    members = distinct.join(groups, "id").select("id", "grp", "n", F.col("hash").alias("mark"), F.col("own.chars").cast("long").alias("chars"), F.col("own.id").alias("doc"), F.col("own.line").alias("line"))
     members = staging.put(members, "members")
     found = members.select("id", "doc", "line").join(texts.withColumnRenamed("id", "doc"), "doc")
     found = found.select("id", F.get(F.split("text", "\n", -1), F.col("line")).alias("text"))
-    dealt = cells(members.drop("doc", "line").withColumn("mark", F.col("id")), staging).join(found, "id")
+    dealt = cells(members.drop("doc", "line"), staging).join(found, "id")
 
     def sets_of(text, own):
         h = np.unique(window_hashes(WORDS.of((text or "").lower().split()), k))
@@ -138,13 +141,15 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
         return common >= threshold * (a + b - common) - 1e-6
 
     verified = staging.put(verify(dealt, sets_of, similar).where("other is not null"), "verified")
-    classes = components(verified.select(F.col("id").alias("a"), F.col("other").alias("b")), staging, "classes").withColumnRenamed("node", "hash")
-    in_class = lines.select("id", "start", "end", "hash").distinct().join(classes, "hash", "left").select(F.coalesce("root", "hash").alias("class_id"), "id", "start", "end")
-    windows = units.where("line is null").select(F.col("hash").alias("class_id"), "id", "start", "end").distinct()
+    classes = components(verified.select(F.col("id").alias("a"), F.col("other").alias("b")), staging, "classes").withColumnRenamed("node", "id")
+    named = distinct.select("id", "hash", "check").join(classes, "id", "left").select("hash", "check", F.coalesce("root", "id").alias("class_id"))
+    in_class = lines.select("id", "start", "end", "hash", "check").distinct().join(staging.put(named, "named"), ["hash", "check"]).select("class_id", F.lit(0).cast("long").alias("check"), "id", "start", "end")
+    # classes of lines are numbers from 0, of windows negative ones
+    windows = units.where("line is null").select(F.col("hash").bitwiseOR(F.lit(-(1 << 63))).alias("class_id"), "check", "id", "start", "end").distinct()
 
     def judged(rows: DataFrame, name: str) -> DataFrame:
-        heads = rows.groupBy("class_id").agg(F.min(F.struct("id", "start")).alias("own"), F.count("*").alias("n")).where("n > 1").drop("n")
-        return rows.join(staging.put(heads, name), "class_id").select("id", "start", "end", "class_id", ((F.col("id") != F.col("own.id")) | (F.col("start") != F.col("own.start"))).alias("removed"))
+        heads = rows.groupBy("class_id", "check").agg(F.min(F.struct("id", "start")).alias("own"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return rows.join(staging.put(heads, name), ["class_id", "check"]).select("id", "start", "end", "class_id", ((F.col("id") != F.col("own.id")) | (F.col("start") != F.col("own.start"))).alias("removed"))
 
     spare = judged(windows, "window_heads")
     by_start = Window.partitionBy("id", "removed").orderBy("start", "end")
