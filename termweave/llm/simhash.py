@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.llm.common import GOLDEN, WORDS, Staging, grouped, mix64, window_hashes
@@ -43,7 +43,7 @@ def compare_edits(docs: DataFrame, staging: Staging | None = None, text: str = "
 
     The edited text is the row's text with its last floor(n_chars / 2) code points replaced by the first as many (or
     all) of the next row's, by descending key (null keys last, ties by text); after the last row comes the first.
-    Null texts count as empty. One range shuffle of the texts: each task walks its range in order, keeping one
+    Null texts count as empty; other columns, whatever their names, are left out. One range shuffle of the texts: each task walks its range in order, keeping one
     predecessor; the last row of a range meets the first row of the next in a join of one row a range.
     """
     import pyarrow as pa
@@ -93,8 +93,6 @@ def compare_edits(docs: DataFrame, staging: Staging | None = None, text: str = "
     walked = staging.put(ranged.mapInArrow(walk, f"kind int, part bigint, {types}, text string"), "walked")
     heads = walked.where("kind = 1").select("part", "key", F.col("text").alias("following"))
     tails = walked.where("kind = 2").select("part", "key", "text")
-    from pyspark.sql import Window
-
     ring = heads.select("part", "key").select("part", F.lead("part").over(Window.orderBy(order, F.col("part"))).alias("next"), F.first("part").over(Window.orderBy(order, F.col("part"))).alias("first"))
     ring = ring.select("part", F.coalesce("next", "first").alias("next"))
     ends = tails.join(ring, "part").join(heads.select(F.col("part").alias("next"), "following"), "next").select("key", "text", "following").mapInArrow(close, types)
@@ -140,6 +138,7 @@ def within_radius(docs: DataFrame, radius: int = 3, staging: Staging | None = No
     fps = docs.select(F.col(fingerprint).alias("fp")).where("fp is not null").distinct()
     keyed = staging.put(fps.mapInArrow(keys, "fp string, keys array<string>").select("fp", F.explode("keys").alias("key")), "keys")
     many = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / each).cast("int").alias("g"))
-    cells = keyed.join(many, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
+    # written, so that the join deals both sides anew and can split a hot key
+    cells = keyed.join(staging.put(many, "many"), "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
     cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", "fp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(pairs, "a string, b string, distance int").distinct()

@@ -56,6 +56,11 @@ def test_token_counts(docs, none):
     assert all(r["over_limit"] == (r["n_tokens"] > 512) for r in got)
     assert count_tokens(none, path).count() == 0
     own = Counter(path)
+    rng = np.random.default_rng(12)
+    long = [" ".join("".join(rng.choice(SYLLABLES, rng.integers(1, 5))) + str(rng.choice(["", ",", "\n\n", "'s", "  "])) for _ in range(30_000)) for _ in range(2)] + ["ab" * 80_000]
+    frame = docs.sparkSession.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in count_tokens(frame, path).collect()} == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(long)}
+    assert min(map(len, long)) > 100_000  # several chunks each
     for t in ("a  b\n\n c's <|endoftext|>", "x" * 500, "\xa0 \x1c! é'll", "日本 ٣٣"):
         for chunk in (1, 3, 7, 1000):
             assert own.tokens(t, chunk) == len(lib.encode(t, add_special_tokens=False).ids)
@@ -279,14 +284,28 @@ def test_paragraphs_of_any_length(spark):
 def test_simhash(docs, none, spark):
     import hashlib
 
-    from termweave.llm.simhash import compare_edits, fingerprint, within_radius
+    from termweave.llm.common import GOLDEN, WORDS, mix64, window_hashes
+    from termweave.llm.simhash import compare_edits, within_radius
+
+    def plain(t):
+        """The fingerprint as 128 votes, shingle by shingle."""
+        h = window_hashes(WORDS.of(t.lower().split()), 5)
+        if not len(h):
+            return "0" * 128
+        bits = [f"{int.from_bytes(int(x).to_bytes(8, 'little') + int(mix64(np.array([x], np.uint64) ^ GOLDEN)[0]).to_bytes(8, 'little'), 'big'):0128b}" for x in h]
+        return "".join("1" if 2 * sum(b[i] == "1" for b in bits) > len(bits) else "0" for i in range(128))
 
     rows = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+    plains = {t: plain(t) for t in {t or "" for _, t in rows}}
+    like = lambda a, b: round(sum(x == y for x, y in zip(a, b)) / 128, 9)
+    as_hex = lambda b: f"{int(b, 2):032x}"
     want = collections.Counter()
     for j, (i, t) in enumerate(rows):
         t, after = t or "", rows[(j + 1) % len(rows)][1] or ""
-        want[i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest(), fingerprint(t).hex()] += 1
-    assert collections.Counter(tuple(r)[:4] for r in compare_edits(docs).collect()) == want
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, fp = plains[t], plain(edited)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), as_hex(own), as_hex(fp), like(own, fp), like(own, plains[after])] += 1
+    assert collections.Counter((*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in compare_edits(docs).collect()) == want
     assert compare_edits(none).count() == 0
     one = compare_edits(docs.where("doc_id = 0")).first()
     assert one["near_next"] == 1.0
