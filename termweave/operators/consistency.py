@@ -173,9 +173,21 @@ def by_count(vs: str) -> str:
 def flags(occ: DataFrame, cfg: Config = Config(), vault: DataFrame | None = None) -> DataFrame:
     """key, ngram, variants, distinct, total, score, violation, approved, first (seg_ord, ng_ord): n-grams that several
     spans translate. A variant's spans are all that it stands for. vault: key, target; an n-gram any of whose spans differs from the approved text is a violation."""
-    each = occ.groupBy("key", "span").agg(
-        F.count("*").alias("count"), F.min("seg_ord").alias("first_seg"), F.min_by("raw", "seg_ord").alias("raw"), F.min(F.struct("seg_ord", "ng_ord", "ngram")).alias("head")
-    )
+    return flags_of(counts(occ), cfg, vault)
+
+
+def counts(occ: DataFrame) -> DataFrame:
+    """key, span, count, first_seg, raw (of the first), head (seg_ord, ng_ord, ngram of the first): what flags need."""
+    return occ.groupBy("key", "span").agg(F.count("*").alias("count"), F.min("seg_ord").alias("first_seg"), F.min_by("raw", "seg_ord").alias("raw"), F.min(F.struct("seg_ord", "ng_ord", "ngram")).alias("head"))
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """The counts() of a whole from those of its parts."""
+    return parts.groupBy("key", "span").agg(F.sum("count").alias("count"), F.min("first_seg").alias("first_seg"), F.min_by("raw", "first_seg").alias("raw"), F.min("head").alias("head"))
+
+
+def flags_of(each: DataFrame, cfg: Config = Config(), vault: DataFrame | None = None) -> DataFrame:
+    """flags() from counts()."""
     spanned = F.col("span") != ""
     one = F.struct((-F.col("count")).alias("n"), "first_seg", "span", "raw")
     per_key = each.groupBy("key").agg(

@@ -185,27 +185,35 @@ def approve_dominant(found: DataFrame) -> DataFrame:
 def glossary_violations(segments: DataFrame, glossary: DataFrame, fold_taa: bool = True, strip_clitics: bool = True, strip_diacritics: bool = True, longest: int = 12) -> DataFrame:
     """Segments whose source holds a term (as whole words, ignoring case) but whose target lacks the approved text.
 
-    Terms that are plain words joined by single spaces meet the segments' n-grams in an equi-join; only others are
-    matched as patterns, by nested loop. Plain terms are as long as they are: `longest` bounds the n-grams made, and
-    longer terms go the other way.
+    Plain terms, words joined by single spaces, meet the segments' n-grams of up to `longest` words; others, and longer
+    ones, meet segments that hold their first word, and are then matched whole. Only terms without any word are held
+    against every segment. Joins carry segment numbers (seg_ord, unique), not texts; only hits fetch their segment.
     """
     norm = lambda c: T.normalize_span(c, fold_taa, strip_clitics, strip_diacritics)
     g = glossary.select(F.col("source").alias("source_term"), F.col("target").alias("approved"), F.lower("source").alias("low"), norm(F.col("target")).alias("want")).where("want <> ''")
     word = r"[\p{L}\p{N}_]"
     plain = F.col("low").rlike(rf"^{word}+( {word}+)*$") & (F.size(F.split("low", " ")) <= longest)
-    s = segments.withColumn("have", norm(F.col("target"))).withColumn("src_low", F.lower("source"))
-    runs = F.split(F.regexp_replace("src_low", rf"([^\p{{L}}\p{{N}}_]+)", "\u0001$1\u0001"), "\u0001")
-    # n-grams of words that single spaces part
-    pieces = s.select("*", F.explode(F.array(runs)).alias("p"))  # worked out once a row, not in every lambda
+    runs = F.split(F.regexp_replace(F.lower("source"), rf"([^\p{{L}}\p{{N}}_]+)", "\u0001$1\u0001"), "\u0001")
+    # n-grams of words that single spaces part; worked out once a row, not in every lambda
+    pieces = segments.select("seg_ord", F.explode(F.array(runs)).alias("p"))
     grams = F.expr(
         f"""array_distinct(flatten(transform(sequence(0, size(p) - 1, 2), i -> transform(sequence(1, {longest}), n ->
             case when i + 2 * n - 2 < size(p) and get(p, i) <> '' and get(p, i + 2 * n - 2) <> ''
                 and size(filter(slice(p, i + 1, 2 * n - 1), (x, j) -> j % 2 = 1 and x <> ' ')) = 0 then array_join(slice(p, i + 1, 2 * n - 1), '') end))))"""
     )
-    easy = pieces.withColumn("low", F.explode(grams)).where("low is not null").join(g.where(plain), "low")
-    hard = s.join(g.where(~plain), F.expr(rf"src_low rlike concat('(?<!{word.replace(chr(92), chr(92) * 2)})\\Q', low, '\\E(?!{word.replace(chr(92), chr(92) * 2)})')"))
-    cols = ["seg_ord", "sid", "file", "source_term", "approved", F.col("source").alias("segment_source"), F.col("target").alias("segment_target"), "have", "want"]
-    return easy.select(cols).unionByName(hard.select(cols)).where(~F.contains("have", "want")).drop("have", "want")
+    terms = ["source_term", "approved", "want"]
+    easy = pieces.select("seg_ord", F.explode(grams).alias("low")).where("low is not null").join(g.where(plain), "low").select("seg_ord", *terms)
+    held = segments.select("seg_ord", F.lower("source").alias("src_low"))
+    bound = word.replace("\\", "\\\\")
+    whole = F.expr(rf"src_low rlike concat('(?<!{bound})\\Q', low, '\\E(?!{bound})')")
+    hard = g.where(~plain).withColumn("word", F.regexp_extract("low", f"{word}+", 0))
+    words = held.select("seg_ord", F.explode(F.array_distinct(F.regexp_extract_all("src_low", F.lit(f"{word}+"), F.lit(0)))).alias("word"))
+    near = words.join(hard.where("word <> ''"), "word").join(held, "seg_ord").where(whole).select("seg_ord", *terms)
+    bare = held.join(hard.where("word = ''"), whole).select("seg_ord", *terms)
+    hits = easy.unionByName(near).unionByName(bare)
+    texts = segments.select("seg_ord", "sid", "file", F.col("source").alias("segment_source"), F.col("target").alias("segment_target"))
+    found = hits.join(texts, "seg_ord").where(~F.contains(norm(F.col("segment_target")), F.col("want")))
+    return found.select("seg_ord", "sid", "file", "source_term", "approved", "segment_source", "segment_target")
 
 
 def placeholder_issues(segments: DataFrame, src: Column | None = None, tgt: Column | None = None) -> DataFrame:

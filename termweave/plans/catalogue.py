@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.functions import text as T
+from termweave.operators import analysis
 from termweave.operators import consistency as C
 from termweave.operators import review as R
 
@@ -305,10 +306,7 @@ def _(s, d):
 
 @query("run_summary", f"with {FLAGS}, r as (select target from parts group by target having count(distinct lower(source)) >= 2) select (select count(*) from parts) segments, (select count(distinct file) from parts) files, (select count(*) from f where n_variants >= 2 and total >= 2) flags, (select count(*) from r) reverse_flags")
 def _(s, d):
-    rows = parts(s, d)
-    occ = C.occurrences(rows, RAW)
-    one = rows.agg(F.count("*").alias("segments"), F.count_distinct("file").alias("files"))
-    return one.join(C.flags(occ, RAW).agg(F.count("*").alias("flags"))).join(C.reverse_flags(occ).agg(F.count("*").alias("reverse_flags")))
+    return analysis.analyze_all(parts(s, d), RAW).summary.select("segments", "files", "flags", "reverse_flags")
 
 
 @query("search_flags", f"with {FLAGS}, h as (select distinct key from v where contains(lower(span), '11') or contains(key, '11')) select key from f where n_variants >= 2 and total >= 2 and key in (select key from h)")

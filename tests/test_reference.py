@@ -121,3 +121,20 @@ def test_stream(spark, tmp_path):
     got = []
     watch(spark, str(tmp_path / "in"), str(tmp_path / "ck"), lambda f, n: got.extend(r["ngram"] for r in f.collect())).awaitTermination(120)
     assert sorted(got) == ["cancel button", "main dashboard"]
+
+
+def test_stream_over_batches(spark, tmp_path):
+    """An n-gram whose spans differ between batches is found by the second; a batch run again counts once."""
+    from termweave.streaming.watch import SEGMENT, watch
+
+    got = {}
+    for n, target in enumerate(["aa bb", "cc dd"]):
+        spark.createDataFrame([(n, f"s#{n}", "f", "red button", target)], SEGMENT).write.mode("append").parquet(str(tmp_path / "in"))
+        watch(spark, str(tmp_path / "in"), str(tmp_path / "ck"), lambda f, k: got.update({k: [(r["key"], r["total"]) for r in f.collect()]})).awaitTermination(120)
+    assert got == {0: [], 1: [("red button", 2)]}
+
+
+def test_terms_with_other_characters(spark):
+    rows = spark.createDataFrame([(0, "s0", "f", "Use C++ now (really)", "x"), (1, "s1", "f", "use c now", "x"), (2, "s2", "f", "100 % sure", "x"), (3, "s3", "f", "the re-use, of it", "x")], "seg_ord bigint, sid string, file string, source string, target string")
+    g = spark.createDataFrame([("C++", "y"), ("%", "y"), ("re-use", "y"), ("(really)", "x"), ("e-use", "y"), ("use c", "y")], "source string, target string")
+    assert {(r["sid"], r["source_term"]) for r in R.glossary_violations(rows, g).collect()} == {("s0", "C++"), ("s0", "use c"), ("s1", "use c"), ("s2", "%"), ("s3", "re-use")}
