@@ -115,6 +115,17 @@ def unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and the number of each key among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], number
+
+
 class Depth:
     """The different (context, token) pairs of a block at one depth, in the order of the ranges they are sent to.
 
@@ -122,8 +133,8 @@ class Depth:
     """
 
     def __init__(self, ctx: np.ndarray, ids: np.ndarray, words: np.ndarray, hashes: np.ndarray, counts: np.ndarray, ranges: int, hot: float):
-        self.at = np.flatnonzero(ctx >= 0)
-        keys, self.back = np.unique(ctx[self.at].astype(np.uint64) << np.uint64(32) | ids[self.at], return_inverse=True)
+        self.at = np.flatnonzero(ctx >= 0).astype(np.int32)
+        keys, self.back = numbered(ctx[self.at].astype(np.uint64) << np.uint64(32) | ids[self.at])
         own, symbol = (keys >> np.uint64(32)).astype(np.int64), words[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         self.total = counts[own]
         self.hash, self.symbol, self.dealt = hashes[own], symbol, self.total > hot
@@ -131,7 +142,8 @@ class Depth:
             self.next = mix64(self.hash * GOLDEN + symbol)  # the pair as a longer context
             place = np.where(self.dealt, mix64(self.hash ^ symbol), self.hash)
         place = (place >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-        self.order = np.argsort(place.astype(np.uint16 if ranges <= 1 << 16 else np.uint32), kind="stable")
+        place = place.astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
+        self.order = np.argsort(place, kind="stable").astype(np.int32)
         place, own = place[self.order], own[self.order]
         new = np.ones(len(own), bool)
         new[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1])
@@ -140,10 +152,10 @@ class Depth:
         self.place, self.run_place = place, place[self.first]
 
     def sent(self, p: np.ndarray, taught: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(range, packed pairs); p: the tokens' probabilities so far; taught: 1 for tokens that teach, else 0."""
+        """(range, packed pairs); p: the tokens' probabilities so far; taught: whether they teach."""
         lp = np.empty(len(self.hash))
         lp[self.back] = np.log(p[self.at])
-        n = np.bincount(self.back, taught[self.at], len(self.hash))[self.order]
+        n = np.bincount(self.back[taught[self.at]], minlength=len(self.hash))[self.order]
         lp, symbol = lp[self.order], self.symbol[self.order] >> np.uint64(16)
         head = self.order[self.first]
         for r in np.unique(self.run_place).tolist():
@@ -162,9 +174,12 @@ class Depth:
         if len(often[0]):
             at = np.minimum(np.searchsorted(often[0], self.hash), len(often[0]) - 1)
             kinds = np.where(self.dealt & (often[0][at] == self.hash), often[1][at], kinds)
+        some = kinds > 0  # the suffix's probability moves by (count + followers x it) / (total + followers)
+        add, times = np.zeros(len(kinds)), np.ones(len(kinds))
+        add[some] = self.count[some] / (self.total[some] + kinds[some])
+        times[some] = kinds[some] / (self.total[some] + kinds[some])
         out = p.copy()
-        c, m, total, old = self.count[self.back], kinds[self.back], self.total[self.back], p[self.at]
-        out[self.at] = np.where(m > 0, (c + m * old) / np.maximum(total + m, 1), old)
+        out[self.at] = add[self.back] + times[self.back] * p[self.at]
         return out
 
 
@@ -173,30 +188,32 @@ class Block:
 
     def __init__(self, ids: bytes, lengths: list[int], held: list[bool], words: bytes, count: bytes, lp: bytes):
         self.ids, self.words = np.frombuffer(ids, "<u4"), np.frombuffer(words, "<u8")
-        self.c, self.p = np.frombuffer(count, "<i8"), 10.0 ** np.frombuffer(lp, "<f8")[self.ids]
+        self.c, self.p = np.frombuffer(count, "<i8"), 10.0 ** np.frombuffer(lp, "<f4").astype(float)[self.ids]
         self.lengths = np.array(lengths, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.taught = np.repeat(~np.array(held, bool), self.lengths).astype(float)
+        self.taught = np.repeat(~np.array(held, bool), self.lengths)
 
     def depths(self, replies: list[list[bytes]], often: list[tuple], least: int, ranges: int, hot: float, deepest: int) -> Depth | None:
         """Takes the replies of the first depths; the next Depth, if there is one."""
         head = np.zeros(len(self.ids), bool)
         head[self.starts] = True
-        ctx = np.full(len(self.ids), -1, np.int64)
+        ctx = np.full(len(self.ids), -1, np.int32)
         ctx[1:] = self.ids[:-1]
         hashes, counts = mix64(self.words), self.c
         for k in range(deepest):
             ctx[head] = -1
             some = np.flatnonzero(ctx >= 0)
             ctx[some[counts[ctx[some]] < least]] = -1
+            del some
             own = Depth(ctx, self.ids, self.words, hashes, counts, ranges, hot)
             if k == len(replies):
                 return own
             self.p = own.step(self.p, replies[k], often[k])
-            pair = np.full(len(self.ids), -1, np.int64)
-            pair[own.at] = own.back
-            ctx[1:], ctx[0] = pair[:-1], -1
+            ctx[:] = -1
+            inside = own.at < len(ctx) - 1
+            ctx[own.at[inside] + 1] = own.back[inside]
             hashes, counts = own.next, own.count
+            del own, inside
         return None
 
 
@@ -229,8 +246,8 @@ def count_range(rows: list[tuple], least: int, cost: float) -> Iterator[tuple]:
 
 
 def score(
-    docs: DataFrame, held_out: "F.Column", staging: Staging | None = None, depth: int = 3, least: int = 2, threshold: float = 1.0, letters: int = 6, spelling: float = 3.0, p_min: float = 5e-5,
-    block_tokens: int = 2_000_000, block_words: int = 400_000, range_tokens: int = 2_000_000, share: float = 4.0, text: str = "text", key: str = "doc_id",
+    docs: DataFrame, held_out: "F.Column", staging: Staging | None = None, depth: int = 2, least: int = 2, threshold: float = 1.0, letters: int = 6, spelling: float = 3.0, p_min: float = 5e-5,
+    block_tokens: int = 1_500_000, block_words: int = 400_000, range_tokens: int = 2_000_000, share: float = 4.0, text: str = "text", key: str = "doc_id",
 ) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -252,7 +269,8 @@ def score(
     spark = docs.sparkSession
     staging = staging or Staging(spark)
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    fields = f"block bigint, keys array<{kind}>, held array<boolean>, lengths array<bigint>, ids binary, hashes binary, word binary, number int, n bigint"
+    fields = f"block bigint, keys array<{kind}>, held array<boolean>, lengths array<bigint>, ids binary, hashes binary, words array<struct<word:binary,n:bigint>>"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
@@ -266,17 +284,14 @@ def score(
             taught = np.repeat(~np.array(held, bool), lengths)
             n = np.bincount(every[taught], minlength=len(w))
             hashes = np.fromiter(map(xxh3_64_intdigest, w), np.uint64, len(w))
-            own = [[block], [keys], [held], [lengths], [every.astype("<u4").tobytes()], [hashes.astype("<u8").tobytes()], [None], [None], [None]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(own, schema)], schema=schema)
-            for at in range(0, len(w), 50_000):
-                m = len(w[at : at + 50_000])
-                none = [pa.nulls(m, f.type) for f in list(schema)[1:6]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), *none, pa.array(w[at : at + m], pa.binary()), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(n[at : at + m])], schema=schema)
+            own = pa.StructArray.from_arrays([pa.array(w, pa.binary()), pa.array(n)], ["word", "n"])
+            row = [[block], [keys], [held], [lengths], [every.astype("<u4").tobytes()], [hashes.astype("<u8").tobytes()]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(row, schema)), pa.ListArray.from_arrays(pa.array([0, len(w)], pa.int32()), own)], schema=schema)
 
         for batch in batches:
             if schema is None:
                 k = batch.schema.field(0).type
-                schema = pa.schema([("block", pa.int64()), ("keys", pa.list_(k)), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("hashes", pa.binary()), ("word", pa.binary()), ("number", pa.int32()), ("n", pa.int64())])
+                schema = pa.schema([("block", pa.int64()), ("keys", pa.list_(k)), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("hashes", pa.binary()), ("words", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))])
             for key_, x, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = (x.as_py() or "").encode().lower().split()
                 words.append(END)
@@ -292,12 +307,13 @@ def score(
             yield from close()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    coded = staging.put(rows.mapInArrow(cut, fields), "coded")
-    counted = staging.put(coded.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
+    coded = staging.put_by(rows.mapInArrow(cut, fields), "coded", "block", parts)  # a row a block
+    vocabularies = coded.select("block", F.posexplode("words").alias("number", "x")).select("block", "number", "x.word", "x.n")
+    counted = staging.put(vocabularies.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     total = counted.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count(F.when(F.col("c").between(a, z), 1)).alias(name) for name, a, z in (("v", 1, 1 << 62), ("once", 1, 1), ("twice", 2, 2)))
     ).first()
-    tokens, blocks = coded.where("ids is not null").agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.count("*")).first()
+    tokens = coded.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     discount = total["once"] / max(1, total["once"] + 2 * total["twice"]) or 0.5
     model = spark.sparkContext.broadcast(_spelling(counted, staging, letters, spelling, p_min))
 
@@ -310,14 +326,14 @@ def score(
     escape = discount * total["v"] / total["n"] if total["n"] else 1.0
     spelt_mass = F.lit(escape) * F.pow(F.lit(10.0), "lp")
     lp = F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / max(1, total["n"]) + spelt_mass)).otherwise(F.col("lp") + F.log10(F.lit(escape)))
-    own = coded.where("word is not null").select("word", "block", "number").join(spelt, "word").select("block", "number", "c", lp.alias("lp"))
+    own = vocabularies.select("word", "block", "number").join(spelt, "word").select("block", "number", "c", lp.cast("float").alias("lp"))
 
     def gather(batches: Iterator) -> Iterator:
         """Rows of a block, in the order of its numbers, become one."""
         block, c, p = None, [], []
 
         def one() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.concatenate(c).astype("<i8").tobytes()], pa.binary()), pa.array([np.concatenate(p).astype("<f8").tobytes()], pa.binary())], names=["block", "count", "lp"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.concatenate(c).astype("<i8").tobytes()], pa.binary()), pa.array([np.concatenate(p).astype("<f4").tobytes()], pa.binary())], names=["block", "count", "lp"])
 
         for batch in batches:
             b = batch.column(0).to_numpy()
@@ -333,18 +349,16 @@ def score(
         if c:
             yield one()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, blocks // 16)
-    scores = own.repartition(buckets, "block").sortWithinPartitions("block", "number").mapInArrow(gather, "block bigint, count binary, lp binary")
-    tables = [staging.put_by(scores, "scores", "block", buckets)]
-    tables.append(staging.put_by(coded.where("ids is not null").select("block", "keys", "held", "lengths", "ids", "hashes"), "texts", "block", buckets))
-    staging.drop("coded", "vocabulary")
+    scores = own.repartition(parts, "block").sortWithinPartitions("block", "number").mapInArrow(gather, "block bigint, count binary, lp binary")
+    staging.collect_garbage()
+    tables = [coded.drop("words"), staging.put_by(scores, "scores", "block", parts)]
+    staging.drop("vocabulary")
     staging.collect_garbage()
     ranges, often = max(parts, -(-tokens // range_tokens)), []
     hot, cost = total["n"] / (share * ranges), threshold * np.log(max(2, total["n"]))
 
     def joined() -> DataFrame:
-        out = tables[1].join(tables[0], "block")
+        out = tables[0].join(tables[1], "block")
         for k, t in enumerate(tables[2:]):
             out = out.join(t.withColumnRenamed("replies", f"r{k}"), "block", "left")
         return out.select("block", "keys", "held", "lengths", "ids", "hashes", "count", "lp", F.array(*[f"r{k}" for k in range(len(tables) - 2)]).cast("array<array<binary>>").alias("replies"))
@@ -393,8 +407,8 @@ def score(
         order = np.argsort(hashes.astype(np.int64).view(np.uint64))
         keep = (n >= least) & (gain - n * np.log(np.maximum(n, 1)) > cost * kinds)
         often.append((hashes.astype(np.int64).view(np.uint64)[order], np.where(keep, kinds, 0)[order]))
-        replies = answered.where("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "reply"))).alias("x")).select("block", F.transform("x", lambda x: x["reply"]).alias("replies"))
-        tables.append(staging.put_by(replies, f"replies_{k}", "block", buckets))
+        replies = answered.where("block is not null").repartition(parts, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "reply"))).alias("x")).select("block", F.transform("x", lambda x: x["reply"]).alias("replies"))
+        tables.append(staging.put_by(replies, f"replies_{k}", "block", parts))
         staging.drop(f"answered_{k}")
         staging.collect_garbage()
 
