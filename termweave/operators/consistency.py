@@ -149,7 +149,9 @@ def variants(occ: DataFrame) -> DataFrame:
 
 def clustered(vs: Column | str, most: float) -> str:
     """SQL: greedy clusters in the array's order; each variant joins the first representative near enough."""
-    near = f"coalesce(levenshtein(r.span, v.span) / nullif(greatest(length(r.span), length(v.span)), 0), 0D) <= {most}D"
+    longer = "greatest(length(r.span), length(v.span))"
+    bound = f"cast(floor({most}D * {longer} + 1e-9D) as int)"  # distances beyond it are given up early
+    near = f"(abs(length(r.span) - length(v.span)) <= {bound} and levenshtein(r.span, v.span, {bound}) >= 0 and coalesce(levenshtein(r.span, v.span, {bound}) / nullif({longer}, 0), 0D) <= {most}D)"
     return f"""aggregate({vs}, cast(array() as array<{VARIANT}>), (acc, v) -> case when exists(acc, r -> {near}) then
         transform(acc, (r, i) -> case when i = array_position(transform(acc, r -> {near}), true) - 1
             then named_struct('count', r.count + v.count, 'first_seg', r.first_seg, 'span', r.span, 'raw', r.raw, 'spans', concat(r.spans, v.spans)) else r end)
