@@ -523,6 +523,26 @@ def test_ann(spark):
     assert search(floats, F.lit(True)).count() == 100
 
 
+def test_codes_filter_and_visits_follow_the_vectors():
+    """The share of codes that is reranked holds the nearest, as a part chosen by chance would not; clustered vectors
+    need few lists."""
+    from termweave.llm.ann import fit, unit, visits_needed
+
+    rng = np.random.default_rng(17)
+    loose = unit(rng.normal(size=(2500, 32)))
+    index = fit(loose, 1, 16)
+    codes = index.codes(loose, np.zeros(len(loose), int))
+    hit = total = 0
+    for q in range(0, len(loose), 50):
+        near = loose[q] @ index.centroids[0] + sum((book @ loose[q].reshape(16, -1)[j])[codes[:, j]] for j, book in enumerate(index.books))
+        best = np.argsort(-np.delete(loose @ loose[q], q))[:5]
+        kept = np.argsort(-np.delete(near, q))[: int(0.1 * len(loose))]
+        hit, total = hit + len(set(best) & set(kept)), total + 5
+    assert hit / total > 0.95
+    tight = unit(np.repeat(rng.normal(size=(50, 32)), 50, axis=0) + 0.1 * rng.normal(size=(2500, 32)))
+    assert visits_needed(fit(tight, 50, 16), tight, 5, 0.98) <= 5 < 20 < visits_needed(fit(loose, 50, 16), loose, 5, 0.98)
+
+
 def test_ann_at_production_parameters(spark):
     """Recall on the embeddings themselves, and what the codes leave to be measured exactly."""
     import pyarrow.parquet as pq
