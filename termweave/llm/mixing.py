@@ -15,24 +15,38 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import WORDS, Staging, mix64
+from termweave.llm.common import GOLDEN, WORDS, Staging, mix64
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: shares to this power. 1 keeps them, 0 makes all equal. A parameter.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 MISSING = "(missing)"
 SPACE = 4096
+#: Texts tried for each first centre; and the whole numbers that cosines are summed in.
+TRIES, UNIT = 8, float(1 << 24)
 #: Rounds of raking, if the sums don't stand still before; of calibration; and how far calibration may move a value's
 #: probabilities from its share of the weights, either way. Parameters.
 ROUNDS, AGAIN, REACH = 500, 30, 4.0
 
 
+class Counts(NamedTuple):
+    """Hashed words of texts, one text after another: places, how often each occurs, bounds of the texts, and a hash of
+    each text's words."""
+
+    at: np.ndarray
+    n: np.ndarray
+    bounds: np.ndarray
+    mark: np.ndarray
+
+
 class Topics:
     """Centres of topics among hashed words; a text's topic is the centre nearest to its words by cosine."""
 
@@ -43,71 +57,209 @@ class Topics:
         at, n = counts
         return int((self.centres[:, at] @ (self.weights[at] * np.log1p(n))).argmax()) if len(at) and len(self.centres) else 0
 
+    def of_all(self, part: Counts) -> np.ndarray:
+        """The same for many texts at once."""
+        out = np.zeros(len(part.bounds) - 1, np.int32)
+        which, at, v, starts, _ = vectors(part, self.weights)
+        if len(which) and len(self.centres):
+            out[which] = cosines(self.centres, at, v, starts).argmax(1)
+        return out
+
 
 def counted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Places of a text's words among the hashed ones, and how often each occurs."""
     return np.unique((mix64(WORDS.of(words)) % np.uint64(SPACE)).astype(np.int32), return_counts=True)
 
 
-def fit_topics(rows: list[tuple[np.ndarray, np.ndarray]], topics: int, rounds: int = 20, seed: int = 3) -> Topics:
-    """Spherical k-means over texts' hashed words, those in fewer texts weighing more. Fewer centres if fewer texts
-    differ."""
-    rows = [r for r in rows if len(r[0])]
-    within = np.bincount(np.concatenate([np.zeros(0, np.int32), *(at for at, _ in rows)]).astype(np.int64), minlength=SPACE)
-    weights = np.log((1 + len(rows)) / (1 + within))
-    rows = list({(at.tobytes(), n.tobytes()): (at, n) for at, n in rows if weights[at].any()}.values())
-    x = np.zeros((len(rows), SPACE), np.float32)
-    for i, (at, n) in enumerate(rows):
+def packed(words: list[str]) -> tuple[bytes, bytes, int]:
+    """The counts of a text as bytes (2 a place, 4 a number), and their hash as a signed number."""
+    from xxhash import xxh3_64_intdigest
+
+    at, n = counted(words)
+    at, n = at.astype("<u2").tobytes(), n.astype("<u4").tobytes()
+    return at, n, int(np.uint64(xxh3_64_intdigest(at + n)).astype(np.int64))
+
+
+def unpacked(at, n, mark) -> Counts:
+    """Counts from Arrow columns of packed()."""
+
+    def flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        bounds = np.frombuffer(column.buffers()[1] or bytes(4), np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        return data.view(kind), (bounds - bounds[0]) // np.dtype(kind).itemsize
+
+    places, bounds = flat(at, "<u2")
+    return Counts(places, flat(n, "<u4")[0], bounds, mark.to_numpy(zero_copy_only=False))
+
+
+def vectors(part: Counts, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts that have words: which they are, their places and values of length 1 (0 if no word has weight), where
+    each begins, and whether it has weight."""
+    sizes = np.diff(part.bounds)
+    which = np.flatnonzero(sizes)
+    starts, at = part.bounds[which], part.at
+    v = weights[at] * np.log1p(part.n)
+    norm = np.sqrt(np.add.reduceat(v * v, starts)) if len(which) else np.zeros(0)
+    return which, at, v / np.repeat(np.where(norm > 0, norm, 1), sizes[which]), starts, norm > 0
+
+
+def cosines(centres: np.ndarray, at: np.ndarray, v: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.stack([np.add.reduceat(c[at] * v, starts) for c in centres], axis=1)
+
+
+def within(part: Counts) -> np.ndarray:
+    """In how many texts each place occurs, and last how many texts have words."""
+    return np.append(np.bincount(part.at, minlength=SPACE), (np.diff(part.bounds) > 0).sum())
+
+
+def spread(part: Counts, weights: np.ndarray, centres: np.ndarray, tried: np.ndarray, turn: int) -> list[tuple[int, list[tuple]]]:
+    """For each of the tried centres (none: for no centre), beside those there are: how far all texts are from their
+    nearest one, and TRIES texts drawn by that, as (rank, at, n): those with the smallest ranks."""
+    which, at, v, starts, some = vectors(part, weights)
+    if not len(which):
+        return [(0, [])] * max(1, len(tried))
+    apart = lambda c: np.maximum(0, 1 - cosines(c, at, v, starts)) ** 2
+    far = np.where(some, apart(centres).min(1) if len(centres) else 1.0, 0.0)
+    with np.errstate(over="ignore"):
+        luck = ((mix64(part.mark[which].view(np.uint64) + GOLDEN * np.uint64(turn + 1)) >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
+    out = []
+    for left in np.minimum(far[:, None], apart(tried)).T if len(tried) else [far]:
+        left = np.rint(left * UNIT)
+        can = np.flatnonzero(left)
+        rank = -np.log(luck[can]) / left[can]
+        best = np.argsort(rank, kind="stable")[:TRIES]
+        own = [(float(rank[i]), part.at[slice(*part.bounds[which[can[i]] :][:2])].tobytes(), part.n[slice(*part.bounds[which[can[i]] :][:2])].tobytes()) for i in best]
+        out.append((int(left.sum()), own))
+    return out
+
+
+def moved(part: Counts, weights: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The sums of the texts nearest to each centre, in whole units, one centre after another."""
+    which, at, v, starts, _ = vectors(part, weights)
+    if not len(which):
+        return np.zeros(len(centres) * SPACE)
+    own = np.repeat(cosines(centres, at, v, starts).argmax(1), np.diff(part.bounds)[which])
+    return np.bincount(own * SPACE + at, np.rint(v * UNIT), len(centres) * SPACE)
+
+
+def centres_of(weights: np.ndarray, topics: int, rounds: int, spreads: Callable, sums: Callable) -> Topics:
+    """Spherical k-means. First centres: of some texts far from those chosen, that which leaves the others least far;
+    fewer if fewer texts differ. Then rounds until the sums stand still. All sums are of whole numbers, so they are
+    the same in whatever order and parts the texts are read."""
+
+    def vector(text: tuple) -> np.ndarray:
+        at, n, out = np.frombuffer(text[1], "<u2"), np.frombuffer(text[2], "<u4"), np.zeros(SPACE)
         v = weights[at] * np.log1p(n)
-        x[i, at] = v / np.sqrt(v @ v)
-    if not len(x):
-        return Topics(np.zeros((0, SPACE)), weights)
-    rng = np.random.default_rng(seed)
-    centres = x[:1]
-    far = np.maximum(0, 1 - (x @ x[0]).astype(float)) ** 2
-    while len(centres) < min(topics, len(x)) and far.sum() > 1e-9:  # of some far ones, that which leaves the others least far
-        tried = rng.choice(len(x), min(8, len(x)), p=far / far.sum())
-        left = np.minimum(far[:, None], np.maximum(0, 1 - x @ x[tried].T) ** 2)
-        best = int(left.sum(0).argmin())
-        centres, far = np.concatenate((centres, x[[tried[best]]])), left[:, best]
-    for _ in range(rounds):
-        own = (x @ centres.T).argmax(1)
-        sums = np.eye(len(centres), dtype=np.float32)[own].T @ x
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
-    return Topics(centres.astype(float), weights)
+        out[at] = v / np.sqrt(v @ v)
+        return out
 
+    centres, found = np.zeros((0, SPACE)), spreads(weights, np.zeros((0, SPACE)), np.zeros((0, SPACE)), 0)[0][1]
+    while found and len(centres) < topics:
+        tried = np.array([vector(x) for x in found])
+        told = spreads(weights, centres, tried, len(centres) + 1)
+        best = min(range(len(tried)), key=lambda i: told[i][0])
+        centres, found = np.concatenate((centres, tried[[best]])), told[best][1]
+    before = None
+    for _ in range(rounds if len(centres) else 0):
+        now = sums(weights, centres).reshape(len(centres), SPACE)
+        if before is not None and (now == before).all():
+            break
+        before, norms = now, np.linalg.norm(now, axis=1, keepdims=True)
+        centres = np.where(norms > 0, now / np.maximum(norms, 1e-12), centres)
+    return Topics(centres, weights)
 
-def learn_topics(docs: DataFrame, topics: int, sample: int, text: str, key: str) -> Topics:
-    """Topics of at most `sample` rows, those with the smallest hash of key and text."""
-    import pyarrow as pa
 
-    hashed = docs.select(F.xxhash64(F.lit(5).cast("long"), F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
-    last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # numbers only
-    if last is None:
-        return fit_topics([], topics)
+def weights_of(within: np.ndarray) -> np.ndarray:
+    """Words in fewer texts weigh more."""
+    return np.log((1 + within[-1]) / (1 + within[:-1]))
 
-    def count(batches: Iterator) -> Iterator:
-        for batch in batches:
-            rows = [counted((x.as_py() or "").lower().split()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes() for at, _ in rows], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in rows], pa.binary())], names=["at", "n"])
 
-    # ties are rows equal in key and text
-    taken = hashed.where(F.col("h") <= last).limit(sample).select("text").mapInArrow(count, "at binary, n binary").toArrow().to_pylist()
-    return fit_topics([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in sorted(taken, key=lambda r: (r["at"], r["n"]))], topics)
+def fit_topics(rows: list[tuple[np.ndarray, np.ndarray]], topics: int, rounds: int = 20) -> Topics:
+    """learn_topics() of counts in memory."""
+    from xxhash import xxh3_64_intdigest
 
+    def joined(texts: list[tuple[bytes, bytes]]) -> Counts:
+        bounds = np.cumsum([0, *(len(at) // 2 for at, _ in texts)])
+        mark = np.array([xxh3_64_intdigest(at + n) for at, n in texts], np.uint64).view(np.int64)
+        return Counts(np.frombuffer(b"".join(at for at, _ in texts), "<u2"), np.frombuffer(b"".join(n for _, n in texts), "<u4"), bounds, mark)
 
-def describe(model: Topics, spark):
-    """A column function: text -> (tokens, topic). Tokens are words; no words: topic 0."""
-    shared = spark.sparkContext.broadcast(model)  # a row of fixed size a topic
+    texts = [(at.astype("<u2").tobytes(), n.astype("<u4").tobytes()) for at, n in rows]
+    part = joined(sorted(set(texts)))
+    return centres_of(weights_of(within(joined(texts))), topics, rounds, lambda *x: spread(part, *x), lambda *x: moved(part, *x))
+
+
+def learn_topics(told: DataFrame, topics: int, staging: Staging, rounds: int = 20) -> Topics:
+    """Topics of all texts, from their packed counts (at, n, mark): words are weighed over all rows, and every different
+    text counts once. A pass reads the counts on the executors; the driver gets sums, a number for each place and
+    centre, and TRIES texts for each centre tried."""
+    sc = staging.spark.sparkContext
+
+    def parts(batches: Iterator) -> Iterator:
+        return (unpacked(*batch.columns) for batch in batches if batch.num_rows)
+
+    def total(counts: DataFrame, step: Callable, size: int, *held) -> np.ndarray:
+        shared = sc.broadcast(held)
+
+        def run(batches: Iterator) -> Iterator:
+            out = np.zeros(size)
+            for part in parts(batches):
+                out += step(part, *shared.value)
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(out[at].astype(np.int64))], names=["place", "part"])
+
+        got = counts.mapInArrow(run, "place bigint, part bigint").groupBy("place").agg(F.sum("part").alias("part")).toArrow()
+        shared.unpersist()
+        out = np.zeros(size)
+        out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        return out
+
+    counts = told.select("at", "n", "mark")
+    weights = weights_of(total(counts, within, SPACE + 1))
+    different = counts.where(F.length("at") > 0).groupBy("mark", F.xxhash64("at", "n").alias("check")).agg(F.first("at").alias("at"), F.first("n").alias("n"))
+    different = staging.put(different.select("at", "n", "mark"), "different")
 
-    @F.pandas_udf("n_tokens bigint, topic int")
+    def spreads(*held) -> list[tuple[int, list[tuple]]]:
+        shared, slots = sc.broadcast(held), max(1, len(held[2]))
+
+        def run(batches: Iterator) -> Iterator:
+            out = [(0, [])] * slots
+            for part in parts(batches):
+                out = [(a + b, sorted(x + y)[:TRIES]) for (a, x), (b, y) in zip(out, spread(part, *shared.value))]
+            rows = [{"slot": i, "far": far, "found": [dict(zip(("rank", "at", "n"), x)) for x in found]} for i, (far, found) in enumerate(out)]
+            yield from pa.Table.from_pylist(rows, pa.schema([("slot", pa.int32()), ("far", pa.int64()), ("found", pa.list_(pa.struct([("rank", pa.float64()), ("at", pa.binary()), ("n", pa.binary())])))])).to_batches()
+
+        found = different.mapInArrow(run, "slot int, far bigint, found array<struct<rank double, at binary, n binary>>")
+        best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, TRIES)  # TRIES a task
+        got = {r["slot"]: r for r in found.groupBy("slot").agg(F.sum("far").alias("far"), best.alias("found")).collect()}
+        shared.unpersist()
+        return [(got[i]["far"], [(x["rank"], bytes(x["at"]), bytes(x["n"])) for x in got[i]["found"]]) if i in got else (0, []) for i in range(slots)]
+
+    model = centres_of(weights, topics, rounds, spreads, lambda weights, centres: total(different, moved, len(centres) * SPACE, weights, centres))
+    staging.drop("different")
+    return model
+
+
+def describe() -> Callable:
+    """A column function: text -> (tokens, packed counts). Tokens are words."""
+
+    @F.pandas_udf("n_tokens bigint, at binary, n binary, mark bigint")
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             words = (t or "").lower().split()
-            out.append((len(words), shared.value.of(counted(words))))
-        return pd.DataFrame(out, columns=["n_tokens", "topic"])
+            out.append((len(words), *packed(words)))
+        return pd.DataFrame(out, columns=["n_tokens", "at", "n", "mark"])
+
+    return run
+
+
+def topic_of(model: Topics, spark: SparkSession) -> Callable:
+    """A column function: packed counts -> topic; no words: topic 0."""
+    shared = spark.sparkContext.broadcast(model)  # a row of fixed size a topic
+
+    @F.arrow_udf("int")
+    def run(at: pa.Array, n: pa.Array, mark: pa.Array) -> pa.Array:
+        return pa.array(shared.value.of_all(unpacked(at, n, mark)))
 
     return run
 
@@ -158,11 +310,11 @@ def draw(key: Column, text: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed).cast("long"), key, text), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def weigh(docs: DataFrame, wanted: dict | None = None, budget: float = 0.7, seed: int = 17, topics: int = 8, sample: int = 4000, most_cells: int = 200_000, staging: Staging | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+def weigh(docs: DataFrame, wanted: dict | None = None, budget: float = 0.7, seed: int = 17, topics: int = 8, most_cells: int = 200_000, staging: Staging | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs' key, source, lang and topic, n_tokens, weight, probability and sampled of every row.
 
     wanted: {"source" | "lang" | "topic": {value: share}}; a dimension left out is tempered. A null source or
-    language is the value "(missing)". Topics are fitted on at most `sample` rows. Texts without words, or null, are
+    language is the value "(missing)". Topics are fitted on all rows. Texts without words, or null, are
     in a cell but have no tokens; a cell without tokens has weight and probability 1. weight: raked, its mean over all
     tokens 1; probability: raked with 1 as its bound to the same targets, in AGAIN rounds and by REACH at most, and scaled
     to the budget's share of all tokens. Rows equal in key and text are drawn alike; others, with equal or null keys
@@ -170,23 +322,24 @@ def weigh(docs: DataFrame, wanted: dict | None = None, budget: float = 0.7, seed
     most_cells; beyond, by the executors, with the same result.
     """
     staging = staging or Staging(docs.sparkSession)
-    told = _weighed(docs, [F.col(key).alias("key")], wanted, budget, seed, topics, sample, most_cells, staging, text, key)
+    told = _weighed(docs, [F.col(key).alias("key")], wanted, budget, seed, topics, most_cells, staging, text, key)
     return told.select(F.col("key").alias(key), *DIMENSIONS, "n_tokens", "weight", "probability", "sampled")
 
 
-def drawn(docs: DataFrame, wanted: dict | None = None, budget: float = 0.7, seed: int = 17, topics: int = 8, sample: int = 4000, most_cells: int = 200_000, staging: Staging | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+def drawn(docs: DataFrame, wanted: dict | None = None, budget: float = 0.7, seed: int = 17, topics: int = 8, most_cells: int = 200_000, staging: Staging | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs, whole, that weigh() samples: rows and not keys, so nothing is joined by a key."""
     staging = staging or Staging(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return _weighed(docs, [row], wanted, budget, seed, topics, sample, most_cells, staging, text, key).where("sampled").select("row.*")
+    return _weighed(docs, [row], wanted, budget, seed, topics, most_cells, staging, text, key).where("sampled").select("row.*")
 
 
-def _weighed(docs: DataFrame, carried: list[Column], wanted: dict | None, budget: float, seed: int, topics: int, sample: int, most_cells: int, staging: Staging, text: str, key: str) -> DataFrame:
+def _weighed(docs: DataFrame, carried: list[Column], wanted: dict | None, budget: float, seed: int, topics: int, most_cells: int, staging: Staging, text: str, key: str) -> DataFrame:
     spark = docs.sparkSession
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c)
-    model = learn_topics(docs, topics, sample, text, key)
-    told = docs.select(*carried, value("source"), value("lang"), draw(F.col(key), F.col(text), seed).alias("luck"), describe(model, spark)(F.col(text)).alias("x"))
-    told = staging.put(told.select("*", "x.topic", "x.n_tokens").drop("x"), "told")
+    told = docs.select(*carried, value("source"), value("lang"), draw(F.col(key), F.col(text), seed).alias("luck"), describe()(F.col(text)).alias("x"))
+    told = staging.put(told.select("*", "x.*").drop("x"), "told")
+    model = learn_topics(told, topics, staging)
+    told = told.withColumn("topic", topic_of(model, spark)("at", "n", "mark")).drop("at", "n", "mark")
     cells = told.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     if cells.count() <= most_cells:
         table = _on_driver(cells.toPandas().sort_values(list(DIMENSIONS)).reset_index(drop=True), wanted, budget)
@@ -230,8 +383,6 @@ def _on_driver(cells: pd.DataFrame, wanted: dict | None, budget: float) -> pd.Da
 
 def _on_executors(cells: DataFrame, wanted: dict | None, budget: float, staging: Staging) -> DataFrame:
     """The same where the cells are too many for the driver: a step is one sum over the cells."""
-    import pyarrow as pa
-
     spark, coded, mass = staging.spark, cells, []
     for d in DIMENSIONS:
         values = cells.groupBy(d).agg(F.sum("tokens").alias("tokens")).toPandas().sort_values(d)

@@ -654,6 +654,28 @@ def test_topics():
     assert mixing.fit_topics([], 3).of(rows[0]) == 0 and mixing.fit_topics(rows[:1] * 5, 3).of(rows[0]) == 0 and model.of(mixing.counted([])) == 0
 
 
+def test_topics_of_all_rows(spark):
+    """Topics are fitted on every row: beyond 4,000 too, in whatever parts, as in memory."""
+    from termweave.llm import mixing
+    from termweave.llm.common import Staging
+
+    rng = np.random.default_rng(10)
+    words = [[f"{c}{i}" for i in range(60)] for c in "abc"]
+    texts = [" ".join(rng.choice(words[i % 2 if i % 50 else 2], rng.integers(1, 12))) for i in range(4500)] + ["", None, "a1 a2", "a1 a2"]
+    frame = spark.createDataFrame([(i, t, "s", "l") for i, t in enumerate(texts)], "doc_id bigint, text string, source string, lang string")
+    told = lambda parts: frame.repartition(parts).select(mixing.describe()(F.col("text")).alias("x")).select("x.*")
+    models = [mixing.learn_topics(told(n), 3, Staging(spark)) for n in (2, 5)]
+    models.append(mixing.fit_topics([mixing.counted((t or "").split()) for t in texts], 3))
+    for model in models:  # words' weights count all rows
+        assert (model.weights == models[0].weights).all() and (model.centres == models[0].centres).all()
+    one = int(mixing.counted(["a1"])[0][0])
+    hold = sum(one in mixing.counted((t or "").split())[0] for t in texts)
+    assert abs(models[0].weights[one] - math.log((1 + sum(bool(t) for t in texts)) / (1 + hold))) < 1e-12
+    got = {r["doc_id"]: r["topic"] for r in mixing.weigh(frame, topics=3).collect()}
+    assert all(got[i] == models[0].of(mixing.counted((t or "").split())) for i, t in enumerate(texts))
+    assert len({got[i] for i in range(4500) if i % 50 == 0}) == 1 and len(set(got.values())) == 3
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
