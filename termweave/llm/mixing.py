@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import GOLDEN, WORDS, Staging, mix64
+from termweave.llm.common import GOLDEN, MIX1, MIX2, WORDS, Staging, mix64
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: shares to this power. 1 keeps them, 0 makes all equal. A parameter.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 MISSING = "(missing)"
 SPACE = 4096
-#: Texts tried for each first centre; and the whole numbers that cosines are summed in.
-TRIES, UNIT = 8, float(1 << 24)
+#: Texts tried for each first centre; the whole numbers that values are summed in; and texts in a row of a pass.
+TRIES, UNIT, BLOCK = 8, float(1 << 20), 16
 #: Rounds of raking, if the sums don't stand still before; of calibration; and how far calibration may move a value's
 #: probabilities from its share of the weights, either way. Parameters.
 ROUNDS, AGAIN, REACH = 500, 30, 4.0
@@ -66,9 +66,27 @@ class Topics:
         return out
 
 
+class Places(dict):
+    """word -> its place among the hashed words, remembered up to a number of words."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        x = xxh3_64_intdigest(word)  # mix64 of one number, without arrays
+        x = (x ^ x >> 30) * int(MIX1) & (1 << 64) - 1
+        x = (x ^ x >> 27) * int(MIX2) & (1 << 64) - 1
+        place = (x ^ x >> 31) % SPACE
+        if len(self) < WORDS.LIMIT:
+            self[word] = place
+        return place
+
+
+PLACES = Places()
+
+
 def counted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Places of a text's words among the hashed ones, and how often each occurs."""
-    return np.unique((mix64(WORDS.of(words)) % np.uint64(SPACE)).astype(np.int32), return_counts=True)
+    return np.unique(np.fromiter(map(PLACES.__getitem__, words), np.int32, len(words)), return_counts=True)
 
 
 def packed(words: list[str]) -> tuple[bytes, bytes, int]:
@@ -80,14 +98,15 @@ def packed(words: list[str]) -> tuple[bytes, bytes, int]:
     return at, n, int(np.uint64(xxh3_64_intdigest(at + n)).astype(np.int64))
 
 
-def unpacked(at, n, mark) -> Counts:
-    """Counts from Arrow columns of packed()."""
+def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of bytes, one row after another, and the rows' bounds."""
+    bounds = np.frombuffer(column.buffers()[1] or bytes(4), np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    return np.frombuffer(data, kind), (bounds - bounds[0]) // np.dtype(kind).itemsize
 
-    def flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
-        bounds = np.frombuffer(column.buffers()[1] or bytes(4), np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-        return data.view(kind), (bounds - bounds[0]) // np.dtype(kind).itemsize
 
+def unpacked(at: pa.Array, n: pa.Array, mark: pa.Array) -> Counts:
+    """Counts from columns of packed()."""
     places, bounds = flat(at, "<u2")
     return Counts(places, flat(n, "<u4")[0], bounds, mark.to_numpy(zero_copy_only=False))
 
@@ -104,42 +123,65 @@ def vectors(part: Counts, weights: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def cosines(centres: np.ndarray, at: np.ndarray, v: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.stack([np.add.reduceat(c[at] * v, starts) for c in centres], axis=1)
+    return np.stack([np.add.reduceat(c.take(at, mode="clip") * v, starts) for c in centres], axis=1)
+
+
+class Block(NamedTuple):
+    """Texts that have weight, one after another: places, values of length UNIT in whole numbers, numbers of places, and
+    a hash of each text's words."""
+
+    at: np.ndarray
+    v: np.ndarray
+    sizes: np.ndarray
+    mark: np.ndarray
 
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes, dtype=np.int64) - self.sizes
 
-def within(part: Counts) -> np.ndarray:
+
+def block(part: Counts, weights: np.ndarray) -> Block:
+    which, at, v, _, some = vectors(part, weights)
+    sizes = np.diff(part.bounds)[which]
+    held = np.repeat(some, sizes)
+    return Block(at[held], np.rint(v[held] * UNIT).astype("<f4"), sizes[some].astype("<i4"), part.mark[which[some]])
+
+
+def within(at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """In how many texts each place occurs, and last how many texts have words."""
-    return np.append(np.bincount(part.at, minlength=SPACE), (np.diff(part.bounds) > 0).sum())
+    return np.append(np.bincount(at, minlength=SPACE), (np.diff(bounds) > 0).sum())
 
 
-def spread(part: Counts, weights: np.ndarray, centres: np.ndarray, tried: np.ndarray, turn: int) -> list[tuple[int, list[tuple]]]:
+def spread(part: Block, centres: np.ndarray, tried: np.ndarray, turn: int) -> list[tuple[int, list[tuple]]]:
     """For each of the tried centres (none: for no centre), beside those there are: how far all texts are from their
-    nearest one, and TRIES texts drawn by that, as (rank, at, n): those with the smallest ranks."""
-    which, at, v, starts, some = vectors(part, weights)
-    if not len(which):
+    nearest one, and TRIES texts drawn by that, as (rank, at, v): those with the smallest ranks."""
+    if not len(part.sizes):
         return [(0, [])] * max(1, len(tried))
-    apart = lambda c: np.maximum(0, 1 - cosines(c, at, v, starts)) ** 2
-    far = np.where(some, apart(centres).min(1) if len(centres) else 1.0, 0.0)
+    starts, at = part.starts, part.at.astype(np.intp)
+    apart = lambda c: np.maximum(0, 1 - cosines((c / UNIT).astype(np.float32), at, part.v, starts)).astype(float) ** 2
+    far = apart(centres).min(1) if len(centres) else np.ones(len(starts))
     with np.errstate(over="ignore"):
-        luck = ((mix64(part.mark[which].view(np.uint64) + GOLDEN * np.uint64(turn + 1)) >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
+        luck = ((mix64(part.mark.view(np.uint64) + GOLDEN * np.uint64(turn + 1)) >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
     out = []
     for left in np.minimum(far[:, None], apart(tried)).T if len(tried) else [far]:
         left = np.rint(left * UNIT)
         can = np.flatnonzero(left)
         rank = -np.log(luck[can]) / left[can]
-        best = np.argsort(rank, kind="stable")[:TRIES]
-        own = [(float(rank[i]), part.at[slice(*part.bounds[which[can[i]] :][:2])].tobytes(), part.n[slice(*part.bounds[which[can[i]] :][:2])].tobytes()) for i in best]
+        own = []
+        for i in np.argsort(rank, kind="stable")[:TRIES]:
+            a, z = starts[can[i]], starts[can[i]] + part.sizes[can[i]]
+            own.append((float(rank[i]), part.at[a:z].tobytes(), part.v[a:z].tobytes()))
         out.append((int(left.sum()), own))
     return out
 
 
-def moved(part: Counts, weights: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The sums of the texts nearest to each centre, in whole units, one centre after another."""
-    which, at, v, starts, _ = vectors(part, weights)
-    if not len(which):
+def moved(part: Block, centres: np.ndarray) -> np.ndarray:
+    """The sums of the texts nearest to each centre, in whole numbers, one centre after another."""
+    if not len(part.sizes):
         return np.zeros(len(centres) * SPACE)
-    own = np.repeat(cosines(centres, at, v, starts).argmax(1), np.diff(part.bounds)[which])
-    return np.bincount(own * SPACE + at, np.rint(v * UNIT), len(centres) * SPACE)
+    at = part.at.astype(np.intp)
+    own = cosines(centres.astype(np.float32), at, part.v, part.starts).argmax(1)
+    return np.bincount(np.repeat(own * SPACE, part.sizes) + at, part.v, len(centres) * SPACE)
 
 
 def centres_of(weights: np.ndarray, topics: int, rounds: int, spreads: Callable, sums: Callable) -> Topics:
@@ -148,20 +190,19 @@ def centres_of(weights: np.ndarray, topics: int, rounds: int, spreads: Callable,
     the same in whatever order and parts the texts are read."""
 
     def vector(text: tuple) -> np.ndarray:
-        at, n, out = np.frombuffer(text[1], "<u2"), np.frombuffer(text[2], "<u4"), np.zeros(SPACE)
-        v = weights[at] * np.log1p(n)
-        out[at] = v / np.sqrt(v @ v)
-        return out
+        out = np.zeros(SPACE)
+        out[np.frombuffer(text[1], "<u2")] = np.frombuffer(text[2], "<f4")
+        return out / np.linalg.norm(out)
 
-    centres, found = np.zeros((0, SPACE)), spreads(weights, np.zeros((0, SPACE)), np.zeros((0, SPACE)), 0)[0][1]
+    centres, found = np.zeros((0, SPACE)), spreads(np.zeros((0, SPACE)), np.zeros((0, SPACE)), 0)[0][1]
     while found and len(centres) < topics:
         tried = np.array([vector(x) for x in found])
-        told = spreads(weights, centres, tried, len(centres) + 1)
+        told = spreads(centres, tried, len(centres) + 1)
         best = min(range(len(tried)), key=lambda i: told[i][0])
         centres, found = np.concatenate((centres, tried[[best]])), told[best][1]
     before = None
     for _ in range(rounds if len(centres) else 0):
-        now = sums(weights, centres).reshape(len(centres), SPACE)
+        now = sums(centres).reshape(len(centres), SPACE)
         if before is not None and (now == before).all():
             break
         before, norms = now, np.linalg.norm(now, axis=1, keepdims=True)
@@ -184,58 +225,67 @@ def fit_topics(rows: list[tuple[np.ndarray, np.ndarray]], topics: int, rounds: i
         return Counts(np.frombuffer(b"".join(at for at, _ in texts), "<u2"), np.frombuffer(b"".join(n for _, n in texts), "<u4"), bounds, mark)
 
     texts = [(at.astype("<u2").tobytes(), n.astype("<u4").tobytes()) for at, n in rows]
-    part = joined(sorted(set(texts)))
-    return centres_of(weights_of(within(joined(texts))), topics, rounds, lambda *x: spread(part, *x), lambda *x: moved(part, *x))
+    weights = weights_of(within(*joined(texts)[::2]))
+    part = block(joined(sorted(set(texts))), weights)
+    return centres_of(weights, topics, rounds, lambda *x: spread(part, *x), lambda *x: moved(part, *x))
 
 
 def learn_topics(told: DataFrame, topics: int, staging: Staging, rounds: int = 20) -> Topics:
     """Topics of all texts, from their packed counts (at, n, mark): words are weighed over all rows, and every different
-    text counts once. A pass reads the counts on the executors; the driver gets sums, a number for each place and
-    centre, and TRIES texts for each centre tried."""
+    text counts once. A pass reads the texts' values on the executors, BLOCK of them a row; the driver gets sums, a
+    number for each place and centre, and TRIES texts for each centre tried."""
     sc = staging.spark.sparkContext
+    kinds = ("<u2", "<f4", "<i4", "<i8")
 
-    def parts(batches: Iterator) -> Iterator:
-        return (unpacked(*batch.columns) for batch in batches if batch.num_rows)
-
-    def total(counts: DataFrame, step: Callable, size: int, *held) -> np.ndarray:
+    def total(rows: DataFrame, read: Callable, step: Callable, size: int, *held) -> np.ndarray:
         shared = sc.broadcast(held)
 
         def run(batches: Iterator) -> Iterator:
             out = np.zeros(size)
-            for part in parts(batches):
-                out += step(part, *shared.value)
+            for batch in batches:
+                if batch.num_rows:
+                    out += step(*read(batch), *shared.value)
             at = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(out[at].astype(np.int64))], names=["place", "part"])
 
-        got = counts.mapInArrow(run, "place bigint, part bigint").groupBy("place").agg(F.sum("part").alias("part")).toArrow()
+        got = rows.mapInArrow(run, "place bigint, part bigint").groupBy("place").agg(F.sum("part").alias("part")).toArrow()
         shared.unpersist()
         out = np.zeros(size)
         out[got.column(0).to_numpy()] = got.column(1).to_numpy()
         return out
 
-    counts = told.select("at", "n", "mark")
-    weights = weights_of(total(counts, within, SPACE + 1))
-    different = counts.where(F.length("at") > 0).groupBy("mark", F.xxhash64("at", "n").alias("check")).agg(F.first("at").alias("at"), F.first("n").alias("n"))
-    different = staging.put(different.select("at", "n", "mark"), "different")
+    def blocked(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for low in range(0, batch.num_rows, BLOCK):
+                part = block(unpacked(*batch.slice(low, BLOCK).columns), weights)
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(part, kinds)], names=["at", "v", "sizes", "mark"])
+
+    def block_of(batch: pa.RecordBatch) -> tuple[Block]:
+        return (Block(*(flat(c, k)[0] for c, k in zip(batch.columns, kinds))),)
+
+    weights = weights_of(total(told.select("at"), lambda batch: flat(batch.column(0), "<u2"), within, SPACE + 1))
+    different = told.where(F.length("at") > 0).groupBy("mark", F.xxhash64("at", "n").alias("check")).agg(F.first("at").alias("at"), F.first("n").alias("n"))
+    blocks = staging.put(different.select("at", "n", "mark").mapInArrow(blocked, "at binary, v binary, sizes binary, mark binary"), "blocks")
 
     def spreads(*held) -> list[tuple[int, list[tuple]]]:
-        shared, slots = sc.broadcast(held), max(1, len(held[2]))
+        shared, slots = sc.broadcast(held), max(1, len(held[1]))
 
         def run(batches: Iterator) -> Iterator:
             out = [(0, [])] * slots
-            for part in parts(batches):
-                out = [(a + b, sorted(x + y)[:TRIES]) for (a, x), (b, y) in zip(out, spread(part, *shared.value))]
-            rows = [{"slot": i, "far": far, "found": [dict(zip(("rank", "at", "n"), x)) for x in found]} for i, (far, found) in enumerate(out)]
-            yield from pa.Table.from_pylist(rows, pa.schema([("slot", pa.int32()), ("far", pa.int64()), ("found", pa.list_(pa.struct([("rank", pa.float64()), ("at", pa.binary()), ("n", pa.binary())])))])).to_batches()
+            for batch in batches:
+                if batch.num_rows:
+                    out = [(a + b, sorted(x + y)[:TRIES]) for (a, x), (b, y) in zip(out, spread(*block_of(batch), *shared.value))]
+            rows = [{"slot": i, "far": far, "found": [dict(zip(("rank", "at", "v"), x)) for x in found]} for i, (far, found) in enumerate(out)]
+            yield from pa.Table.from_pylist(rows, pa.schema([("slot", pa.int32()), ("far", pa.int64()), ("found", pa.list_(pa.struct([("rank", pa.float64()), ("at", pa.binary()), ("v", pa.binary())])))])).to_batches()
 
-        found = different.mapInArrow(run, "slot int, far bigint, found array<struct<rank double, at binary, n binary>>")
+        found = blocks.mapInArrow(run, "slot int, far bigint, found array<struct<rank double, at binary, v binary>>")
         best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, TRIES)  # TRIES a task
         got = {r["slot"]: r for r in found.groupBy("slot").agg(F.sum("far").alias("far"), best.alias("found")).collect()}
         shared.unpersist()
-        return [(got[i]["far"], [(x["rank"], bytes(x["at"]), bytes(x["n"])) for x in got[i]["found"]]) if i in got else (0, []) for i in range(slots)]
+        return [(got[i]["far"], [(x["rank"], bytes(x["at"]), bytes(x["v"])) for x in got[i]["found"]]) if i in got else (0, []) for i in range(slots)]
 
-    model = centres_of(weights, topics, rounds, spreads, lambda weights, centres: total(different, moved, len(centres) * SPACE, weights, centres))
-    staging.drop("different")
+    model = centres_of(weights, topics, rounds, spreads, lambda centres: total(blocks, block_of, moved, len(centres) * SPACE, centres))
+    staging.drop("blocks")
     return model
 
 
