@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from termweave.llm.common import Staging
 
 #: What Python splits at though it isn't white space to the tokenizers.
-ODD = "[\x1c-\x1f]"
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Letters that are one word together, whatever stands beside them, if the tokenizer says so.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "ªµº")
 
 
 class WordIds(dict):
@@ -47,14 +49,31 @@ class WordIds(dict):
         # words can be encoded one by one if white space is dropped between them
         with open(path, encoding="utf-8") as f:
             self.by_word = json.load(f)["model"].get("end_of_word_suffix") == "</w>"
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([ODD, *map(re.escape, special)])).search
+        self.odd = (*ODD, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
+        # words of such letters go to the model itself, spelt as normalizer and pre-tokenizer spell each letter
+        spelt = [self.spelt(c) for c in LETTERS]
+        self.spelling = {ord(c): x[0] for c, x in zip(LETTERS, spelt) if len(x) == 1}
+        sure = self.by_word and len(self.spelling) == len(LETTERS) and self.spelt(LETTERS) == ["".join(self.spelling.values())]
+        self.lettered = re.compile(f"[{LETTERS}]+" if sure else r"(?!)").fullmatch
+
+    def spelt(self, text: str) -> list[str]:
+        """The pieces that the model gets."""
+        own = self.tokenizer
+        text = own.normalizer.normalize_str(text) if own.normalizer else text
+        return [piece for piece, _ in own.pre_tokenizer.pre_tokenize_str(text)] if own.pre_tokenizer else [text]
+
+    def whole(self, text: str) -> bool:
+        """Whether a text can't be encoded word by word."""
+        return any(x in text for x in self.odd)
 
     def encode(self, text: str) -> bytes:
         return array(self.letter, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        if self.lettered(word):
+            ids = array(self.letter, [t.id for t in self.tokenizer.model.tokenize(word.translate(self.spelling))]).tobytes()
+        else:
+            ids = self.encode(word)
         if len(self) >= self.LIMIT:
             self.clear()
         if len(word) <= 100:

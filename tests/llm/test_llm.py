@@ -654,6 +654,24 @@ def test_topics():
     assert mixing.fit_topics([], 3).of(rows[0]) == 0 and mixing.fit_topics(rows[:1] * 5, 3).of(rows[0]) == 0 and model.of(mixing.counted([])) == 0
 
 
+def test_words_are_spelt_as_by_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from termweave.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, lib = packing.WordIds(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(list(packing.LETTERS), rng.integers(1, 30))) for _ in range(2000)] + [*packing.LETTERS, "ªb", "µ", "don't", "İs", "e\u0301a", "a\u0301", "ſt", "x,y", "3a", "A" * 120, "日本"]
+    calls, encode = [], own.encode
+    monkeypatch.setattr(own, "encode", lambda text: calls.append(text) or encode(text))
+    for w in words:
+        assert np.frombuffer(own[w], own.kind).tolist() == lib.encode(w, add_special_tokens=False).ids, w
+    assert len(calls) < 20  # the others went to the model itself
+    for t in (" ".join(words), "a\x1cb", "a<|endoftext|>b", "é\u0301 x"):
+        assert own.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 def test_topics_of_all_rows(spark):
     """Topics are fitted on every row: beyond 4,000 too, in whatever parts, as in memory."""
     from termweave.llm import mixing
