@@ -114,7 +114,8 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
     by_doc = kept.join(often.hint("merge"), "hash").groupBy("id", "own").agg(F.collect_set("hash").alias("keys"))
     wanted = rows.join(by_doc.hint("merge"), ["id", "own"]).select("id", "own", "text", "keys")
     suffixes = staging.put(wanted.mapInArrow(suffix, "hash bigint, check bigint, id bigint, spot bigint"), "suffixes")
-    staging.drop("anchors")
+    staging.drop("anchors", "often")
+    staging.collect_garbage()  # the shuffled texts go
 
     def compare(batches: Iterator) -> Iterator:
         """Neighbours: a suffix whose first words are those of the one before it repeats the first of their run."""
@@ -150,8 +151,9 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
             open_run = (cols[0] == opening[0]) & (cols[1] == opening[1])
             spare = ~again & (~start | open_run)
             for kind, which in ((0, spare & ~open_run), (3, spare & open_run)):
-                if which.any():
-                    yield record(kind, [c[which] for c in cols], (own_id[which], own_at[which]), int(which.sum()))
+                if n := int(which.sum()):  # words and the owner's place are told for a range's ends only
+                    none = np.zeros(n, np.int64)
+                    yield record(kind, [none, none, *(c[which] for c in cols[2:])], (own_id[which], none), n)
             last, head = tuple(c[-1] for c in cols), (own_id[-1], own_at[-1])
         if last is not None:
             yield record(2, [np.array([x]) for x in last], (np.array([head[0]]), np.array([head[1]])), 1)
@@ -161,6 +163,7 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 12, staging: Staging | No
     ranged = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     compared = staging.put(ranged.mapInArrow(compare, "kind int, part bigint, hash bigint, check bigint, id bigint, spot bigint, own_id bigint, own_spot bigint"), "compared")
     staging.drop("suffixes")
+    staging.collect_garbage()
     ends = {}
     for r in compared.where("kind in (1, 2)").collect():  # two rows a range
         ends.setdefault(r["part"], {})[r["kind"]] = r

@@ -654,6 +654,32 @@ def test_topics():
     assert mixing.fit_topics([], 3).of(rows[0]) == 0 and mixing.fit_topics(rows[:1] * 5, 3).of(rows[0]) == 0 and model.of(mixing.counted([])) == 0
 
 
+def test_paragraphs_have_one_plan(docs, monkeypatch):
+    """Small sides are not broadcast, so that shuffles grow in proportion."""
+    from termweave.llm.common import Staging
+    from termweave.llm.paragraphs import duplicates
+
+    plans, put = {}, Staging.put
+    monkeypatch.setattr(Staging, "put", lambda self, df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or put(self, df, name))
+    plans["out"] = duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    for name in ("candidates_0", "members", "named", "line_heads", "window_heads", "out"):
+        assert "Broadcast" not in plans[name], name
+
+
+def test_compared_suffixes_are_slim(docs, monkeypatch):
+    """Rows of repeats hold no hashes of words, and what is staged is dropped and swept as early as can be."""
+    from termweave.llm.common import Staging
+    from termweave.llm.suffix_dedup import repeats
+
+    tables, calls, put = {}, [], Staging.put
+    monkeypatch.setattr(Staging, "put", lambda self, df, name: calls.append(name) or tables.setdefault(name, put(self, df, name)))
+    monkeypatch.setattr(Staging, "collect_garbage", lambda self: calls.append("swept"))
+    repeats(docs)
+    assert calls == ["anchors", "often", "suffixes", "swept", "compared", "swept"]
+    told = tables["compared"].where("kind in (0, 3)")
+    assert told.count() and not told.where("hash <> 0 or `check` <> 0 or own_spot <> 0").count()
+
+
 def test_words_are_spelt_as_by_the_library(monkeypatch):
     from tokenizers import Tokenizer
 
