@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -97,6 +98,7 @@ class Staging:
         """Shuffle files go when the driver has collected the frames that made them; between large steps that should
         not wait until its memory is full."""
         gc.collect()
+        time.sleep(1)  # listeners hold the last plan until they have heard of its end
         self.spark.sparkContext._jvm.System.gc()
 
 

@@ -54,6 +54,7 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
     Every line with words is a unit (least_words: at least so many); one of fewer than k words is one shingle. Null and
     empty texts have no units; very long ones are whole; rows with a null key take no part; rows that repeat a key are
     all units of that key, equal units at one place counting once. Other columns, whatever their names, are left out.
+    The plan is the same at every size: no side that grows with the input is broadcast because it is still small.
     """
     import pyarrow as pa
 
@@ -125,13 +126,15 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
     distinct = staging.put(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "distinct")
     nodes = distinct.select("id", F.explode("bands").alias("band"))
     shared = nodes.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low")
-    edges = nodes.join(staging.put(shared, "shared"), "band").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    edges = nodes.join(staging.put(shared, "shared").hint("merge"), "band").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     groups = components(edges, staging, "candidates").select(F.col("node").alias("id"), F.col("root").alias("grp"))
-    members = distinct.join(groups, "id").select("id", "grp", "n", F.col("hash").alias("mark"), F.col("own.chars").cast("long").alias("chars"), F.col("own.id").alias("doc"), F.col("own.line").alias("line"))
+    members = distinct.join(groups.hint("merge"), "id").select("id", "grp", "n", F.col("hash").alias("mark"), F.col("own.chars").cast("long").alias("chars"), F.col("own.id").alias("doc"), F.col("own.line").alias("line"))
     members = staging.put(members, "members")
-    found = members.select("id", "doc", "line").join(texts.withColumnRenamed("id", "doc"), "doc")
+    staging.drop("shared")
+    staging.collect_garbage()
+    found = members.select("id", "doc", "line").hint("merge").join(texts.withColumnRenamed("id", "doc"), "doc")
     found = found.select("id", F.get(F.split("text", "\n", -1), F.col("line")).alias("text"))
-    dealt = cells(members.drop("doc", "line"), staging).join(found, "id")
+    dealt = cells(members.drop("doc", "line"), staging).hint("merge").join(found, "id")
 
     def sets_of(text, own):
         h = np.unique(window_hashes(WORDS.of((text or "").lower().split()), k))
@@ -141,20 +144,30 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, least_words:
         return common >= threshold * (a + b - common) - 1e-6
 
     verified = staging.put(verify(dealt, sets_of, similar).where("other is not null"), "verified")
+    staging.collect_garbage()
     classes = components(verified.select(F.col("id").alias("a"), F.col("other").alias("b")), staging, "classes").withColumnRenamed("node", "id")
-    named = distinct.select("id", "hash", "check").join(classes, "id", "left").select("hash", "check", F.coalesce("root", "id").alias("class_id"))
-    in_class = lines.select("id", "start", "end", "hash", "check").distinct().join(staging.put(named, "named"), ["hash", "check"]).select("class_id", F.lit(0).cast("long").alias("check"), "id", "start", "end")
+    named = distinct.select("id", "hash", "check").join(classes.hint("merge"), "id", "left").select("hash", "check", F.coalesce("root", "id").alias("class_id"))
+    named = staging.put(named, "named")
+    staging.drop("distinct", "members", "verified")
+    staging.collect_garbage()
+    # written, as a join and the first of each class read them; what they were made of goes before
+    in_class = lines.select("id", "start", "end", "hash", "check").distinct().join(named.hint("merge"), ["hash", "check"]).select("class_id", F.lit(0).cast("long").alias("check"), "id", "start", "end")
+    in_class = staging.put(in_class, "in_class")
     # classes of lines are numbers from 0, of windows negative ones
     windows = units.where("line is null").select(F.col("hash").bitwiseOR(F.lit(-(1 << 63))).alias("class_id"), "check", "id", "start", "end").distinct()
+    windows = staging.put(windows, "windows")
+    staging.drop("units", "named")
+    staging.collect_garbage()
 
     def judged(rows: DataFrame, name: str) -> DataFrame:
         heads = rows.groupBy("class_id", "check").agg(F.min(F.struct("id", "start")).alias("own"), F.count("*").alias("n")).where("n > 1").drop("n")
-        return rows.join(staging.put(heads, name), ["class_id", "check"]).select("id", "start", "end", "class_id", ((F.col("id") != F.col("own.id")) | (F.col("start") != F.col("own.start"))).alias("removed"))
+        return rows.join(staging.put(heads, name).hint("merge"), ["class_id", "check"]).select("id", "start", "end", "class_id", ((F.col("id") != F.col("own.id")) | (F.col("start") != F.col("own.start"))).alias("removed"))
 
-    spare = judged(windows, "window_heads")
+    spare, repeated = judged(windows, "window_heads"), judged(in_class, "line_heads")
+    staging.collect_garbage()
     by_start = Window.partitionBy("id", "removed").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     islands = spare.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("id", "removed", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("class_id").alias("class_id"))
-    out = judged(in_class, "line_heads").unionByName(merged.select("id", "start", "end", "class_id", "removed"))
+    out = repeated.unionByName(merged.select("id", "start", "end", "class_id", "removed"))
     return out.select(F.col("id").alias(key), "start", "end", "class_id", "removed")

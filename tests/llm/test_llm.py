@@ -662,7 +662,7 @@ def test_paragraphs_have_one_plan(docs, monkeypatch):
     plans, put = {}, Staging.put
     monkeypatch.setattr(Staging, "put", lambda self, df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or put(self, df, name))
     plans["out"] = duplicates(docs)._jdf.queryExecution().executedPlan().toString()
-    for name in ("candidates_0", "members", "named", "line_heads", "window_heads", "out"):
+    for name in ("candidates_0", "members", "named", "in_class", "windows", "line_heads", "window_heads", "out"):
         assert "Broadcast" not in plans[name], name
 
 
