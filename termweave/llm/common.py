@@ -98,6 +98,7 @@ class Staging:
         """Shuffle files go when the driver has collected the frames that made them; between large steps that should
         not wait until its memory is full."""
         gc.collect()
+        self.spark.range(1).count()  # the scheduler holds the last job until another one ends
         time.sleep(1)  # listeners hold the last plan until they have heard of its end
         self.spark.sparkContext._jvm.System.gc()
 
