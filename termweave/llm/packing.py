@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termweave.llm.common import Staging
+from termweave.llm.common import WORDS, Staging
 
 #: What Python splits at though it isn't white space to the tokenizers.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -32,7 +32,8 @@ LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian bytes, by the tokenizer itself; remembered up to a bound."""
+    """word -> its ids as little-endian bytes, by the tokenizer itself; remembered up to a bound, and between tasks up to
+    a smaller one: workers wait, with all they hold, while others work."""
 
     LIMIT = 1_000_000
 
@@ -56,6 +57,10 @@ class WordIds(dict):
         sure = self.by_word and len(self.spelling) == len(LETTERS) and self.spelt(LETTERS) == ["".join(self.spelling.values())]
         self.lettered = re.compile(f"[{LETTERS}]+" if sure else r"(?!)").fullmatch
 
+    def rest(self) -> None:
+        if len(self) > WORDS.LIMIT:
+            self.clear()
+
     def spelt(self, text: str) -> list[str]:
         """The pieces that the model gets."""
         own = self.tokenizer
@@ -228,6 +233,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, text: st
                     row, full = row + 1, full + n // size
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([block] * part.num_rows, pa.int64()), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=["key", "block", *out])
+        words.rest()
 
     coded = staging.put(
         docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(

@@ -4,6 +4,7 @@ import collections
 import math
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -752,3 +753,29 @@ def test_components(spark):
     want = {i: 100 for i in range(100, 141)} | {i: 300 for i in [*range(300, 360), 500]} | {700: -5, 701: -5, -5: -5}
     assert got == want
     assert components(spark.createDataFrame([], "a bigint, b bigint"), Staging(spark), "c").count() == 0
+
+
+def test_staged_files_come_alone(spark):
+    """No checksum files, for which a process is forked with every file."""
+    from termweave.llm.common import Staging
+
+    staging = Staging(spark)
+    assert staging.put(spark.range(90).repartition(3), "a").count() == 90 and staging.put_by(spark.range(50), "b", "id", 2).count() == 50
+    files = [p.name for p in Path(staging.root.removeprefix("file://")).rglob("*") if p.is_file()]
+    assert any(x.endswith(".parquet") for x in files) and not any(x.endswith(".crc") for x in files)
+
+
+def test_packing_leaves_few_words_in_the_workers(spark):
+    from termweave.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(45_000))) for i in range(8)], "doc_id bigint, text string").repartition(2)
+    assert packing.pack(docs, path, size=2048, end_id=1).count()
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._IDS.get(path, ()))])], names=["n"])
+
+    assert max(r["n"] for r in spark.range(400).repartition(40).mapInArrow(held, "n bigint").collect()) <= packing.WORDS.LIMIT
