@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -23,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import GOLDEN, MIX1, MIX2, WORDS, Staging, mix64
+from termweave.llm.common import GOLDEN, WORDS, Staging, mix64
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: shares to this power. 1 keeps them, 0 makes all equal. A parameter.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 MISSING = "(missing)"
 SPACE = 4096
-#: Texts tried for each first centre; the whole numbers that values are summed in; and texts in a row of a pass.
-TRIES, UNIT, BLOCK = 8, float(1 << 20), 16
+#: Texts tried for each first centre; the whole numbers that values are summed in; texts in a row of a pass; texts whose
+#: cosines are taken at once; and numbers in a row of a pass's sums.
+TRIES, UNIT, BLOCK, NEAR, SLICE = 8, float(1 << 20), 16, 128, 1024
 #: Rounds of raking, if the sums don't stand still before; of calibration; and how far calibration may move a value's
 #: probabilities from its share of the weights, either way. Parameters.
 ROUNDS, AGAIN, REACH = 500, 30, 4.0
@@ -66,27 +68,26 @@ class Topics:
         return out
 
 
-class Places(dict):
-    """word -> its place among the hashed words, remembered up to a number of words."""
+#: word -> its place among the hashed words, remembered up to a number of words.
+PLACES: dict[str, int] = {}
 
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        x = xxh3_64_intdigest(word)  # mix64 of one number, without arrays
-        x = (x ^ x >> 30) * int(MIX1) & (1 << 64) - 1
-        x = (x ^ x >> 27) * int(MIX2) & (1 << 64) - 1
-        place = (x ^ x >> 31) % SPACE
-        if len(self) < WORDS.LIMIT:
-            self[word] = place
-        return place
 
+def places_of(words: list[str]) -> np.ndarray:
+    """Places of words among the hashed ones; those not remembered are hashed together."""
+    from xxhash import xxh3_64_intdigest
 
-PLACES = Places()
+    out = np.fromiter(map(PLACES.get, words, repeat(-1)), np.int32, len(words))
+    new = np.flatnonzero(out < 0)
+    if len(new):
+        others = [words[i] for i in new.tolist()]
+        out[new] = mix64(np.fromiter(map(xxh3_64_intdigest, others), np.uint64, len(new))) % np.uint64(SPACE)
+        PLACES.update(islice(zip(others, out[new].tolist()), max(0, WORDS.LIMIT - len(PLACES))))
+    return out
 
 
 def counted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Places of a text's words among the hashed ones, and how often each occurs."""
-    return np.unique(np.fromiter(map(PLACES.__getitem__, words), np.int32, len(words)), return_counts=True)
+    return np.unique(places_of(words), return_counts=True)
 
 
 def packed(words: list[str]) -> tuple[bytes, bytes, int]:
@@ -123,7 +124,14 @@ def vectors(part: Counts, weights: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def cosines(centres: np.ndarray, at: np.ndarray, v: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.stack([np.add.reduceat(c.take(at, mode="clip") * v, starts) for c in centres], axis=1)
+    """Of each text with each centre. NEAR texts at a time, which the processor's cache holds for all centres."""
+    out, bounds = np.empty((len(starts), len(centres)), np.result_type(centres, v)), np.append(starts, len(at))
+    for low in range(0, len(starts), NEAR):
+        a, z = bounds[low], bounds[min(low + NEAR, len(starts))]
+        places, values, heads = at[a:z].astype(np.intp), v[a:z], starts[low : low + NEAR] - a
+        for k, c in enumerate(centres):
+            np.add.reduceat(c.take(places, mode="clip") * values, heads, out=out[low : low + NEAR, k])
+    return out
 
 
 class Block(NamedTuple):
@@ -157,8 +165,8 @@ def spread(part: Block, centres: np.ndarray, tried: np.ndarray, turn: int) -> li
     nearest one, and TRIES texts drawn by that, as (rank, at, v): those with the smallest ranks."""
     if not len(part.sizes):
         return [(0, [])] * max(1, len(tried))
-    starts, at = part.starts, part.at.astype(np.intp)
-    apart = lambda c: np.maximum(0, 1 - cosines((c / UNIT).astype(np.float32), at, part.v, starts)).astype(float) ** 2
+    starts = part.starts
+    apart = lambda c: np.maximum(0, 1 - cosines((c / UNIT).astype(np.float32), part.at, part.v, starts)).astype(float) ** 2
     far = apart(centres).min(1) if len(centres) else np.ones(len(starts))
     with np.errstate(over="ignore"):
         luck = ((mix64(part.mark.view(np.uint64) + GOLDEN * np.uint64(turn + 1)) >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
@@ -179,9 +187,8 @@ def moved(part: Block, centres: np.ndarray) -> np.ndarray:
     """The sums of the texts nearest to each centre, in whole numbers, one centre after another."""
     if not len(part.sizes):
         return np.zeros(len(centres) * SPACE)
-    at = part.at.astype(np.intp)
-    own = cosines(centres.astype(np.float32), at, part.v, part.starts).argmax(1)
-    return np.bincount(np.repeat(own * SPACE, part.sizes) + at, part.v, len(centres) * SPACE)
+    own = cosines(centres.astype(np.float32), part.at, part.v, part.starts).argmax(1)
+    return np.bincount(np.repeat(own * SPACE, part.sizes) + part.at, part.v, len(centres) * SPACE)
 
 
 def centres_of(weights: np.ndarray, topics: int, rounds: int, spreads: Callable, sums: Callable) -> Topics:
@@ -240,18 +247,29 @@ def learn_topics(told: DataFrame, topics: int, staging: Staging, rounds: int = 2
     def total(rows: DataFrame, read: Callable, step: Callable, size: int, *held) -> np.ndarray:
         shared = sc.broadcast(held)
 
+        def sliced(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in parts.values()], pa.binary())], names=["slice", "part"])
+
         def run(batches: Iterator) -> Iterator:
             out = np.zeros(size)
             for batch in batches:
                 if batch.num_rows:
                     out += step(*read(batch), *shared.value)
-            at = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(out[at].astype(np.int64))], names=["place", "part"])
+            yield sliced({i: out[low : low + SLICE] for i, low in enumerate(range(0, size, SLICE)) if out[low : low + SLICE].any()})
+
+        def add(batches: Iterator) -> Iterator:
+            out = {}
+            for batch in batches:
+                for i, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    out[i] = out.get(i, 0) + np.frombuffer(part.as_buffer(), "<i8")
+            yield sliced(out)
 
-        got = rows.mapInArrow(run, "place bigint, part bigint").groupBy("place").agg(F.sum("part").alias("part")).toArrow()
+        kind = "slice int, part binary"  # a row holds SLICE sums, so that few rows are dealt and added up
+        got = rows.mapInArrow(run, kind).repartition("slice").mapInArrow(add, kind).toArrow()
         shared.unpersist()
         out = np.zeros(size)
-        out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        for i, part in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+            out[i * SLICE : (i + 1) * SLICE] = np.frombuffer(part, "<i8")
         return out
 
     def blocked(batches: Iterator) -> Iterator:
@@ -265,7 +283,7 @@ def learn_topics(told: DataFrame, topics: int, staging: Staging, rounds: int = 2
 
     weights = weights_of(total(told.select("at"), lambda batch: flat(batch.column(0), "<u2"), within, SPACE + 1))
     different = told.where(F.length("at") > 0).groupBy("mark", F.xxhash64("at", "n").alias("check")).agg(F.first("at").alias("at"), F.first("n").alias("n"))
-    blocks = staging.put(different.select("at", "n", "mark").mapInArrow(blocked, "at binary, v binary, sizes binary, mark binary"), "blocks")
+    blocks = staging.put(different.select("at", "n", "mark").mapInArrow(blocked, "at binary, v binary, sizes binary, mark binary"), "blocks", compression="none")  # read in every pass
 
     def spreads(*held) -> list[tuple[int, list[tuple]]]:
         shared, slots = sc.broadcast(held), max(1, len(held[1]))

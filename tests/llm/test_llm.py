@@ -765,6 +765,34 @@ def test_staged_files_come_alone(spark):
     assert any(x.endswith(".parquet") for x in files) and not any(x.endswith(".crc") for x in files)
 
 
+def test_places_of_words_beyond_the_cache(monkeypatch):
+    """Words that are not remembered are hashed together, to the places they would have alone."""
+    from xxhash import xxh3_64_intdigest
+
+    from termweave.llm import mixing
+    from termweave.llm.common import mix64
+
+    monkeypatch.setattr(mixing, "PLACES", {})
+    monkeypatch.setattr(mixing.WORDS.__class__, "LIMIT", 10)
+    words = [f"w{i % 37}é" for i in range(100)]
+    want = [int(mix64(np.array([xxh3_64_intdigest(w)], np.uint64))[0]) % mixing.SPACE for w in words]
+    assert mixing.places_of(words).tolist() == want and mixing.places_of(words[::-1]).tolist() == want[::-1]
+    assert len(mixing.PLACES) == 10 and mixing.places_of([]).tolist() == []
+
+
+def test_a_pass_deals_few_rows(spark, monkeypatch):
+    """A pass of op10 sends its sums in slices, not a row for each place and centre."""
+    from termweave.llm import mixing
+    from termweave.llm.common import Staging
+
+    frame = spark.createDataFrame([(f"a{i} b{i % 7} c{i % 3}",) for i in range(300)], "text string")
+    told = frame.select(mixing.describe()(F.col("text")).alias("x")).select("x.*")
+    sent, whole = [], type(told).toArrow
+    monkeypatch.setattr(type(told), "toArrow", lambda self: sent.append(whole(self)) or sent[-1])
+    mixing.learn_topics(told, 3, Staging(spark))
+    assert sent and all(t.num_rows <= 3 * mixing.SPACE // mixing.SLICE + 1 for t in sent)
+
+
 def test_packing_leaves_few_words_in_the_workers(spark):
     from termweave.llm import packing
 
