@@ -18,7 +18,9 @@ corpus are dealt over all ranges; its sums are added up afterwards.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,12 +31,9 @@ from termweave.llm.common import GOLDEN, Staging, mix64
 END = b"\n"
 
 
-class Numbers(dict):
+def new_numbers() -> defaultdict:
     """word -> its number in the block, in order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+    return defaultdict(count().__next__)
 
 
 def windows(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,15 +114,31 @@ def unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys, sorted, and the number of each key among them."""
-    order = np.argsort(keys)
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """The order of 64-bit keys, equal ones as they stand: their first bits are sorted together with their places, which
+    is faster than sorting places by keys; where keys differ in the last bits only, that is made good."""
+    bits = np.uint64(max(1, len(keys) - 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    found = keys[order]
+    wrong = np.flatnonzero(found[1:] < found[:-1])
+    if len(wrong) > 1000:
+        return np.argsort(keys, kind="stable")
+    first = found >> bits
+    for a, z in {tuple(np.searchsorted(first, [x, x + np.uint64(1)]).tolist()) for x in first[wrong]}:
+        order[a:z] = order[a:z][np.argsort(found[a:z], kind="stable")]
+    return order
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, sorted, the place of the first of each, and the number of each key among them."""
+    order = ordered(keys)
     keys = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     number = np.empty(len(keys), np.int32)
     number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
-    return keys[new], number
+    return keys[new], order[new], number
 
 
 class Depth:
@@ -134,8 +149,11 @@ class Depth:
 
     def __init__(self, ctx: np.ndarray, ids: np.ndarray, words: np.ndarray, hashes: np.ndarray, counts: np.ndarray, ranges: int, hot: float):
         self.at = np.flatnonzero(ctx >= 0).astype(np.int32)
-        keys, self.back = numbered(ctx[self.at].astype(np.uint64) << np.uint64(32) | ids[self.at])
-        own, symbol = (keys >> np.uint64(32)).astype(np.int64), words[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        wide = np.uint64(max(1, len(words)).bit_length())  # words left-aligned, so that `ordered` sorts by nearly all bits
+        free = np.uint64(64 - max(1, len(hashes)).bit_length()) - wide
+        keys, _, self.back = numbered((ctx[self.at].astype(np.uint64) << wide | ids[self.at]) << free)
+        keys >>= free
+        own, symbol = (keys >> wide).astype(np.int64), words[(keys & ((np.uint64(1) << wide) - np.uint64(1))).astype(np.int64)]
         self.total = counts[own]
         self.hash, self.symbol, self.dealt = hashes[own], symbol, self.total > hot
         with np.errstate(over="ignore"):
@@ -154,7 +172,8 @@ class Depth:
     def sent(self, p: np.ndarray, taught: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(range, packed pairs); p: the tokens' probabilities so far; taught: whether they teach."""
         lp = np.empty(len(self.hash))
-        lp[self.back] = np.log(p[self.at])
+        lp[self.back] = p[self.at]
+        np.log(lp, out=lp)
         n = np.bincount(self.back[taught[self.at]], minlength=len(self.hash))[self.order]
         lp, symbol = lp[self.order], self.symbol[self.order] >> np.uint64(16)
         head = self.order[self.first]
@@ -188,7 +207,7 @@ class Block:
 
     def __init__(self, ids: bytes, lengths: list[int], held: list[bool], words: bytes, count: bytes, lp: bytes):
         self.ids, self.words = np.frombuffer(ids, "<u4"), np.frombuffer(words, "<u8")
-        self.c, self.p = np.frombuffer(count, "<i8"), 10.0 ** np.frombuffer(lp, "<f4").astype(float)[self.ids]
+        self.c, self.p = np.frombuffer(count, "<i8"), (10.0 ** np.frombuffer(lp, "<f4").astype(float))[self.ids]
         self.lengths = np.array(lengths, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.taught = np.repeat(~np.array(held, bool), self.lengths)
@@ -224,12 +243,12 @@ def count_range(rows: list[tuple], least: int, cost: float) -> Iterator[tuple]:
         return
     blocks, parts = [b for b, _ in rows], [unpack(x, SENT) for _, x in rows]
     hashes, dealt, sizes, symbol, lp, n = (np.concatenate([p[i] for p in parts]) for i in range(6))
-    ctx, own = np.unique(hashes, return_inverse=True)
+    ctx, _, own = numbered(hashes)
     spread = np.zeros(len(ctx), bool)
     spread[own] = dealt.astype(bool)
     own = np.repeat(own, sizes)
     with np.errstate(over="ignore"):
-        pairs, first, back = np.unique(mix64(ctx[own] + symbol * GOLDEN), return_index=True, return_inverse=True)
+        pairs, first, back = numbered(mix64(ctx[own] + symbol * GOLDEN))
     c, at = np.bincount(back, n, len(pairs)), own[first]
     seen = c > 0
     total, kinds = np.bincount(at, c, len(ctx)), np.bincount(at[seen], minlength=len(ctx))
@@ -276,7 +295,7 @@ def score(
         from pyspark import TaskContext
         from xxhash import xxh3_64_intdigest
 
-        block, numbers, schema = TaskContext.get().partitionId() << 24, Numbers(), None
+        block, numbers, schema = TaskContext.get().partitionId() << 24, new_numbers(), None
         keys, held, lengths, ids, size = [], [], [], [], 0
 
         def close() -> Iterator:
@@ -302,7 +321,7 @@ def score(
                 size += len(words)
                 if size >= block_tokens or len(numbers) >= block_words:
                     yield from close()
-                    block, numbers, keys, held, lengths, ids, size = block + 1, Numbers(), [], [], [], [], 0
+                    block, numbers, keys, held, lengths, ids, size = block + 1, new_numbers(), [], [], [], [], 0
         if keys:
             yield from close()
 
@@ -329,11 +348,16 @@ def score(
     own = vocabularies.select("word", "block", "number").join(spelt, "word").select("block", "number", "c", lp.cast("float").alias("lp"))
 
     def gather(batches: Iterator) -> Iterator:
-        """Rows of a block, in the order of its numbers, become one."""
-        block, c, p = None, [], []
+        """Rows of a block, in any order, become one in the order of its numbers."""
+        block, at, c, p = None, [], [], []
 
         def one() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.concatenate(c).astype("<i8").tobytes()], pa.binary()), pa.array([np.concatenate(p).astype("<f4").tobytes()], pa.binary())], names=["block", "count", "lp"])
+            place, data = np.concatenate(at), []
+            for parts, kind_ in ((c, "<i8"), (p, "<f4")):
+                out = np.empty(len(place), kind_)
+                out[place] = np.concatenate(parts)
+                data.append(pa.array([out.tobytes()], pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *data], names=["block", "count", "lp"])
 
         for batch in batches:
             b = batch.column(0).to_numpy()
@@ -343,13 +367,14 @@ def score(
                     if b[a] != block:
                         if c:
                             yield one()
-                        block, c, p = int(b[a]), [], []
+                        block, at, c, p = int(b[a]), [], [], []
+                    at.append(batch.column(1).to_numpy()[a:z])
                     c.append(batch.column(2).to_numpy()[a:z])
                     p.append(batch.column(3).to_numpy()[a:z])
         if c:
             yield one()
 
-    scores = own.repartition(parts, "block").sortWithinPartitions("block", "number").mapInArrow(gather, "block bigint, count binary, lp binary")
+    scores = own.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(gather, "block bigint, count binary, lp binary")
     staging.collect_garbage()
     tables = [coded.drop("words"), staging.put_by(scores, "scores", "block", parts)]
     staging.drop("vocabulary")
@@ -379,7 +404,7 @@ def score(
                 for r, data in nearest.sent(block.p, block.taught):
                     yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([number.as_py()], pa.int64()), pa.array([data], pa.binary())], names=["range", "block", "data"])
 
-        def count(batches: Iterator) -> Iterator:
+        def answer(batches: Iterator) -> Iterator:
             """A range's rows lie together, in the order of the blocks."""
             schema = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("reply", pa.binary()), ("ctx", pa.int64()), ("total", pa.float64()), ("kinds", pa.int64()), ("gain", pa.float64())])
 
@@ -400,7 +425,7 @@ def score(
             yield from done(at, held)
 
         sent = joined().mapInArrow(send, "range int, block bigint, data binary").repartitionById(ranges, "range").sortWithinPartitions("range", "block")
-        answered = staging.put(sent.mapInArrow(count, "block bigint, range int, reply binary, ctx bigint, total double, kinds bigint, gain double"), f"answered_{k}")
+        answered = staging.put(sent.mapInArrow(answer, "block bigint, range int, reply binary, ctx bigint, total double, kinds bigint, gain double"), f"answered_{k}")
         # contexts in more than 1 / (share x ranges) of the tokens: at most share x ranges of them
         found = answered.where("ctx is not null").groupBy("ctx").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds"), F.sum("gain").alias("gain")).toArrow()
         hashes, n, kinds, gain = (found.column(c).to_numpy() for c in ("ctx", "total", "kinds", "gain"))

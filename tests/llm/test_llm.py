@@ -807,3 +807,14 @@ def test_packing_leaves_few_words_in_the_workers(spark):
             yield pa.RecordBatch.from_arrays([pa.array([len(packing._IDS.get(path, ()))])], names=["n"])
 
     assert max(r["n"] for r in spark.range(400).repartition(40).mapInArrow(held, "n bigint").collect()) <= packing.WORDS.LIMIT
+
+
+def test_keys_alike_in_their_first_bits_are_told_apart():
+    """op3's order of keys, by first bits and places at once, is the stable order."""
+    from termweave.llm.suffix_tree import numbered, ordered
+
+    rng = np.random.default_rng(3)
+    for keys in (rng.integers(0, 50, 3000), rng.integers(0, 1 << 63, 3000)[rng.integers(0, 3000, 5000)], np.repeat(rng.integers(0, 1 << 40, 9) << 20, 200) + rng.integers(0, 2, 1800) * 5, np.zeros(0, int), np.array([7])):
+        keys = keys.astype(np.uint64)
+        want = np.unique(keys, return_index=True, return_inverse=True)
+        assert (ordered(keys) == np.argsort(keys, kind="stable")).all() and all((a == b).all() for a, b in zip(numbered(keys), want))
