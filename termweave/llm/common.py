@@ -138,6 +138,68 @@ class WordHashes(dict):
 WORDS = WordHashes()
 
 
+#: Keys of XXH3's 64-bit hash for inputs of 1 to 3, 4 to 8 and 9 to 16 bytes, folded from its fixed secret.
+KEYS = tuple(np.uint64(x) for x in (0x0000000087275A9B, 0xC73AB174C5ECD5A2, 0x6782737BEA4239B9, 0xAF56BC3B0996523A))
+
+
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Both halves of the 128-bit products, xor-ed."""
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    a0, a1, b0, b1 = a & low, a >> half, b & low, b >> half
+    p, q = a0 * b0, a1 * b0
+    r = (p >> half) + (q & low) + a0 * b1
+    return (q >> half) + (r >> half) + a1 * b1 ^ (r << half | p & low)
+
+
+def hashes_of(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """xxh3_64_intdigest of pieces of data, none of them empty, by XXH3's rules for short inputs; pieces of more than 16
+    bytes are hashed one by one."""
+    from xxhash import xxh3_64_intdigest
+
+    padded = data + bytes(8)
+    four, eight = (np.ndarray(len(data) + 1, kind, padded, strides=(1,)) for kind in ("<u4", "<u8"))  # read from any byte on
+    out, u = np.empty(len(starts), np.uint64), np.uint64
+    with np.errstate(over="ignore"):
+        some = np.flatnonzero(sizes <= 3)
+        at, n = starts[some], sizes[some]
+        one = np.frombuffer(data, np.uint8)
+        h = (one[at].astype(u) << u(16) | one[at + (n >> 1)].astype(u) << u(24) | one[at + n - 1] | n.astype(u) << u(8)) ^ KEYS[0]
+        h = (h ^ h >> u(33)) * u(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> u(29)) * u(0x165667B19E3779F9)
+        out[some] = h ^ h >> u(32)
+        some = np.flatnonzero((sizes >= 4) & (sizes <= 8))
+        at, n = starts[some], sizes[some]
+        h = (four[at].astype(u) << u(32)) + four[at + n - 4] ^ KEYS[1]
+        h ^= (h << u(49) | h >> u(15)) ^ (h << u(24) | h >> u(40))
+        h *= u(0x9FB21C651E98DF25)
+        h = (h ^ (h >> u(35)) + n.astype(u)) * u(0x9FB21C651E98DF25)
+        out[some] = h ^ h >> u(28)
+        some = np.flatnonzero((sizes >= 9) & (sizes <= 16))
+        at, n = starts[some], sizes[some]
+        low, high = eight[at] ^ KEYS[2], eight[at + n - 8] ^ KEYS[3]
+        h = n.astype(u) + low.byteswap() + high + _folded(low, high)
+        h = (h ^ h >> u(37)) * u(0x165667919E3779F9)
+        out[some] = h ^ h >> u(32)
+    for i in np.flatnonzero(sizes > 16).tolist():
+        out[i] = xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return out
+
+
+#: Bytes that part words, as str.split() knows ASCII's.
+GAPS = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+
+
+def words_of(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of x.lower().split() of each text x: bytes that hold them, where each starts and how many bytes it has,
+    text after text, and the texts' numbers of words."""
+    parts = [(t if t.isascii() else " ".join(t.split())).encode() for t in map(str.lower, texts)]
+    data = b" ".join([*parts, b""])
+    gap = np.concatenate(([True], GAPS[np.frombuffer(data, np.uint8)]))
+    turns = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = np.cumsum([0, *(len(p) + 1 for p in parts)]), turns[1::2]
+    return data, turns[::2], ends - turns[::2], np.diff(np.searchsorted(turns[::2], starts))
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words; one hash of all words if there are fewer than k; none for none."""
     n = len(h)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import GOLDEN, WORDS, Staging, mix64
+from termweave.llm.common import GOLDEN, WORDS, Staging, hashes_of, mix64, words_of
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets: shares to this power. 1 keeps them, 0 makes all equal. A parameter.
@@ -32,8 +32,9 @@ TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 MISSING = "(missing)"
 SPACE = 4096
 #: Texts tried for each first centre; the whole numbers that values are summed in; texts in a row of a pass; texts whose
-#: cosines are taken at once; and numbers in a row of a pass's sums.
-TRIES, UNIT, BLOCK, NEAR, SLICE = 8, float(1 << 20), 16, 128, 1024
+#: cosines are taken at once; numbers in a row of a pass's sums; letters whose words are counted at once; and bytes of
+#: values that a task of a pass reads, where there are more tasks than cores.
+TRIES, UNIT, BLOCK, NEAR, SLICE, RUN, PASS = 8, float(1 << 20), 16, 128, 1024, 400_000, 32 << 20
 #: Rounds of raking, if the sums don't stand still before; of calibration; and how far calibration may move a value's
 #: probabilities from its share of the weights, either way. Parameters.
 ROUNDS, AGAIN, REACH = 500, 30, 4.0
@@ -90,13 +91,28 @@ def counted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(places_of(words), return_counts=True)
 
 
-def packed(words: list[str]) -> tuple[bytes, bytes, int]:
-    """The counts of a text as bytes (2 a place, 4 a number), and their hash as a signed number."""
+def counted_all(texts: list[str | None]) -> tuple[np.ndarray, Counts]:
+    """How many words each text has, and the counts of counted() of all texts, RUN letters at a time."""
     from xxhash import xxh3_64_intdigest
 
-    at, n = counted(words)
-    at, n = at.astype("<u2").tobytes(), n.astype("<u4").tobytes()
-    return at, n, int(np.uint64(xxh3_64_intdigest(at + n)).astype(np.int64))
+    ends = np.cumsum([len(t or "") for t in texts], dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(ends[1:] // RUN != ends[:-1] // RUN) + 1).tolist(), len(texts)] if len(texts) else [0]
+    words, at, n, sizes = [np.zeros(0, np.int64)], [np.zeros(0, "<u2")], [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+    for low, high in zip(cuts, cuts[1:]):
+        data, starts, lengths, held = words_of([t or "" for t in texts[low:high]])
+        wide = np.int32 if (high - low) * SPACE < 1 << 31 else np.int64
+        key = (mix64(hashes_of(data, starts, lengths)) % np.uint64(SPACE)).astype(wide)
+        key += np.repeat(np.arange(high - low, dtype=wide) * wide(SPACE), held)
+        key.sort()
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        words.append(held)
+        at.append((key[first] % wide(SPACE)).astype("<u2"))
+        n.append(np.diff(first, append=len(key)).astype("<u4"))
+        sizes.append(np.bincount(key[first] // wide(SPACE), minlength=high - low))
+    at, n, bounds = np.concatenate(at), np.concatenate(n), np.cumsum(np.append(0, np.concatenate(sizes)))
+    a, b, cut = at.tobytes(), n.tobytes(), bounds.tolist()
+    mark = np.array([xxh3_64_intdigest(a[2 * x : 2 * y] + b[4 * x : 4 * y]) for x, y in zip(cut, cut[1:])], np.uint64).view(np.int64)
+    return np.concatenate(words), Counts(at, n, bounds, mark)
 
 
 def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +123,7 @@ def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unpacked(at: pa.Array, n: pa.Array, mark: pa.Array) -> Counts:
-    """Counts from columns of packed()."""
+    """Counts from columns of describe()."""
     places, bounds = flat(at, "<u2")
     return Counts(places, flat(n, "<u4")[0], bounds, mark.to_numpy(zero_copy_only=False))
 
@@ -281,9 +297,12 @@ def learn_topics(told: DataFrame, topics: int, staging: Staging, rounds: int = 2
     def block_of(batch: pa.RecordBatch) -> tuple[Block]:
         return (Block(*(flat(c, k)[0] for c, k in zip(batch.columns, kinds))),)
 
-    weights = weights_of(total(told.select("at"), lambda batch: flat(batch.column(0), "<u2"), within, SPACE + 1))
+    hold = total(told.select("at"), lambda batch: flat(batch.column(0), "<u2"), within, SPACE + 1)
+    weights = weights_of(hold)
     different = told.where(F.length("at") > 0).groupBy("mark", F.xxhash64("at", "n").alias("check")).agg(F.first("at").alias("at"), F.first("n").alias("n"))
     blocks = staging.put(different.select("at", "n", "mark").mapInArrow(blocked, "at binary, v binary, sizes binary, mark binary"), "blocks", compression="none")  # read in every pass
+    # a task costs more than reading some MB: a pass has few, however many files there are
+    blocks = blocks.coalesce(int(max(sc.defaultParallelism, hold[:-1].sum() * 6 // PASS + 1)))
 
     def spreads(*held) -> list[tuple[int, list[tuple]]]:
         shared, slots = sc.broadcast(held), max(1, len(held[1]))
@@ -308,15 +327,14 @@ def learn_topics(told: DataFrame, topics: int, staging: Staging, rounds: int = 2
 
 
 def describe() -> Callable:
-    """A column function: text -> (tokens, packed counts). Tokens are words."""
-
-    @F.pandas_udf("n_tokens bigint, at binary, n binary, mark bigint")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            words = (t or "").lower().split()
-            out.append((len(words), *packed(words)))
-        return pd.DataFrame(out, columns=["n_tokens", "at", "n", "mark"])
+    """A column function: text -> (tokens, packed counts: 2 bytes a place, 4 a number, and their hash). Tokens are words."""
+
+    @F.arrow_udf("n_tokens bigint, at binary, n binary, mark bigint")
+    def run(texts: pa.Array) -> pa.Array:
+        words, part = counted_all(texts.to_pylist())
+        bounds = [pa.py_buffer((part.bounds * x.itemsize).astype("<i4")) for x in (part.at, part.n)]
+        at, n = (pa.Array.from_buffers(pa.binary(), len(words), [None, b, pa.py_buffer(x)]) for b, x in zip(bounds, (part.at, part.n)))
+        return pa.StructArray.from_arrays([pa.array(words, pa.int64()), at, n, pa.array(part.mark)], names=["n_tokens", "at", "n", "mark"])
 
     return run
 

@@ -818,3 +818,61 @@ def test_keys_alike_in_their_first_bits_are_told_apart():
         keys = keys.astype(np.uint64)
         want = np.unique(keys, return_index=True, return_inverse=True)
         assert (ordered(keys) == np.argsort(keys, kind="stable")).all() and all((a == b).all() for a, b in zip(numbered(keys), want))
+
+
+def test_words_of_texts_are_counted_together(monkeypatch):
+    """op10 counts the words of many texts at once, in runs of letters, as of each alone."""
+    from xxhash import xxh3_64_intdigest
+
+    from termweave.llm import mixing
+    from termweave.llm.common import hashes_of, words_of
+
+    rng = np.random.default_rng(4)
+    pieces = [rng.bytes(n) for n in (*range(1, 40), 300) for _ in range(30)]
+    sizes = np.array([len(x) for x in pieces])
+    want = [xxh3_64_intdigest(x) for x in pieces]
+    assert hashes_of(b"-".join(pieces), np.cumsum(sizes + 1) - sizes - 1, sizes).tolist() == want
+    texts = [t for _, t in ROWS] + [" \x1c\x85\u3000", "\xa0ΟΔΟΣ İ\u2028x\x1fy\x00z", "B b\x0bB", None, " ", "é" * 9 + " é", "last"]
+    data, starts, lengths, held = words_of([t or "" for t in texts])
+    split = [(t or "").lower().split() for t in texts]
+    assert [data[a : a + n].decode() for a, n in zip(starts, lengths)] == [w for words in split for w in words]
+    assert held.tolist() == [len(words) for words in split]
+    for run in (50, 400_000):
+        monkeypatch.setattr(mixing, "RUN", run)
+        tokens, part = mixing.counted_all(texts)
+        assert tokens.tolist() == held.tolist()
+        for words, a, z, mark in zip(split, part.bounds, part.bounds[1:], part.mark):
+            at, n = mixing.counted(words)
+            assert part.at[a:z].tolist() == at.tolist() and part.n[a:z].tolist() == n.tolist()
+            assert np.int64(mark).view(np.uint64) == xxh3_64_intdigest(at.astype("<u2").tobytes() + n.astype("<u4").tobytes())
+    assert len(mixing.counted_all([])[0]) == 0 and mixing.counted_all([None])[0].tolist() == [0]
+
+
+def test_a_pass_has_few_tasks(spark, monkeypatch):
+    """op10's passes read many small files in few tasks."""
+    from termweave.llm import mixing
+    from termweave.llm.common import Staging
+
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.files.maxPartitionBytes": "4m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old, sc, tasks = {k: spark.conf.get(k, None) for k in own}, spark.sparkContext, []
+
+    def once(weights, topics, rounds, spreads, sums):
+        for name, step in (("spreads", lambda: spreads(*[np.zeros((0, mixing.SPACE))] * 2, 0)), ("sums", lambda: sums(np.ones((2, mixing.SPACE))))):
+            sc.setJobGroup(name, name)
+            assert len(step())
+            told = sc.statusTracker()
+            first = min(i for j in told.getJobIdsForGroup(name) for i in told.getJobInfo(j).stageIds)
+            tasks.append(told.getStageInfo(first).numTasks)
+        return mixing.Topics(np.zeros((0, mixing.SPACE)), weights)
+
+    monkeypatch.setattr(mixing, "centres_of", once)
+    frame = spark.createDataFrame([(f"a{i} b{i % 7} c{i % 3}",) for i in range(300)], "text string")
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        mixing.learn_topics(frame.select(mixing.describe()(F.col("text")).alias("x")).select("x.*"), 3, Staging(spark))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert tasks == [sc.defaultParallelism] * 2
