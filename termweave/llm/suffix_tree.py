@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import GOLDEN, Staging, mix64
+from termweave.llm.common import GOLDEN, Staging, hashes_of, mix64
 
 END = b"\n"
 
@@ -91,6 +91,8 @@ class Tree:
 #: What a block sends to a range: contexts (hash, dealt over all ranges or not, number of pairs), then pairs (symbol,
 #: natural log of the suffix's probability, occurrences); and what it gets back: counts of pairs, followers of contexts.
 SENT, REPLY = ("u8", "u1", "u4", "u8", "f2", "u4"), ("u8", "u8")
+#: What a block gets for its words: their numbers, corpus counts and log10 probabilities.
+OWN = ("<u4", "<i8", "<f4")
 
 
 def pack(arrays: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
@@ -157,7 +159,6 @@ class Depth:
         self.total = counts[own]
         self.hash, self.symbol, self.dealt = hashes[own], symbol, self.total > hot
         with np.errstate(over="ignore"):
-            self.next = mix64(self.hash * GOLDEN + symbol)  # the pair as a longer context
             place = np.where(self.dealt, mix64(self.hash ^ symbol), self.hash)
         place = (place >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         place = place.astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
@@ -169,6 +170,11 @@ class Depth:
         self.sizes = np.diff(np.append(self.first, len(own)))
         self.place, self.run_place = place, place[self.first]
 
+    def next(self) -> np.ndarray:
+        """Hashes of the pairs as longer contexts."""
+        with np.errstate(over="ignore"):
+            return mix64(self.hash * GOLDEN + self.symbol)
+
     def sent(self, p: np.ndarray, taught: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(range, packed pairs); p: the tokens' probabilities so far; taught: whether they teach."""
         lp = np.empty(len(self.hash))
@@ -228,10 +234,12 @@ class Block:
             if k == len(replies):
                 return own
             self.p = own.step(self.p, replies[k], often[k])
+            if k + 1 == deepest:
+                break
             ctx[:] = -1
             inside = own.at < len(ctx) - 1
             ctx[own.at[inside] + 1] = own.back[inside]
-            hashes, counts = own.next, own.count
+            hashes, counts = own.next(), own.count
             del own, inside
         return None
 
@@ -266,7 +274,7 @@ def count_range(rows: list[tuple], least: int, cost: float) -> Iterator[tuple]:
 
 def score(
     docs: DataFrame, held_out: "F.Column", staging: Staging | None = None, depth: int = 2, least: int = 2, threshold: float = 1.0, letters: int = 6, spelling: float = 3.0, p_min: float = 5e-5,
-    block_tokens: int = 1_500_000, block_words: int = 400_000, range_tokens: int = 2_000_000, share: float = 4.0, text: str = "text", key: str = "doc_id",
+    block_tokens: int = 1_500_000, block_words: int = 400_000, spelt_words: int = 10_000, packed_words: int = 500_000, range_tokens: int = 2_000_000, share: float = 4.0, text: str = "text", key: str = "doc_id",
 ) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -293,7 +301,6 @@ def score(
 
     def cut(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
-        from xxhash import xxh3_64_intdigest
 
         block, numbers, schema = TaskContext.get().partitionId() << 24, new_numbers(), None
         keys, held, lengths, ids, size = [], [], [], [], 0
@@ -302,7 +309,8 @@ def score(
             w, every = list(numbers), np.concatenate(ids)
             taught = np.repeat(~np.array(held, bool), lengths)
             n = np.bincount(every[taught], minlength=len(w))
-            hashes = np.fromiter(map(xxh3_64_intdigest, w), np.uint64, len(w))
+            sizes = np.fromiter(map(len, w), np.int64, len(w))
+            hashes = hashes_of(b"".join(w), np.cumsum(sizes) - sizes, sizes)
             own = pa.StructArray.from_arrays([pa.array(w, pa.binary()), pa.array(n)], ["word", "n"])
             row = [[block], [keys], [held], [lengths], [every.astype("<u4").tobytes()], [hashes.astype("<u8").tobytes()]]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(row, schema)), pa.ListArray.from_arrays(pa.array([0, len(w)], pa.int32()), own)], schema=schema)
@@ -311,8 +319,8 @@ def score(
             if schema is None:
                 k = batch.schema.field(0).type
                 schema = pa.schema([("block", pa.int64()), ("keys", pa.list_(k)), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("hashes", pa.binary()), ("words", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))])
-            for key_, x, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                words = (x.as_py() or "").encode().lower().split()
+            for key_, x, out in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+                words = (x or b"").lower().split()
                 words.append(END)
                 ids.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                 keys.append(key_)
@@ -337,43 +345,73 @@ def score(
     model = spark.sparkContext.broadcast(_spelling(counted, staging, letters, spelling, p_min))
 
     def spell(batches: Iterator) -> Iterator:
-        for batch in batches:
-            lp = model.value.words(batch.column(0).to_pylist(), letters)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp)], names=["word", "c", "lp"])
+        held, size = [], 0
+
+        def some() -> pa.RecordBatch:
+            word, c = (pa.concat_arrays([b.column(i) for b in held]) for i in range(2))
+            return pa.RecordBatch.from_arrays([word, c, pa.array(model.value.words(word.to_pylist(), letters))], names=["word", "c", "lp"])
+
+        for batch in batches:  # small ones together
+            held.append(batch)
+            size += batch.num_rows
+            if size >= spelt_words:
+                yield some()
+                held, size = [], 0
+        if held:
+            yield some()
 
     spelt = counted.select("word", "c").mapInArrow(spell, "word binary, c bigint, lp double")
     escape = discount * total["v"] / total["n"] if total["n"] else 1.0
     spelt_mass = F.lit(escape) * F.pow(F.lit(10.0), "lp")
     lp = F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / max(1, total["n"]) + spelt_mass)).otherwise(F.col("lp") + F.log10(F.lit(escape)))
-    own = vocabularies.select("word", "block", "number").join(spelt, "word").select("block", "number", "c", lp.cast("float").alias("lp"))
+    # neither side is sorted: a partition's different words are held, as they are few beside the rows
+    own = vocabularies.select("word", "block", "number").join(spelt.hint("shuffle_hash"), "word").select("block", "number", "c", lp.cast("float").alias("lp"))
+
+    def together(batches: Iterator) -> Iterator:
+        """Rows become one for each block among them, as bytes; many at once."""
+        held, size = [], 0
+
+        def some() -> pa.RecordBatch:
+            block, *rest = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
+            order = np.argsort(block, kind="stable")
+            block, rest = block[order], [x[order] for x in rest]
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            data = [pa.array([x[a:z].astype(k).tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary()) for x, k in zip(rest, OWN)]
+            return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), *data], names=["block", "number", "count", "lp"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+                if size >= packed_words:
+                    yield some()
+                    held, size = [], 0
+        if held:
+            yield some()
 
     def gather(batches: Iterator) -> Iterator:
         """Rows of a block, in any order, become one in the order of its numbers."""
-        block, at, c, p = None, [], [], []
+        block, held = None, []
 
         def one() -> pa.RecordBatch:
-            place, data = np.concatenate(at), []
-            for parts, kind_ in ((c, "<i8"), (p, "<f4")):
-                out = np.empty(len(place), kind_)
-                out[place] = np.concatenate(parts)
+            place, data = np.concatenate([np.frombuffer(x[0], OWN[0]) for x in held]), []
+            for i in (1, 2):
+                out = np.empty(len(place), OWN[i])
+                out[place] = np.concatenate([np.frombuffer(x[i], OWN[i]) for x in held])
                 data.append(pa.array([out.tobytes()], pa.binary()))
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *data], names=["block", "count", "lp"])
 
         for batch in batches:
-            b = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
-            for a, z in zip(cuts, cuts[1:]):
-                if a < z:
-                    if b[a] != block:
-                        if c:
-                            yield one()
-                        block, at, c, p = int(b[a]), [], [], []
-                    at.append(batch.column(1).to_numpy()[a:z])
-                    c.append(batch.column(2).to_numpy()[a:z])
-                    p.append(batch.column(3).to_numpy()[a:z])
-        if c:
+            for b, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != block:
+                    if held:
+                        yield one()
+                    block, held = b, []
+                held.append(row)
+        if held:
             yield one()
 
+    own = own.mapInArrow(together, "block bigint, number binary, count binary, lp binary")
     scores = own.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(gather, "block bigint, count binary, lp binary")
     staging.collect_garbage()
     tables = [coded.drop("words"), staging.put_by(scores, "scores", "block", parts)]

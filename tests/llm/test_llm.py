@@ -876,3 +876,16 @@ def test_a_pass_has_few_tasks(spark, monkeypatch):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert tasks == [sc.defaultParallelism] * 2
+
+
+def test_words_of_a_block_are_sent_together(spark, monkeypatch):
+    """op3 deals the counts of a block's words to it as few packed rows, not as a row a word."""
+    from termweave.llm import suffix_tree
+
+    frame = spark.createDataFrame([(i, " ".join(f"w{i % 9}x{j} the" for j in range(150))) for i in range(20)], "doc_id bigint, text string").repartition(2)
+    sent, deal = [], type(frame).repartition
+    monkeypatch.setattr(type(frame), "repartition", lambda self, *a: ("number" in self.columns and sent.append(self.count())) or deal(self, *a))
+    scored = lambda **more: sorted(suffix_tree.score(frame, F.col("doc_id") == 3, **more).collect())
+    whole = scored()
+    assert len(whole) == 20 and sent and max(sent) <= 2 * 4  # blocks x partitions
+    assert all(a[:5] == b[:5] and math.isclose(a[6], b[6], rel_tol=1e-9) for a, b in zip(whole, scored(packed_words=7, spelt_words=5)))
