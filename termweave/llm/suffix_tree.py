@@ -91,8 +91,22 @@ class Tree:
 #: What a block sends to a range: contexts (hash, dealt over all ranges or not, number of pairs), then pairs (symbol,
 #: natural log of the suffix's probability, occurrences); and what it gets back: counts of pairs, followers of contexts.
 SENT, REPLY = ("u8", "u1", "u4", "u8", "f2", "u4"), ("u8", "u8")
-#: What a block gets for its words: their numbers, corpus counts and log10 probabilities.
+#: What a block gets for its words: their numbers, corpus counts and log10 probabilities; it keeps the last two.
 OWN = ("<u4", "<i8", "<f4")
+#: A block's tokens. Its words leave the worker in rows of so many, as the JVM holds a row several times over.
+IDS, ROW_WORDS = ("<u4",), 20_000
+
+
+def give_back() -> None:
+    """What is freed goes back to the system, as a worker that waits has no use for it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's alone
+    if trim:
+        trim(0)
 
 
 def pack(arrays: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
@@ -121,7 +135,11 @@ def ordered(keys: np.ndarray) -> np.ndarray:
     is faster than sorting places by keys; where keys differ in the last bits only, that is made good."""
     bits = np.uint64(max(1, len(keys) - 1).bit_length())
     low = (np.uint64(1) << bits) - np.uint64(1)
-    order = (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    order = keys & ~low
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
     found = keys[order]
     wrong = np.flatnonzero(found[1:] < found[:-1])
     if len(wrong) > 1000:
@@ -132,14 +150,25 @@ def ordered(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys, sorted, the place of the first of each, and the number of each key among them."""
-    order = ordered(keys)
-    keys = keys[order]
+def numbered(keys: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, sorted, the place of the first of each, and the number of each key among them. width: the
+    bits that keys have; if they leave room for places, both are sorted as one number."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if width + bits <= 64:
+        order = keys << np.uint64(bits)
+        order |= np.arange(len(keys), dtype=np.uint64)
+        order.sort()
+        keys = order >> np.uint64(bits)
+        order &= np.uint64((1 << bits) - 1)
+        order = order.view(np.int64)
+    else:
+        order = ordered(keys << np.uint64(64 - width))  # left-aligned, so that it sorts by nearly all bits
+        keys = keys[order]
     new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    number = np.empty(len(keys), np.int32)
-    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    count, number = np.cumsum(new, dtype=np.int32), np.empty(len(keys), np.int32)
+    count -= np.int32(1)
+    number[order] = count
     return keys[new], order[new], number
 
 
@@ -151,23 +180,29 @@ class Depth:
 
     def __init__(self, ctx: np.ndarray, ids: np.ndarray, words: np.ndarray, hashes: np.ndarray, counts: np.ndarray, ranges: int, hot: float):
         self.at = np.flatnonzero(ctx >= 0).astype(np.int32)
-        wide = np.uint64(max(1, len(words)).bit_length())  # words left-aligned, so that `ordered` sorts by nearly all bits
-        free = np.uint64(64 - max(1, len(hashes)).bit_length()) - wide
-        keys, _, self.back = numbered((ctx[self.at].astype(np.uint64) << wide | ids[self.at]) << free)
-        keys >>= free
-        own, symbol = (keys >> wide).astype(np.int64), words[(keys & ((np.uint64(1) << wide) - np.uint64(1))).astype(np.int64)]
-        self.total = counts[own]
-        self.hash, self.symbol, self.dealt = hashes[own], symbol, self.total > hot
+        wide = max(1, len(words)).bit_length()
+        keys = ctx[self.at].astype(np.uint64)
+        keys <<= np.uint64(wide)
+        keys |= ids[self.at]
+        keys, _, self.back = numbered(keys, max(1, len(hashes)).bit_length() + wide)
+        own = (keys >> np.uint64(wide)).astype(np.int32)
+        keys &= np.uint64((1 << wide) - 1)
+        self.symbol = words[keys.view(np.int64)]
+        del keys
+        self.hash, self.total = hashes[own], counts[own]
+        self.dealt = self.total > hot
+        place, some = self.hash >> np.uint64(32), np.flatnonzero(self.dealt)
         with np.errstate(over="ignore"):
-            place = np.where(self.dealt, mix64(self.hash ^ symbol), self.hash)
-        place = (place >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            place[some] = mix64(self.hash[some] ^ self.symbol[some]) >> np.uint64(32)
+        place *= np.uint64(ranges)
+        place >>= np.uint64(32)
         place = place.astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
         self.order = np.argsort(place, kind="stable").astype(np.int32)
         place, own = place[self.order], own[self.order]
         new = np.ones(len(own), bool)
         new[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1])
-        self.first = np.flatnonzero(new)  # of each run of pairs with one context in one range
-        self.sizes = np.diff(np.append(self.first, len(own)))
+        self.first = np.flatnonzero(new).astype(np.int32)  # of each run of pairs with one context in one range
+        self.sizes = np.diff(np.append(self.first, np.int32(len(own))))
         self.place, self.run_place = place, place[self.first]
 
     def next(self) -> np.ndarray:
@@ -189,13 +224,14 @@ class Depth:
             yield r, pack([self.hash[head[a:z]], self.dealt[head[a:z]], self.sizes[a:z], symbol[b:y], lp[b:y], n[b:y]], SENT)
 
     def step(self, p: np.ndarray, replies: list[bytes], often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """The tokens' probabilities with the contexts of this depth, from the ranges' replies in their order; often:
-        hashes and followers (0: not retained) of contexts dealt over all ranges. Sets count, the pairs' counts."""
+        """The tokens' probabilities, in place, with the contexts of this depth, from the ranges' replies in their order;
+        often: hashes and followers (0: not retained) of contexts dealt over all ranges. Sets count, the pairs' counts."""
         parts = [unpack(x, REPLY) for x in replies]
         self.count, kinds = np.zeros(len(self.hash), np.int64), np.zeros(len(self.hash))
         if parts:
             self.count[self.order] = np.concatenate([x[0] for x in parts])
             kinds[self.order] = np.repeat(np.concatenate([x[1] for x in parts]), self.sizes)
+            del parts
         if len(often[0]):
             at = np.minimum(np.searchsorted(often[0], self.hash), len(often[0]) - 1)
             kinds = np.where(self.dealt & (often[0][at] == self.hash), often[1][at], kinds)
@@ -203,33 +239,34 @@ class Depth:
         add, times = np.zeros(len(kinds)), np.ones(len(kinds))
         add[some] = self.count[some] / (self.total[some] + kinds[some])
         times[some] = kinds[some] / (self.total[some] + kinds[some])
-        out = p.copy()
-        out[self.at] = add[self.back] + times[self.back] * p[self.at]
-        return out
+        del kinds, some
+        moved = times[self.back]
+        moved *= p[self.at]
+        moved += add[self.back]
+        p[self.at] = moved
+        return p
 
 
 class Block:
-    """A block's texts as numbers, and its probabilities as deep as replies have come."""
+    """A block's texts as numbers, and its probabilities as deep as replies have come. ids, own: packed."""
 
-    def __init__(self, ids: bytes, lengths: list[int], held: list[bool], words: bytes, count: bytes, lp: bytes):
-        self.ids, self.words = np.frombuffer(ids, "<u4"), np.frombuffer(words, "<u8")
-        self.c, self.p = np.frombuffer(count, "<i8"), (10.0 ** np.frombuffer(lp, "<f4").astype(float))[self.ids]
+    def __init__(self, ids: bytes, lengths: list[int], held: list[bool], words: bytes, own: bytes):
+        (self.ids,), self.words = unpack(ids, IDS), np.frombuffer(words, "<u8")
+        self.c, lp = unpack(own, OWN[1:])
+        self.p = (10.0 ** lp.astype(float))[self.ids]
         self.lengths = np.array(lengths, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.taught = np.repeat(~np.array(held, bool), self.lengths)
 
     def depths(self, replies: list[list[bytes]], often: list[tuple], least: int, ranges: int, hot: float, deepest: int) -> Depth | None:
         """Takes the replies of the first depths; the next Depth, if there is one."""
-        head = np.zeros(len(self.ids), bool)
-        head[self.starts] = True
         ctx = np.full(len(self.ids), -1, np.int32)
         ctx[1:] = self.ids[:-1]
         hashes, counts = mix64(self.words), self.c
         for k in range(deepest):
-            ctx[head] = -1
-            some = np.flatnonzero(ctx >= 0)
-            ctx[some[counts[ctx[some]] < least]] = -1
-            del some
+            ctx[self.starts] = -1
+            if len(counts):
+                ctx[(counts < least)[ctx]] = -1  # -1 stays what it is, whatever stands at that place
             own = Depth(ctx, self.ids, self.words, hashes, counts, ranges, hot)
             if k == len(replies):
                 return own
@@ -237,10 +274,10 @@ class Block:
             if k + 1 == deepest:
                 break
             ctx[:] = -1
-            inside = own.at < len(ctx) - 1
-            ctx[own.at[inside] + 1] = own.back[inside]
+            inside = np.searchsorted(own.at, len(ctx) - 1)
+            ctx[own.at[:inside] + 1] = own.back[:inside]
             hashes, counts = own.next(), own.count
-            del own, inside
+            del own
         return None
 
 
@@ -250,7 +287,8 @@ def count_range(rows: list[tuple], least: int, cost: float) -> Iterator[tuple]:
     if not rows:
         return
     blocks, parts = [b for b, _ in rows], [unpack(x, SENT) for _, x in rows]
-    hashes, dealt, sizes, symbol, lp, n = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    lengths = [(len(p[0]), len(p[3])) for p in parts]
+    hashes, dealt, sizes, symbol, lp, n = (np.concatenate([p.pop(0) for p in parts]) for _ in range(6))
     ctx, _, own = numbered(hashes)
     spread = np.zeros(len(ctx), bool)
     spread[own] = dealt.astype(bool)
@@ -262,12 +300,11 @@ def count_range(rows: list[tuple], least: int, cost: float) -> Iterator[tuple]:
     total, kinds = np.bincount(at, c, len(ctx)), np.bincount(at[seen], minlength=len(ctx))
     gain = np.bincount(at[seen], c[seen] * (np.log(c[seen]) - lp[first][seen].astype(float)), len(ctx))
     kept = np.where(~spread & (total >= least) & (gain - total * np.log(np.maximum(total, 1)) > cost * kinds), kinds, 0)
-    runs, a, b = np.split(np.arange(len(hashes)), np.cumsum([len(p[0]) for p in parts])[:-1]), 0, 0
-    answer = c[back]
     heads = np.cumsum(sizes.astype(np.int64)) - sizes
-    for block, run, part in zip(blocks, runs, parts):
-        a, b = b, b + len(part[3])
-        yield block, pack([answer[a:b], kept[own[heads[run]]]], REPLY)
+    a = b = z = y = 0
+    for block, (runs, pairs_) in zip(blocks, lengths):
+        a, b, z, y = b, b + pairs_, y, y + runs
+        yield block, pack([c[back[a:b]], kept[own[heads[z:y]]]], REPLY)
     if spread.any():
         yield None, (ctx[spread], total[spread], kinds[spread], gain[spread])
 
@@ -296,7 +333,7 @@ def score(
     spark = docs.sparkSession
     staging = staging or Staging(spark)
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    fields = f"block bigint, keys array<{kind}>, held array<boolean>, lengths array<bigint>, ids binary, hashes binary, words array<struct<word:binary,n:bigint>>"
+    fields = f"block bigint, keys array<{kind}>, held array<boolean>, lengths array<bigint>, ids binary, hashes binary, first int, words array<struct<word:binary,n:bigint>>"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator) -> Iterator:
@@ -311,14 +348,18 @@ def score(
             n = np.bincount(every[taught], minlength=len(w))
             sizes = np.fromiter(map(len, w), np.int64, len(w))
             hashes = hashes_of(b"".join(w), np.cumsum(sizes) - sizes, sizes)
-            own = pa.StructArray.from_arrays([pa.array(w, pa.binary()), pa.array(n)], ["word", "n"])
-            row = [[block], [keys], [held], [lengths], [every.astype("<u4").tobytes()], [hashes.astype("<u8").tobytes()]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(row, schema)), pa.ListArray.from_arrays(pa.array([0, len(w)], pa.int32()), own)], schema=schema)
+            row = [[block], [keys], [held], [lengths], [pack([every], IDS)], [hashes.astype("<u8").tobytes()]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(row, schema)), *(pa.nulls(1, schema.field(i).type) for i in (6, 7))], schema=schema)
+            del every, taught, hashes, row
+            for a in range(0, len(w), ROW_WORDS):
+                own = pa.StructArray.from_arrays([pa.array(w[a : a + ROW_WORDS], pa.binary()), pa.array(n[a : a + ROW_WORDS])], ["word", "n"])
+                cols = [pa.array([block]), *(pa.nulls(1, schema.field(i).type) for i in range(1, 6)), pa.array([a], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
         for batch in batches:
             if schema is None:
                 k = batch.schema.field(0).type
-                schema = pa.schema([("block", pa.int64()), ("keys", pa.list_(k)), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("hashes", pa.binary()), ("words", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))])
+                schema = pa.schema([("block", pa.int64()), ("keys", pa.list_(k)), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("hashes", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))])
             for key_, x, out in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 words = (x or b"").lower().split()
                 words.append(END)
@@ -332,10 +373,12 @@ def score(
                     block, numbers, keys, held, lengths, ids, size = block + 1, new_numbers(), [], [], [], [], 0
         if keys:
             yield from close()
+        keys, held, lengths, ids, numbers = [], [], [], [], None
+        give_back()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    coded = staging.put_by(rows.mapInArrow(cut, fields), "coded", "block", parts)  # a row a block
-    vocabularies = coded.select("block", F.posexplode("words").alias("number", "x")).select("block", "number", "x.word", "x.n")
+    coded = staging.put_by(rows.mapInArrow(cut, fields), "coded", "block", parts)  # a row a block, and its words
+    vocabularies = coded.where("words is not null").select("block", "first", F.posexplode("words").alias("at", "x")).select("block", (F.col("first") + F.col("at")).alias("number"), "x.word", "x.n")
     counted = staging.put(vocabularies.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     total = counted.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *(F.count(F.when(F.col("c").between(a, z), 1)).alias(name) for name, a, z in (("v", 1, 1 << 62), ("once", 1, 1), ("twice", 2, 2)))
@@ -396,10 +439,9 @@ def score(
         def one() -> pa.RecordBatch:
             place, data = np.concatenate([np.frombuffer(x[0], OWN[0]) for x in held]), []
             for i in (1, 2):
-                out = np.empty(len(place), OWN[i])
-                out[place] = np.concatenate([np.frombuffer(x[i], OWN[i]) for x in held])
-                data.append(pa.array([out.tobytes()], pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *data], names=["block", "count", "lp"])
+                data.append(np.empty(len(place), OWN[i]))
+                data[-1][place] = np.concatenate([np.frombuffer(x[i], OWN[i]) for x in held])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack(data, OWN[1:])], pa.binary())], names=["block", "own"])
 
         for batch in batches:
             for b, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -412,9 +454,9 @@ def score(
             yield one()
 
     own = own.mapInArrow(together, "block bigint, number binary, count binary, lp binary")
-    scores = own.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(gather, "block bigint, count binary, lp binary")
+    scores = own.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(gather, "block bigint, own binary")
     staging.collect_garbage()
-    tables = [coded.drop("words"), staging.put_by(scores, "scores", "block", parts)]
+    tables = [coded.where("ids is not null").drop("first", "words"), staging.put_by(scores, "scores", "block", parts)]
     staging.drop("vocabulary")
     staging.collect_garbage()
     ranges, often = max(parts, -(-tokens // range_tokens)), []
@@ -424,15 +466,18 @@ def score(
         out = tables[0].join(tables[1], "block")
         for k, t in enumerate(tables[2:]):
             out = out.join(t.withColumnRenamed("replies", f"r{k}"), "block", "left")
-        return out.select("block", "keys", "held", "lengths", "ids", "hashes", "count", "lp", F.array(*[f"r{k}" for k in range(len(tables) - 2)]).cast("array<array<binary>>").alias("replies"))
+        return out.select("block", "keys", "held", "lengths", "ids", "hashes", "own", F.array(*[f"r{k}" for k in range(len(tables) - 2)]).cast("array<array<binary>>").alias("replies"))
 
     def blocks_of(batches: Iterator, known: list) -> Iterator:
-        """(number, keys, held, the block, its next depth)"""
+        """(number, keys, held, the block, its next depth); a block is let go, here and by who asks, before the next."""
         for batch in batches:
             for r in range(batch.num_rows):
-                number, keys, held, lengths, ids, hashes, count, lp, replies = (c[r] for c in batch.columns)
-                block = Block(ids.as_py(), lengths.as_py(), held.as_py(), hashes.as_py(), count.as_py(), lp.as_py())
-                yield number, keys, held, block, block.depths([x or [] for x in replies.as_py()], known, least, ranges, hot, depth)
+                number, keys, held, lengths, ids, hashes, own, replies = (c[r] for c in batch.columns)
+                block = Block(ids.as_buffer(), lengths.as_py(), held.as_py(), hashes.as_buffer(), own.as_buffer())
+                nearest = block.depths([x or [] for x in replies.as_py()], known, least, ranges, hot, depth)
+                yield number, keys, held, block, nearest
+                del block, nearest
+                give_back()
 
     for k in range(depth):
         known = list(often)
@@ -441,6 +486,7 @@ def score(
             for number, _, _, block, nearest in blocks_of(batches, known):
                 for r, data in nearest.sent(block.p, block.taught):
                     yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([number.as_py()], pa.int64()), pa.array([data], pa.binary())], names=["range", "block", "data"])
+                del block, nearest
 
         def answer(batches: Iterator) -> Iterator:
             """A range's rows lie together, in the order of the blocks."""
@@ -461,6 +507,8 @@ def score(
                         at, held = r, []
                     held.append((block, data))
             yield from done(at, held)
+            held = []
+            give_back()
 
         sent = joined().mapInArrow(send, "range int, block bigint, data binary").repartitionById(ranges, "range").sortWithinPartitions("range", "block")
         answered = staging.put(sent.mapInArrow(answer, "block bigint, range int, reply binary, ctx bigint, total double, kinds bigint, gain double"), f"answered_{k}")
@@ -479,9 +527,10 @@ def score(
 
     def add_up(batches: Iterator) -> Iterator:
         for _, keys, held, block, _ in blocks_of(batches, often):
-            known, base = block.c[block.ids] > 0, np.log10((block.c + 1) / (n + v + 1))[block.ids]
-            sums = [np.add.reduceat(x, block.starts) for x in (known.astype(np.int64), base, np.log10(block.p))]
+            each = ((block.c > 0).astype(np.int64)[block.ids], np.log10((block.c + 1) / (n + v + 1))[block.ids], np.log10(block.p, out=block.p))
+            sums = [np.add.reduceat(x, block.starts) for x in each]
             yield pa.RecordBatch.from_arrays([keys.values, held.values, pa.array(block.lengths), *map(pa.array, sums)], names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            del block, each
 
     done = joined().mapInArrow(add_up, f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return done.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -889,3 +889,47 @@ def test_words_of_a_block_are_sent_together(spark, monkeypatch):
     whole = scored()
     assert len(whole) == 20 and sent and max(sent) <= 2 * 4  # blocks x partitions
     assert all(a[:5] == b[:5] and math.isclose(a[6], b[6], rel_tol=1e-9) for a, b in zip(whole, scored(packed_words=7, spelt_words=5)))
+
+
+def test_words_of_a_block_lie_in_several_rows(spark, monkeypatch):
+    """op3's executors hold a block's tokens packed, and its words in rows of bounded size."""
+    from termweave.llm.common import Staging
+    from termweave.llm.suffix_tree import score
+
+    rows = [(0, " ".join(f"w{i}" for i in range(45_000)) + " w7"), (1, " ".join(f"w{i}" for i in range(44_990, 45_010)))]
+    seen, put = [], Staging.put_by
+
+    def staged(self, df, name, *a):
+        out = put(self, df, name, *a)
+        if name == "coded":
+            seen.extend(out.agg(F.max(F.size("words")), F.max(F.length("ids")), F.sum(F.size("words"))).first())
+        return out
+
+    monkeypatch.setattr(Staging, "put_by", staged)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = sorted(score(frame, F.col("doc_id") == 1).collect())
+    n, v = 45_002, 45_001
+    log = lambda c: math.log10((c + 1) / (n + v + 1))
+    assert seen[0] <= 20_000 and seen[1] < 2 * n
+    assert [tuple(r)[:5] for r in got] == [(0, False, n, n, n), (1, True, 21, 11, n)]
+    assert np.allclose([r["base_score"] for r in got], [44_999 * log(1) + 2 * log(2) + log(1), 11 * log(1) + 10 * log(0)])
+
+
+def test_a_depth_takes_little_memory():
+    """op3's arrays of a block at one depth, with what makes them, per token."""
+    import tracemalloc
+
+    from termweave.llm.suffix_tree import Depth, mix64
+
+    rng = np.random.default_rng(5)
+    ids = (40_000 * rng.random(300_000) ** 3).astype(np.uint32)
+    words, counts = rng.integers(0, 1 << 63, 40_000).astype(np.uint64), np.bincount(ids, minlength=40_000)
+    ctx, p, hashes = np.concatenate(([-1], ids[:-1])).astype(np.int32), np.full(len(ids), 0.5), mix64(words)
+    tracemalloc.start()
+    try:
+        own = Depth(ctx, ids, words, hashes, counts, 20, 1e9)
+        own.step(p, [], (np.zeros(0, np.uint64), np.zeros(0)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80 * len(ids), peak / len(ids)
