@@ -64,7 +64,8 @@ def norm_edit_distance(a: Column, b: Column) -> Column:
 def entropy(counts: Column) -> Column:
     """Shannon entropy of an array of counts over its maximum; 0 for fewer than two or no total."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c)
-    h = F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / total * F.log2(c / total)).otherwise(0.0))
+    # the total is bound once: an expression of the outer row would be worked out again for each count
+    h = F.get(F.transform(F.array(total), lambda t: F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / t * F.log2(c / t)).otherwise(0.0))), F.lit(0))
     return F.when((F.size(counts) < 2) | (total == 0), F.lit(0.0)).otherwise(h / F.log2(F.size(counts).cast("double")))
 
 
