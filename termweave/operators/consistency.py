@@ -37,6 +37,7 @@ class Config:
     strip_diacritics: bool = True
     cluster_spans: bool = True
     cluster_max_dist: float = 0.2
+    cluster_unit: str = "characters"  # what edits are counted in; bytes: of UTF-8, as DuckDB's levenshtein, still over lengths in characters
     merge_contained: bool = True
     min_variant_count: int = 1
     include_consistent: bool = False
@@ -45,6 +46,8 @@ class Config:
     def __post_init__(self):
         if self.stop_mode not in ("off", "strict", "trim") or not 1 <= self.nmin <= self.nmax:
             raise ValueError("bad stop mode or n-gram lengths")
+        if self.cluster_unit not in ("characters", "bytes"):
+            raise ValueError("bad unit of edits")
 
 
 def heuristic_links(s: Column, t: Column) -> Column:
@@ -147,25 +150,48 @@ def variants(occ: DataFrame) -> DataFrame:
     return occ.where("span <> ''").groupBy("key", "span").agg(F.count("*").alias("count"), F.min("seg_ord").alias("first_seg"), F.min_by("raw", "seg_ord").alias("raw"))
 
 
-def clustered(vs: Column | str, most: float) -> str:
-    """SQL: greedy clusters in the array's order; each variant joins the first representative near enough."""
-    longer = "greatest(length(r.span), length(v.span))"
-    bound = f"cast(floor({most}D * {longer} + 1e-9D) as int)"  # distances beyond it are given up early
-    near = f"(abs(length(r.span) - length(v.span)) <= {bound} and levenshtein(r.span, v.span, {bound}) >= 0 and coalesce(levenshtein(r.span, v.span, {bound}) / nullif({longer}, 0), 0D) <= {most}D)"
-    return f"""aggregate({vs}, cast(array() as array<{VARIANT}>), (acc, v) -> case when exists(acc, r -> {near}) then
-        transform(acc, (r, i) -> case when i = array_position(transform(acc, r -> {near}), true) - 1
-            then named_struct('count', r.count + v.count, 'first_seg', r.first_seg, 'span', r.span, 'raw', r.raw, 'spans', concat(r.spans, v.spans)) else r end)
-        else concat(acc, array(v)) end)"""
+def greedy(items: str, meets: str) -> str:
+    """SQL, of a column of structs in their order: first, the indices of those that stand by themselves, and joined (to, i),
+    the others with the place in first of the first one that `meets`, of r and v, holds for. Only that one is looked for
+    in every item; a row's groups are put together afterwards."""
+    at = f"array_position(transform(acc.kept, r -> {meets}), true)"
+    step = lambda kept, first, joined: f"named_struct('kept', {kept}, 'first', {first}, 'joined', {joined}, 'n', acc.n + 1)"
+    alone = step("concat(acc.kept, array(v))", "concat(acc.first, array(acc.n))", "acc.joined")
+    joins = step("acc.kept", "acc.first", "concat(acc.joined, array(named_struct('to', cast(p - 1 as int), 'i', acc.n)))")
+    none = f"named_struct('kept', filter({items}, x -> false), 'first', cast(array() as array<int>), 'joined', cast(array() as array<struct<to:int,i:int>>), 'n', 0)"
+    return f"aggregate({items}, {none}, (acc, v) -> get(transform(array({at}), p -> if(p = 0, {alone}, {joins})), 0), acc -> named_struct('first', acc.first, 'joined', acc.joined))"
 
 
-def merged(vs: str) -> str:
-    """SQL: variants whose words are a run of a longer kept one's are counted there; longest first."""
-    holds = "v.x.span <> '' and r.span <> v.x.span and contains(concat(' ', r.span, ' '), concat(' ', v.x.span, ' '))"  # T.is_contained
-    by_length = f"array_sort(transform({vs}, (x, i) -> named_struct('n', -size(split(x.span, ' ')), 'i', i, 'x', x)), (a, b) -> case when a.n < b.n or a.n = b.n and a.i < b.i then -1 else 1 end)"
-    return f"""aggregate({by_length}, cast(array() as array<{VARIANT}>), (acc, v) -> case when exists(acc, r -> {holds}) then
-        transform(acc, (r, i) -> case when i = array_position(transform(acc, r -> {holds}), true) - 1
-            then named_struct('count', r.count + v.x.count, 'first_seg', r.first_seg, 'span', r.span, 'raw', r.raw, 'spans', concat(r.spans, v.x.spans)) else r end)
-        else concat(acc, array(v.x)) end)"""
+def gathered(vs: str, groups: str) -> str:
+    """SQL: the variants that stand by themselves, each with the counts and spans of those that joined it."""
+    own = f"filter({groups}.joined, j -> j.to = k)"
+    whole = f"""transform(array({own}), js -> cast(named_struct('count', get({vs}, f).count + aggregate(js, 0L, (a, j) -> a + get({vs}, j.i).count), 'first_seg', get({vs}, f).first_seg, 'span', get({vs}, f).span,
+        'raw', get({vs}, f).raw, 'spans', concat(get({vs}, f).spans, flatten(transform(js, j -> get({vs}, j.i).spans)))) as {VARIANT}))"""
+    return f"if(size({groups}.joined) = 0, {vs}, transform({groups}.first, (f, k) -> get({whole}, 0)))"
+
+
+def grouped(rows: DataFrame, items: str, meets: str) -> DataFrame:
+    """Rows whose variants are grouped greedily, in their order; each step is worked out once a row."""
+    rows = once(once(rows, "__items", F.expr(items)), "__groups", F.expr(greedy("__items", meets)))
+    return once(rows.withColumnRenamed("variants", "__all"), "variants", F.expr(gathered("__all", "__groups"))).drop("__items", "__groups", "__all")
+
+
+def clustered(rows: DataFrame, most: float, unit: str = "characters") -> DataFrame:
+    """Each variant joins the first representative near enough, in the order of variants."""
+    text = "v.span" if unit == "characters" else "decode(cast(v.span as binary), 'ISO-8859-1')"  # a character for each byte
+    # b: distances beyond it are given up early; no shorter text than l is near enough
+    bound = f"cast(floor({most}D * length(v.span) + 1e-9D) as int)"
+    items = f"transform(variants, v -> named_struct('d', {text}, 'n', length(v.span), 'b', {bound}, 'l', length(v.span) - {bound}))"
+    distance = "levenshtein(r.d, v.d, greatest(r.b, v.b))"
+    return grouped(rows, items, f"(r.n >= v.l and v.n >= r.l and {distance} >= 0 and coalesce({distance} / nullif(greatest(r.n, v.n), 0), 0D) <= {most}D)")
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Variants whose words are a run of a longer kept one's are counted there; longest first."""
+    by_length = "transform(array_sort(transform(__own, (x, i) -> named_struct('n', -size(split(x.span, ' ')), 'i', i, 'x', x)), (a, b) -> case when a.n < b.n or a.n = b.n and a.i < b.i then -1 else 1 end), y -> y.x)"
+    rows = once(rows.withColumnRenamed("variants", "__own"), "variants", F.expr(by_length)).drop("__own")
+    items = "transform(variants, v -> named_struct('h', concat(' ', v.span, ' '), 'w', size(split(v.span, ' '))))"
+    return grouped(rows, items, "(r.w > v.w and contains(r.h, v.h))")  # T.is_contained
 
 
 def by_count(vs: str) -> str:
@@ -193,21 +219,22 @@ def flags_of(each: DataFrame, cfg: Config = Config(), vault: DataFrame | None =
     spanned = F.col("span") != ""
     one = F.struct((-F.col("count")).alias("n"), "first_seg", "span", "raw")
     per_key = each.groupBy("key").agg(
-        F.min("head")["ngram"].alias("ngram"), F.array_sort(F.collect_list(F.when(spanned, one))).alias("sorted"), F.min(F.when(spanned, F.struct(F.col("head.seg_ord"), F.col("head.ng_ord")))).alias("first")
-    ).where("size(sorted) > 0")
-    per_key = per_key.withColumn("sorted", F.expr(f"transform(sorted, v -> cast(named_struct('count', -v.n, 'first_seg', v.first_seg, 'span', v.span, 'raw', v.raw, 'spans', array(v.span)) as {VARIANT}))"))
+        F.min("head")["ngram"].alias("ngram"), F.collect_list(F.when(spanned, one)).alias("found"), F.min(F.when(spanned, F.struct(F.col("head.seg_ord"), F.col("head.ng_ord")))).alias("first")
+    ).where(f"size(found) >= {1 if cfg.include_consistent or vault is not None else 2}")  # one span is one variant, which only these can keep
+    named = F.expr(f"transform(array_sort(found), v -> cast(named_struct('count', -v.n, 'first_seg', v.first_seg, 'span', v.span, 'raw', v.raw, 'spans', array(v.span)) as {VARIANT}))")
+    per_key = once(per_key, "sorted", named).drop("found")
     if vault is not None:
         per_key = per_key.join(vault.select("key", F.col("target").alias("approved")), "key", "left")
     else:
         per_key = per_key.withColumn("approved", F.lit(None).cast("string"))
     out = per_key.withColumn("violation", F.expr("coalesce(exists(sorted, v -> v.span <> approved), false)")).withColumn("variants", F.col("sorted"))
     if cfg.cluster_spans:
-        out = out.withColumn("variants", F.expr(clustered("variants", cfg.cluster_max_dist)))
+        out = clustered(out, cfg.cluster_max_dist, cfg.cluster_unit)
     if cfg.merge_contained:
-        out = out.withColumn("variants", F.expr(merged("variants")))
+        out = merged(out)
     if cfg.min_variant_count > 1:
         out = out.withColumn("kept", F.expr(f"filter(variants, v -> v.count >= {cfg.min_variant_count})")).withColumn("variants", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("sorted"))).drop("kept")
-    out = out.withColumn("variants", F.expr(by_count("variants")))
+    out = once(out.withColumnRenamed("variants", "__own"), "variants", F.expr(by_count("__own"))).drop("__own")
     out = out.withColumns({"distinct": F.size("variants"), "total": F.expr("aggregate(variants, 0L, (a, v) -> a + v.count)"), "score": T.entropy(F.transform("variants", lambda v: v["count"].cast("double")))})
     keep = (F.col("distinct") >= 2) | F.lit(cfg.include_consistent) | F.col("violation")
     return out.where(keep & ((F.col("total") >= cfg.min_occurrences) | F.col("violation"))).drop("sorted")

@@ -53,13 +53,21 @@ def term_similarity(items: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def min_cosine(items: DataFrame, vectors: DataFrame) -> DataFrame:
     """key and agreement: the least dot product of any two spans' vectors, 1 for fewer than two."""
-    own = items.select("key", F.explode("spans").alias("text")).join(vectors, "text").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("text", "vec"))).alias("vs"))
-    return own.select("key", least_dot(F.transform("vs", lambda x: x["vec"])).alias("agreement"))
+    each = items.select("key", F.explode("spans").alias("text")).join(vectors, "text").groupBy("key", "vec").agg(F.count("*").alias("n"))
+    # spans of one vector are as near to others as one of them; two of them stand for their dot product with each other
+    own = each.groupBy("key").agg(F.sort_array(F.collect_list("vec")).alias("vs"), F.min(F.when(F.col("n") > 1, dot(F.col("vec"), F.col("vec")))).alias("same"))
+    return own.select("key", F.coalesce(F.least(_least(F.col("vs")), "same"), F.lit(1.0)).alias("agreement"))
 
 
 def least_dot(vs: Column) -> Column:
-    pairs = F.flatten(F.transform(vs, lambda a, i: F.transform(F.filter(F.transform(vs, lambda b, j: F.struct(j.alias("j"), b.alias("b"))), lambda x: x["j"] > i), lambda x: dot(a, x["b"]))))
-    return F.coalesce(F.array_min(pairs), F.lit(1.0))
+    return F.coalesce(_least(vs), F.lit(1.0))
+
+
+def _least(vs: Column) -> Column:
+    """The least dot product of any two of the vectors, null for fewer than two; it holds one product at a time."""
+    at = F.transform(vs, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    none = F.lit(None).cast("double")
+    return F.get(F.transform(F.array(at), lambda all_: F.aggregate(all_, none, lambda m, a: F.aggregate(F.slice(all_, a["i"] + 2, F.size(all_)), m, lambda n, b: F.least(n, dot(a["x"], b["x"]))))), F.lit(0))
 
 
 def verdict(agreement: Column, threshold: float) -> Column:

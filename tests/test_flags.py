@@ -31,3 +31,39 @@ def test_entropy_of_many_counts_is_linear(spark):
     began = time.time()
     h = spark.range(1).select(T.entropy(F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda x: F.lit(2.0)))).first()[0]
     assert abs(h - 1) < 1e-9 and time.time() - began < 30  # over a minute where the total is summed again for each count
+
+
+def test_many_variants_of_one_key(spark):
+    rng = random.Random(5)
+    spans = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 12))) for _ in range(600)]
+    spans += [x + rng.choice("xyz") for x in spans[:300]] + [x + " qq" for x in spans[300:330]]
+    spans = [x for i, x in enumerate(dict.fromkeys(spans)) for _ in range(1 + i % 3)]
+    counts = collections.Counter(spans)
+    kept = []
+    for x in sorted(counts, key=lambda x: (-counts[x], spans.index(x))):
+        for r in kept:
+            if abs(len(x) - len(r[0])) <= 0.2 * max(len(x), len(r[0])) and distance(x, r[0]) / max(len(x), len(r[0])) <= 0.2:
+                r[1].append(x)
+                break
+        else:
+            kept.append((x, [x]))
+    held = []
+    for x, own in sorted(kept, key=lambda r: -len(r[0].split())):
+        for r in held:
+            if r[0] != x and f" {x} " in f" {r[0]} ":
+                r[1].extend(own)
+                break
+        else:
+            held.append((x, list(own)))
+    want = {x: (sum(counts[y] for y in own), own) for x, own in held}
+    began = time.time()
+    found = C.flags(occurrences(spark, spans), C.Config()).collect()
+    assert {v["span"]: (v["count"], v["spans"]) for v in found[0]["variants"]} == want
+    assert len(want) < len(counts) and time.time() - began < 40  # minutes where each variant that joins compares all with all
+
+
+def test_unit_of_edits(spark):
+    two = occurrences(spark, ["enach", "enach", "enachä", "zz"])
+    assert [C.flags(two, C.Config(cluster_unit=u)).first()["distinct"] for u in ("characters", "bytes")] == [2, 3]
+    with pytest.raises(ValueError):
+        C.Config(cluster_unit="words")
