@@ -67,3 +67,24 @@ def test_unit_of_edits(spark):
     assert [C.flags(two, C.Config(cluster_unit=u)).first()["distinct"] for u in ("characters", "bytes")] == [2, 3]
     with pytest.raises(ValueError):
         C.Config(cluster_unit="words")
+
+
+@pytest.fixture(scope="module")
+def talks(spark, tmp_path_factory):
+    """Terms whose translations differ by a letter of two bytes, some of them by nothing else, some by one of one byte."""
+    folder = tmp_path_factory.mktemp("talks")
+    said = [("red button", x) for x in ("enach", "enach", "enachä", "schluss")] + [("blue window", x) for x in ("abcdef", "abcdef", "abcdeg")] + [("old door", x) for x in ("mitten", "mitteñ", "mitteñ", "fort")] + [("new lamp", x) for x in ("étés", "etés", "etés")]
+    rows = [(i, turn, role, text) for i, pair in enumerate(said) for turn, (role, text) in enumerate(zip(("user", "assistant"), pair))]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["faithfulness_filter", "flag_payload", "flags_conversations", "report_json", "verified_rows", "why_flagged", "flags_in_reading_order", "flags_by_significance", "near_identity_verdicts"])
+def test_letters_of_two_bytes_as_in_sql(spark, talks, name):
+    con = pytest.importorskip("duckdb").connect()
+    con.execute(f"create view conversations as select * from read_parquet('{talks}/conversations.parquet/*.parquet')")
+    want = con.execute(catalogue.O[name])
+    columns = [c[0] for c in want.description]
+    plain = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+    rows = sorted(map(plain, want.fetchall()))
+    assert rows and sorted(map(plain, catalogue.Q[name](spark, talks).select(*columns).collect())) == rows
