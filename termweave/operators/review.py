@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions import text as T
 from termweave.operators.consistency import ranked
+from termweave.staging import staged
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -296,8 +297,9 @@ def top_variants(found: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list) -> DataFrame:
-    """Adds a dense seg_ord from 0 without one task for all: ranks within ranges, and the ranges' sums before."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    own = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy("__i")) - 1)
+    """Adds a dense seg_ord from 0 without one task for all: ranks within ranges, and the ranges' sums before. The ranges
+    are written once, as another computation of them, of fewer columns, would draw them elsewhere."""
+    own = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__i", F.monotonically_increasing_id()))
+    own = own.withColumns({"__p": F.shiftright("__i", 33), "__r": F.col("__i").bitwiseAND((1 << 33) - 1)})  # partition, and the row's place in it
     sums = own.groupBy("__p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return own.join(F.broadcast(sums.select("__p", "before")), "__p").withColumn("seg_ord", F.col("before") + F.col("__r")).drop("__p", "__i", "__r", "before")  # a row a partition
