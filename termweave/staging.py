@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: On a local file system, files are written without checksum files and without forking `chmod` for each, whose child
+#: shares all memory of an executor until its own program runs (as in llm/common.py); others don't read these options.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a temporary folder in local mode, else the warehouse."""
@@ -48,7 +52,7 @@ def new_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """The same rows, written: the lineage is cut, and a lost executor costs nothing already done."""
     path = new_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **PLAIN_FILES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
